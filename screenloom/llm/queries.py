@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenloom.llm import mixing, oracles, quality_rules
+from screenloom.llm import binary_ids, mixing, oracles, quality_rules, tokens
 from screenloom.llm.common import table
 
 
@@ -18,9 +18,19 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op8_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary_ids.encode_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_mix_sources": op3_mix_sources,
+    "op6_token_counts": op6_token_counts,
+    "op8_binary_ids": op8_binary_ids,
 }
 
 ORACLES = {
