@@ -85,3 +85,26 @@ def running_sum(df: DataFrame, order: list[Column], value: str, into: str) -> Da
         .withColumn(into, F.col("_shift") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
         .drop("_range", "_shift")
     )
+
+
+#: Bits of the id filter: a broadcast of at most FILTER_BITS / 64 rows of two numbers.
+FILTER_BITS = 1 << 24
+
+
+def id_filter(ids: DataFrame, col: str = "id") -> DataFrame:
+    """A bitmap of hashed ids as rows (slot, bits), of bounded size whatever the number of ids."""
+    place = F.pmod(F.xxhash64(col), F.lit(FILTER_BITS))
+    spots = ids.select((place / 64).cast("long").alias("slot"), (place % 64).cast("int").alias("bit"))
+    bits = spots.groupBy("slot").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    return staged(bits, "id-filter")
+
+
+def may_be_in(df: DataFrame, col: str, bitmap: DataFrame) -> DataFrame:
+    """Rows whose ``col`` may be among the filter's ids; it never drops one that is.
+
+    With very many ids the filter lets all rows pass, which costs time and changes nothing.
+    """
+    place = F.pmod(F.xxhash64(col), F.lit(FILTER_BITS))
+    met = df.withColumn("_place", place).withColumn("slot", (F.col("_place") / 64).cast("long"))
+    met = met.join(F.broadcast(bitmap), "slot").filter(F.getbit("bits", (F.col("_place") % 64).cast("int")) == 1)
+    return met.drop("_place", "slot", "bits")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenloom.llm import binary_ids, mixing, oracles, quality_rules, tokens
+from screenloom.llm import binary_ids, minhash, mixing, oracles, quality_rules, tokens
 from screenloom.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,7 @@ def op8_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_mix_sources": op3_mix_sources,
+    "op5_near_dedup": op5_near_dedup,
     "op6_token_counts": op6_token_counts,
     "op8_binary_ids": op8_binary_ids,
 }
