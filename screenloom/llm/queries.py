@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenloom.llm import binary_ids, minhash, mixing, oracles, quality_rules, tokens
+from screenloom.llm import binary_ids, minhash, mixing, oracles, quality_rules, substrings, tokens
 from screenloom.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_ids.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op5_near_dedup": op5_near_dedup,
     "op6_token_counts": op6_token_counts,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_binary_ids": op8_binary_ids,
 }
 
