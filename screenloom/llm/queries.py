@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenloom.llm import binary_ids, chat, minhash, mixing, oracles, quality_rules, substrings, tokens
+from screenloom.llm import binary_ids, chat, minhash, mixing, oracles, pieces, quality_rules, substrings, tokens
 from screenloom.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_mix_sources": op3_mix_sources,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_near_dedup": op5_near_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_substring_dedup": op7_substring_dedup,
