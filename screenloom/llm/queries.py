@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenloom.llm import binary_ids, chat, minhash, mixing, oracles, pieces, quality_rules, substrings, tokens
+from screenloom.llm import binary_ids, chat, minhash, mixing, neighbours, oracles, pieces, quality_rules, site_quality, substrings, tokens
 from screenloom.llm.common import table
 
 
@@ -13,6 +13,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.search(rows, rows.filter(F.col("vec_id") % 20 == 0))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -45,8 +50,13 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(rows)).drop("rewritten")
 
 
+def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_neighbours": op2_neighbours,
     "op3_mix_sources": op3_mix_sources,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_near_dedup": op5_near_dedup,
@@ -54,6 +64,7 @@ QUERIES = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_binary_ids": op8_binary_ids,
     "op9_chat_format": op9_chat_format,
+    "op10_site_quality": op10_site_quality,
 }
 
 ORACLES = {

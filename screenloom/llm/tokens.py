@@ -22,7 +22,7 @@ SPECIAL = "<|endoftext|>"
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The most frequent pre-tokens, no longer than HEAD_CHARS, are joined by broadcast: at most
 #: HEAD * HEAD_CHARS * 4 bytes of strings. All others are joined by a shuffle.
-HEAD = 1 << 18
+HEAD = 1 << 17
 HEAD_CHARS = 64
 #: Pre-tokens a worker remembers before it starts afresh.
 MEMO = 400_000
@@ -132,6 +132,25 @@ def piece_frequencies(pieces: DataFrame) -> DataFrame:
     return pieces.mapInArrow(tally, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
+def frequent(counted: DataFrame) -> dict[str, int]:
+    """The most frequent short pieces and their tokens, at most HEAD.
+
+    A histogram over some hundred steps of frequency tells the step from which on there are no
+    more than HEAD, so nothing is sorted and no task sends more than it has of them.
+    """
+    short = counted.filter(F.length("piece") <= HEAD_CHARS).withColumn("step", F.floor(F.log2("n") * 8))
+    steps = sorted(short.groupBy("step").count().collect(), reverse=True)
+    least, total = None, 0
+    for step, n in steps:
+        total += n
+        if total > HEAD:
+            break
+        least = step
+    if least is None:
+        return {}
+    return {r.piece: r.n_tokens for r in short.filter(F.col("step") >= least).select("piece", "n_tokens").collect()}
+
+
 def document_frequencies(docs: DataFrame, known: dict[str, int]) -> DataFrame:
     """doc_id, sig, sure, piece, times: frequencies of the pre-tokens that ``known`` lacks.
 
@@ -182,8 +201,7 @@ def count_tokens(docs: DataFrame, text: str = "text", id_col: str = "doc_id", pa
     keyed = rows.select("doc_id", F.hash("text").alias("sig"), "text")
     pieces = piece_frequencies(rows.select(pre_tokens(F.col("text")).alias("pieces")))
     counted = staged(piece_counts(pieces, path), "piece-counts")
-    head = counted.filter(F.length("piece") <= HEAD_CHARS).orderBy(F.desc("n"), "piece").limit(HEAD)
-    known = {r.piece: r.n_tokens for r in head.select("piece", "n_tokens").collect()}
+    known = frequent(counted)
     met = document_frequencies(keyed.select("doc_id", "sig", pre_tokens(F.col("text")).alias("pieces")), known)
     summed = met.join(counted.select("piece", "n_tokens"), "piece", "left").groupBy("doc_id", "sig").agg(
         F.sum(F.col("sure") + F.col("times") * F.coalesce("n_tokens", F.lit(0))).alias("total")
