@@ -42,32 +42,29 @@ def source_targets(sizes: DataFrame, total_share: float = 1.0) -> DataFrame:
     weighed = weighed.withColumn("full_at", F.col("cap") / F.col("weight"))
     order = [F.col("full_at").asc(), F.col("source").asc_nulls_last()]
     summed = staged(running_sum(running_sum(weighed, order, "cap", "cap_before"), order, "weight", "weight_before"), "mix-caps")
-    totals = summed.agg(
-        (F.sum("source_size") * F.lit(total_share)).alias("total"), F.sum("weight").alias("all_weight")
-    )
-    level_at = (F.col("total") - F.col("cap_before")) / (F.col("all_weight") - F.col("weight_before"))
-    # one row: the first source that the level doesn't fill
+    totals = summed.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("all_weight")).first()
+    total, all_weight = float(totals.total or 0) * total_share, float(totals.all_weight or 0)
+    level_at = (F.lit(total) - F.col("cap_before")) / (F.lit(all_weight) - F.col("weight_before"))
+    # the first source that the level doesn't fill
     level = (
-        summed.join(F.broadcast(totals))
-        .withColumn("level", level_at)
+        summed.withColumn("level", level_at)
         .filter(F.col("level") <= F.col("full_at"))
         .agg(F.min_by("level", F.struct("full_at", "cap_before")).alias("level"))
-    )
-    return summed.join(F.broadcast(level)).select(
-        "source", "source_size", F.least("cap", F.col("weight") * F.coalesce("level", F.lit(0.0))).alias("target")
-    )
+        .first()
+    ).level
+    return summed.select("source", "source_size", F.least("cap", F.col("weight") * F.lit(level or 0.0)).alias("target"))
 
 
 def random_key(id_col: Column, seed: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit(""))))
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", seed: str = "mix") -> DataFrame:
-    """One row per document: doc_id, size, source, source_size, target, taken."""
+def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, size, source, source_size, target, taken, and the carried columns."""
     sizes = staged(
         docs.select(
             F.col(id_col).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"),
-            random_key(F.col(id_col), seed).alias("key"),
+            random_key(F.col(id_col), seed).alias("key"), *carry,
         ).withColumn("range", F.substring("key", 1, RANGE_DIGITS)),
         "mix-sizes",
     )
@@ -91,4 +88,4 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str
     rest = budget - epochs * F.col("source_size")
     start = F.col("range_before") + F.col("inside_before")
     taken = epochs * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), rest - start))
-    return placed.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"), *carry)

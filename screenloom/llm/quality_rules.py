@@ -74,13 +74,17 @@ def counts(text: Column) -> Column:
     )
 
 
+def fails_base(n_words: Column, n_repeat_words: Column) -> Column:
+    return (n_words < MIN_WORDS) | (100 * n_repeat_words > 50 * n_words)
+
+
 def base_rules(docs: DataFrame, text: str = "text", host: str = "source", id_col: str = "doc_id") -> DataFrame:
     """id, host, the counts, and one boolean per rule: true where the document fails it."""
     flat = docs.select(F.col(id_col).alias("doc_id"), F.col(host).alias("host"), counts(F.col(text)).alias("c"))
     flat = flat.select("doc_id", "host", "c.*")
     return flat.select(
         "*",
-        ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("fail_base"),
+        fails_base(F.col("n_words"), F.col("n_repeat_words")).alias("fail_base"),
         (10 * F.col("n_symbols") > F.col("word_chars")).alias("fail_symbols"),
         (2 * F.col("n_dup_lines") > F.col("n_words")).alias("fail_lines"),
     )
@@ -98,15 +102,14 @@ def host_verdicts(judged: DataFrame) -> DataFrame:
     prior = hosts.agg(
         *[(F.sum(f"k_{r}") / F.sum("n")).alias(f"m_{r}") for r in RULES],
         *[F.var_pop(F.col(f"k_{r}") / F.col("n")).alias(f"v_{r}") for r in RULES],
-    )
-    for r in RULES:
-        m, v = F.col(f"m_{r}"), F.col(f"v_{r}")
-        s = F.when(v > 0, m * (1 - m) / v - 1).otherwise(F.lit(STRENGTH[1]))
-        prior = prior.withColumn(f"s_{r}", F.least(F.lit(STRENGTH[1]), F.greatest(F.lit(STRENGTH[0]), s)))
-    # the prior is one row, whatever the input
-    joined = hosts.join(F.broadcast(prior))
-    rate = lambda r: (F.col(f"k_{r}") + F.col(f"m_{r}") * F.col(f"s_{r}")) / (F.col("n") + F.col(f"s_{r}"))
-    return joined.select(
+    ).first()
+
+    def rate(r: str) -> Column:
+        m, v = prior[f"m_{r}"] or 0.0, prior[f"v_{r}"] or 0.0
+        s = min(STRENGTH[1], max(STRENGTH[0], m * (1 - m) / v - 1)) if v > 0 else STRENGTH[1]
+        return (F.col(f"k_{r}") + F.lit(m * s)) / (F.col("n") + F.lit(s))
+
+    return hosts.select(
         "host", *[rate(r).alias(f"rate_{r}") for r in RULES], F.greatest(*[rate(r) for r in RULES]).alias("worst")
     ).withColumn("host_rejected", F.col("worst") > HOST_LIMIT)
 
@@ -126,3 +129,16 @@ def apply_rules(docs: DataFrame, text: str = "text", host: str = "source", id_co
         F.col("fail_base").alias("base_failed"),
         (~F.col("fail_base") & F.col("host_rejected").isNull()).alias("kept"),
     )
+
+
+def kept_documents(docs: DataFrame, text: str = "text", host: str = "source", id_col: str = "doc_id") -> DataFrame:
+    """The documents that pass, with all their columns.
+
+    Texts never move: the base rules run where a text is read, and only rejected hosts are
+    matched against the rows.
+    """
+    judged = staged(base_rules(docs, text, host, id_col), "quality-rules")
+    rejected = host_verdicts(judged).filter("host_rejected").select(F.col("host").alias("bad_host"))
+    passed = docs.withColumn("_counts", counts(F.col(text)))
+    passed = passed.filter(~fails_base(F.col("_counts.n_words"), F.col("_counts.n_repeat_words"))).drop("_counts")
+    return passed.join(rejected, F.col(host).eqNullSafe(F.col("bad_host")), "left_anti")
