@@ -30,7 +30,6 @@ HEADER = struct.Struct("<8sIIQQ")
 BLOCK = 4096
 #: Ids after which a writer starts another file.
 FILE_IDS = 1 << 23
-END_ID = 0
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -171,14 +170,10 @@ def slices(lists: pa.ListArray, most: int = 1 << 20) -> Iterator[tuple[int, int]
 def document_ids(pieces: pa.ListArray, encoder: PieceEncoder) -> tuple[np.ndarray, np.ndarray]:
     """All ids of some documents, each with the end id after it, and their numbers."""
     names, codes, starts = coded(pieces)
-    known = [*encoder.recall(names), np.array([END_ID], np.uint32)]
-    end = len(known) - 1
-    codes = np.insert(codes.astype(np.int64), starts[1:], end)
-    sizes = np.array([len(x) for x in known], np.int64)
-    table, at = np.concatenate(known), np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    n = sizes[codes]
+    slots = np.insert(encoder.recall(names)[codes], starts[1:], 0)
+    n = encoder.size[slots]
     ends = np.cumsum(n)
-    ids = table[np.repeat(at[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+    ids = encoder.store[np.repeat(encoder.at[slots] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
     bounds = np.concatenate([[0], ends])[starts + np.arange(len(starts))]
     return ids, np.diff(bounds)
 

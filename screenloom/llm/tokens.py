@@ -25,7 +25,7 @@ PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 HEAD = 1 << 17
 HEAD_CHARS = 64
 #: Pre-tokens a worker remembers before it starts afresh.
-MEMO = 400_000
+MEMO = 600_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -46,21 +46,27 @@ def pre_tokens(text: Column) -> Column:
     joined = F.flatten(
         F.transform(parts, lambda s, i: F.when(i == 0, pieces(s)).otherwise(F.concat(F.array(F.lit(SPECIAL)), pieces(s))))
     )
-    return F.when(text.rlike(r"\p{Cn}"), F.array(text)).when(text.contains(SPECIAL), joined).otherwise(pieces(text))
+    uncharted = (F.octet_length(text) > F.length(text)) & text.rlike(r"\p{Cn}")
+    return F.when(uncharted, F.array(text)).when(text.contains(SPECIAL), joined).otherwise(pieces(text))
 
 
 class PieceEncoder:
-    """Encodes lists of pieces with the tokenizers library; remembers a bounded number."""
+    """Encodes lists of pieces with the tokenizers library; remembers a bounded number.
+
+    Ids of remembered pieces lie one after another in ``store``; a piece is a slot, with a
+    place and a length there. Slot 0 is the end id.
+    """
 
     _loaded: dict[str, PieceEncoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int = 0):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.bits = max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
-        self.memo: dict[str, np.ndarray] = {}
+        self.end_id = end_id
+        self.forget()
 
     @classmethod
     def of(cls, path: str) -> PieceEncoder:
@@ -69,36 +75,60 @@ class PieceEncoder:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def encode(self, pieces: list[str]) -> list[np.ndarray]:
-        """The ids of each piece.
+    def forget(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.store, self.used, self.chars = np.zeros(1 << 16, np.uint32), 1, 0
+        self.store[0] = self.end_id
+        self.at, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and each piece's place and length in them.
 
         Pieces of a space and letters stay apart when they are put together, so they are
         encoded as one text, which saves most calls; all others one by one.
         """
+        parts, order, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         plain = [i for i, p in enumerate(pieces) if p[:1] == " " and p[1:].isalpha()]
-        out: list = [None] * len(pieces)
+        is_plain = np.zeros(len(pieces), bool)
         for a in range(0, len(plain), 4000):
             at = plain[a : a + 4000]
             found = self.tokenizer.encode("".join([pieces[i] for i in at]), add_special_tokens=False)
             counts = np.bincount(np.array(found.word_ids, np.int64), minlength=len(at))
             if len(counts) == len(at):
-                for i, ids in zip(at, np.split(np.array(found.ids, np.uint32), np.cumsum(counts)[:-1]), strict=True):
-                    out[i] = ids
-        rest = [i for i, x in enumerate(out) if x is None]
+                parts.append(np.array(found.ids, np.uint32))
+                order.append(np.array(at, np.int64))
+                lengths.append(counts)
+                is_plain[at] = True
+        rest = np.flatnonzero(~is_plain)
         for a in range(0, len(rest), 4000):
             at = rest[a : a + 4000]
-            for i, e in zip(at, self.tokenizer.encode_batch([pieces[i] for i in at], add_special_tokens=False), strict=True):
-                out[i] = np.array(e.ids, np.uint32)
-        return out
-
-    def recall(self, pieces: list[str]) -> list[np.ndarray]:
-        """The same, with those encoded before looked up."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = [p for p in pieces if p not in self.memo]
-        kept = dict(zip(new, self.encode(new), strict=True))
-        self.memo.update((p, ids.copy()) for p, ids in kept.items() if len(p) <= HEAD_CHARS)
-        return [kept[p] if p in kept else self.memo[p] for p in pieces]
+            found = [e.ids for e in self.tokenizer.encode_batch([pieces[i] for i in at], add_special_tokens=False)]
+            parts += [np.array(x, np.uint32) for x in found]
+            order.append(at)
+            lengths.append(np.array([len(x) for x in found], np.int64))
+        where, n = np.concatenate(order), np.concatenate(lengths)
+        start, size = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        start[where], size[where] = np.cumsum(n) - n, n
+        return np.concatenate(parts), start, size
+
+    def recall(self, pieces: list[str]) -> np.ndarray:
+        """The slots of some distinct pieces; those not remembered are encoded first."""
+        if len(self.slots) > MEMO or self.used > 8 * MEMO or self.chars > 64 * MEMO:
+            self.forget()
+        slots = np.fromiter((self.slots.get(p, -1) for p in pieces), np.int64, len(pieces))
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            names = [pieces[i] for i in new]
+            ids, start, size = self.encode(names)
+            if self.used + len(ids) > len(self.store):
+                self.store = np.concatenate([self.store, np.zeros(max(len(self.store), len(ids)), np.uint32)])
+            self.store[self.used : self.used + len(ids)] = ids
+            slots[new] = len(self.at) + np.arange(len(new))
+            self.at, self.size = np.concatenate([self.at, start + self.used]), np.concatenate([self.size, size])
+            self.used += len(ids)
+            self.chars += sum(map(len, names))
+            self.slots.update(zip(names, slots[new].tolist(), strict=True))
+        return slots
 
 
 def piece_counts(pieces: DataFrame, path: str) -> DataFrame:
@@ -107,8 +137,8 @@ def piece_counts(pieces: DataFrame, path: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.of(path)
         for b in batches:
-            lengths = [len(x) for x in encoder.encode(b.column(0).to_pylist())]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(lengths, pa.int64())], names=["piece", "n", "n_tokens"])
+            _, _, lengths = encoder.encode(b.column(0).to_pylist())
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(lengths)], names=["piece", "n", "n_tokens"])
 
     return pieces.select("piece", "n").mapInArrow(count, "piece string, n long, n_tokens long")
 
