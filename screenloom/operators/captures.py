@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenloom.functions.text import strip
+from screenloom.operators.ranges import numbered
 
 SAME, CHANGED, MAX_FRAMES = 0.95, 0.8, 20
 
@@ -37,10 +38,14 @@ def similarity_to_previous(frames: DataFrame) -> DataFrame:
 
 
 def until_first(rows: DataFrame, stop: Column, key: str, order: list[str]) -> DataFrame:
-    """Rows of each key up to and including the first where ``stop`` holds."""
-    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.coalesce(F.max(stop.cast("int")).over(before), F.lit(0))
-    return rows.withColumn("_seen", seen).filter("_seen = 0").drop("_seen")
+    """Rows of each key up to and including the first where ``stop`` holds.
+
+    The first stop of a key is a grouped minimum, combined before the shuffle, so a large key is
+    never sorted in one task.
+    """
+    first = rows.filter(stop).groupBy(F.col(key).alias("_key")).agg(F.min(F.struct(*order)).alias("_first"))
+    met = rows.join(first, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return met.filter(F.col("_first").isNull() | (F.struct(*order) <= F.col("_first"))).select(*rows.columns)
 
 
 def until_stop(frames: DataFrame, threshold: float = SAME, most: int = MAX_FRAMES) -> DataFrame:
@@ -81,13 +86,13 @@ def merged_lines(captures: DataFrame, key: str = "source", order: str = "capture
     """Key, line_idx, line: each distinct line of a session once, where it is first seen.
 
     The first sight is a grouped minimum, so a line that repeats everywhere is combined before
-    it is shuffled; only distinct lines are numbered.
+    it is shuffled; only distinct lines are numbered, in ranges.
     """
     lines = captures.select(key, order, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "raw"))
     lines = lines.select(key, order, "line_no", strip(F.col("raw")).alias("line")).filter(F.col("line") != "")
     first = lines.groupBy(key, "line").agg(F.min(F.struct(order, "line_no")).alias("at"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy("at")) - 1
-    return first.select(key, place.cast("long").alias("line_idx"), "line")
+    first = first.select(key, "line", F.col(f"at.{order}").alias("_at"), F.col("at.line_no").alias("_no"))
+    return numbered(first, key, ["_at", "_no"], "line_idx").select(key, "line_idx", "line")
 
 
 def merged_text(captures: DataFrame, key: str = "source", order: str = "capture_id") -> DataFrame:
@@ -114,9 +119,15 @@ def search_lines(captures: DataFrame, term: str, stop_at_hit: bool = True, key:
     With ``stop_at_hit`` captures after the first with the term are never seen.
     """
     rows = until_text(captures, term, key, order) if stop_at_hit else captures
-    around = Window.partitionBy(key).orderBy("line_idx").rowsBetween(-2, 2)
-    lines = merged_lines(rows, key, order).withColumn("context", F.array_join(F.collect_list("line").over(around), "\n"))
-    return lines.filter(F.contains(F.lower("line"), F.lit(term.lower())))
+    lines = merged_lines(rows, key, order)
+    hits = lines.filter(F.contains(F.lower("line"), F.lit(term.lower())))
+    # each hit asks for the lines around it by their index
+    wanted = hits.select(F.col(key).alias("_key"), F.col("line_idx").alias("_hit"), F.explode(F.sequence(F.col("line_idx") - 2, F.col("line_idx") + 2)).alias("_idx"))
+    near = lines.join(wanted, F.col(key).eqNullSafe(F.col("_key")) & (F.col("line_idx") == F.col("_idx")))
+    told = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_idx", "line"))), lambda x: x["line"]), "\n")
+    middle = F.max(F.when(F.col("_idx") == F.col("_hit"), F.col("line")))
+    found = near.groupBy(key, F.col("_hit").alias("line_idx")).agg(middle.alias("line"), told.alias("context"))
+    return found.select(key, "line_idx", "line", "context")
 
 
 NOT_FOUND = "not found"

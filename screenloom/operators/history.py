@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from screenloom.operators.ranges import numbered
+
 ORDER = ("ts_s", "id")
 
 
@@ -26,18 +28,22 @@ def bounded(rows: DataFrame, key: str, most: int = 20, keep: int = 15, order: tu
 
     After n appends that is n rows up to ``most``, then it cycles from ``keep`` upwards.
     """
-    n = F.count(F.lit(1)).over(Window.partitionBy(key))
+    n = F.count(F.lit(1))
     left = F.when(n <= most, n).otherwise(keep + F.pmod(n - (most + 1), F.lit(most + 1 - keep)))
+    sizes = rows.groupBy(F.col(key).alias("_key")).agg(left.alias("_left"))
+    # only the newest ``most`` rows of a key leave a task; sizes are combined before the shuffle
     back = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
-    met = rows.withColumn("_n", F.row_number().over(back)).withColumn("_left", left)
-    return met.filter(F.col("_n") <= F.col("_left")).drop("_n", "_left")
+    met = rows.withColumn("_n", F.row_number().over(back)).filter(F.col("_n") <= most)
+    met = met.join(sizes, F.col(key).eqNullSafe(F.col("_key")))
+    return met.filter(F.col("_n") <= F.col("_left")).select(*rows.columns)
 
 
 def every_2nd(rows: DataFrame, key: str, most: int = 20, keep: int = 15, order: tuple[str, ...] = ORDER) -> DataFrame:
     """Rows at whose arrival the list of ``bounded``, before its cut, has an even size."""
-    n = F.row_number().over(in_order(key, order))
+    n = F.col("_n") + 1
     size = F.when(n <= most + 1, n).otherwise(keep + 1 + F.pmod(n - (most + 2), F.lit(most + 1 - keep)))
-    return rows.withColumn("size_before_cut", size.cast("long")).filter("size_before_cut % 2 = 0")
+    met = numbered(rows, key, list(order), "_n").withColumn("size_before_cut", size.cast("long"))
+    return met.filter("size_before_cut % 2 = 0").drop("_n")
 
 
 def cooldown(questions: DataFrame, seconds: float, key: str = "user_id") -> DataFrame:

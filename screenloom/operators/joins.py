@@ -10,15 +10,32 @@ from screenloom.functions.text import word_count
 from screenloom.operators.log import recent_lists
 
 
-def asof_context(questions: DataFrame, captures: DataFrame, n: int = 1000) -> DataFrame:
+DAY = 86400
+
+
+def asof_context(questions: DataFrame, captures: DataFrame, n: int = 1000, span: int = DAY) -> DataFrame:
     """Each question with the start of the user's latest capture at or before it.
 
-    One pass in time order over both tables, by user; no range join.
+    Both tables pass in time order inside spans of a user's time, so a busy user is many tasks;
+    what a span begins with is the last capture of the spans before it. No range join.
     """
-    left = questions.select("user_id", "ts_s", F.lit(1).alias("side"), "question_id", "question", F.lit(None).cast("string").alias("seen"), F.lit(0).cast("long").alias("cid"))
-    right = captures.select("user_id", "ts_s", F.lit(0).alias("side"), F.lit(None).cast("long").alias("question_id"), F.lit(None).cast("string").alias("question"), F.substring("text", 1, n).alias("seen"), F.col("capture_id").alias("cid"))
-    order = Window.partitionBy("user_id").orderBy("ts_s", "side", "cid").rowsBetween(Window.unboundedPreceding, 0)
-    met = left.union(right).withColumn("context", F.last("seen", ignorenulls=True).over(order)).filter("side = 1")
+    cut = lambda d: d.withColumn("span", F.floor(F.col("ts_s") / span))
+    none = lambda kind: F.lit(None).cast(kind)
+    left = cut(questions).select("user_id", "span", "ts_s", F.lit(1).alias("side"), "question_id", "question", none("string").alias("seen"), F.lit(0).cast("long").alias("cid"))
+    right = cut(captures).select(
+        "user_id", "span", "ts_s", F.lit(0).alias("side"), none("long").alias("question_id"), none("string").alias("question"),
+        F.substring("text", 1, n).alias("seen"), F.col("capture_id").alias("cid"),
+    )
+    order = Window.partitionBy("user_id", "span").orderBy("ts_s", "side", "cid").rowsBetween(Window.unboundedPreceding, 0)
+    met = left.union(right).withColumn("inside", F.last("seen", ignorenulls=True).over(order)).filter("side = 1")
+    # one row a user and span: its last capture, handed on to the spans after it
+    ends = left.select("user_id", "span", none("string").alias("end")).union(
+        right.filter("seen IS NOT NULL").groupBy("user_id", "span").agg(F.max_by("seen", F.struct("ts_s", "cid")).alias("end"))
+    )
+    ends = ends.groupBy("user_id", "span").agg(F.max("end").alias("end"))
+    earlier = Window.partitionBy("user_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("user_id", "span", F.last("end", ignorenulls=True).over(earlier).alias("carried"))
+    met = met.join(carried, ["user_id", "span"], "left").withColumn("context", F.coalesce("inside", "carried"))
     with_text = F.when(F.coalesce("context", F.lit("")) != "", F.concat(F.col("question"), F.lit("\n\nOn screen:\n"), F.col("context"))).otherwise(F.col("question"))
     return met.select("question_id", "user_id", "ts_s", "context", with_text.alias("prompt"))
 
