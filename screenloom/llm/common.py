@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space, tab, LF, VT, FF and CR.
@@ -55,15 +57,29 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def staged(df: DataFrame, name: str, observe: dict[str, Column] | None = None):
+    """Write ``df`` to the shared folder and read it back; with what was observed in writing, if asked.
 
     Cuts the lineage at a table that outlives any executor and that later steps scan with
     column pruning; each staged table is written once and read by path.
     """
     path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    seen = Observation() if observe else None
+    (df.observe(seen, *[c.alias(k) for k, c in observe.items()]) if observe else df).write.parquet(path)
+    table_ = df.sparkSession.read.schema(df.schema).parquet(path)
+    return (table_, seen.get) if observe else table_
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
+    """Within, Arrow batches hold ``n`` rows at most; for wide rows that are staged meanwhile."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def running_sum(df: DataFrame, order: list[Column], value: str, into: str) -> DataFrame:

@@ -19,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from screenloom.llm.common import id_filter, may_be_in, staged, word_hashes
+from screenloom.llm.common import arrow_rows, id_filter, may_be_in, staged, word_hashes
 from screenloom.llm.hashing import mix, runs, window_hashes
 
 SHINGLE = 5
@@ -32,6 +32,10 @@ BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 #: Pairs with fewer equal registers (six standard deviations under 0.8) need no verification.
 LEAST_EQUAL = 75
+#: Buckets of at most this many members are tried pair by pair.
+SMALL = 12
+#: Sizes of a class differ by this factor at most.
+SIZE_STEP = 1.02
 
 
 def shingles(words: np.ndarray, starts: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,7 +111,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a, words, starts in runs(b.column("w")):
+            for a, words, starts in runs(b.column("w"), 1 << 18):
                 n = len(starts) - 1
                 table = sketch(*shingles(words, starts), n)
                 keys = band_keys(table).view(np.int64)
@@ -141,6 +145,12 @@ def weighted_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, elems array<long>, counts array<int>")
 
 
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """(id, text) -> id, elems, counts, staged; documents without words are left out."""
+    with arrow_rows(docs.sparkSession, 2000):
+        return staged(weighted_sets(docs.select("id", word_hashes(F.col("text")).alias("w"))).filter(F.size("elems") > 0), "near-sets")
+
+
 def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
     """Sum over common elements i of 1 / sum over all j of max(x_j / x_i, y_j / y_i).
 
@@ -176,13 +186,11 @@ def verified(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, threshold:
         .withColumn("equal", F.aggregate(F.zip_with("ra", "rb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x))
         .filter(F.col("equal") >= LEAST_EQUAL)
         .select("a", "b")
-        .distinct()
     )
     near = staged(near, "near-candidates")
-    ids = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
+    ids = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id")))
     wanted = may_be_in(docs.withColumnRenamed("doc_id", "id"), "id", id_filter(ids))
-    # rows of one id are one document: any one of them stands for it
-    sets = staged(weighted_sets(wanted.select("id", word_hashes(F.col("text")).alias("w"))).filter(F.size("elems") > 0), "near-sets")
+    sets = shingle_sets(wanted)
     left = sets.select(F.col("id").alias("a"), F.col("elems").alias("ea"), F.col("counts").alias("ca"))
     right = sets.select(F.col("id").alias("b"), F.col("elems").alias("eb"), F.col("counts").alias("cb"))
     both = near.join(right, "b").join(left, "a")
@@ -197,7 +205,8 @@ def verified(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, threshold:
             keep = pa.array(ok, pa.bool_())
             yield pa.record_batch([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    return staged(both.select("a", "b", "ea", "ca", "eb", "cb").mapInArrow(check, "a long, b long").distinct(), "near-links")
+    with arrow_rows(docs.sparkSession, 1000):
+        return staged(both.select("a", "b", "ea", "ca", "eb", "cb").mapInArrow(check, "a long, b long").distinct(), "near-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -208,64 +217,116 @@ def components(links: DataFrame) -> DataFrame:
     """
 
     def step(edges: DataFrame, large: bool) -> DataFrame:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        if not large:
-            both = both.filter(F.col("b") <= F.col("a"))
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         met = both.join(least, "a")
         if large:
-            out = met.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        else:
-            out = met.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+            return met.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        out = met.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         return out.filter(F.col("a") != F.col("b")).distinct()
 
-    edges = staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
+    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    mark = {"n": F.count(F.lit(1)), "h": F.sum(F.hash("a", "b").cast("long"))}
+    before = None
     while True:
-        now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h")).first()
-        if now == mark:
+        edges, now = staged(step(step(edges, True), False), "edges", mark)
+        if now == before:
             break
-        mark = now
-        edges = staged(step(step(edges, True), False), "edges")
+        before = now
     roots = edges.select(F.col("a").alias("id"), F.col("b").alias("label"))
     return roots.union(edges.select(F.col("b").alias("id"), F.col("b").alias("label"))).groupBy("id").agg(F.min("label").alias("label"))
 
 
+def shared_parts(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, n, c, s, flat: how much of a document any other of these documents has.
+
+    n distinct shingles, c of them found elsewhere too, s the share of the weight they make up;
+    flat if all its weights are equal.
+    """
+    sets = shingle_sets(may_be_in(docs.withColumnRenamed("doc_id", "id"), "id", id_filter(ids)).join(ids, "id", "left_semi"))
+    each = sets.select("id", F.explode(F.arrays_zip("elems", "counts")).alias("e")).select("id", "e.*")
+    common = each.groupBy("elems").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y").select("elems")
+    found = each.join(common, "elems").groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.sum("counts").alias("w"))
+    whole = sets.groupBy("id").agg(
+        F.max(F.size("elems")).alias("n"), F.max(F.aggregate("counts", F.lit(0), lambda a, x: a + x)).alias("total"),
+        F.max(F.array_max("counts")).alias("most"), F.min(F.array_min("counts")).alias("least"),
+    )
+    met = whole.join(found, "id", "left").fillna(0, ["c", "w"])
+    return staged(
+        met.select("id", "n", "c", (F.col("w") / F.col("total")).alias("s"), (F.col("most") == F.col("least")).alias("flat")), "shared-parts"
+    )
+
+
+def size_class(n: Column) -> Column:
+    return F.floor(F.log(n) / F.log(F.lit(SIZE_STEP))).cast("int")
+
+
+def reachable(rest: DataFrame, others: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of a bucket, from ``rest`` and ``others``, whose similarity can reach the threshold t.
+
+    With equal weights the similarity is that of sets: a pair needs min(c, c') common shingles
+    or more than t / (1 + t) * (n + n'), so sizes bound each other and pairs meet by size class
+    only. With any weights it is at most s s' / (1 - (1 - s)(1 - s')).
+    """
+    t = threshold - 1e-9
+    one = lambda d, x: d.select("band", *[F.col(c).alias(f"{c}{x}") for c in ("id", "label", "n", "c", "s", "flat")])
+    u, v = one(rest, "_u"), one(others, "_v")
+    differ = F.col("label_u") != F.col("label_v")
+    least, most = t * F.col("n_u"), F.least(F.col("n_u") / t, F.col("c_u") * ((1 + t) / t) - F.col("n_u"))
+    classes = F.explode(F.sequence(size_class(least), size_class(most)))
+    flat_u = u.filter("flat_u").filter(most >= least).withColumn("class", classes)
+    flat_v = v.filter("flat_v").withColumn("class", size_class(F.col("n_v")))
+    enough = F.least("c_u", "c_v") * (1 + t) >= t * (F.col("n_u") + F.col("n_v"))
+    flat = flat_u.join(flat_v, ["band", "class"]).filter(differ & enough)
+    bound = F.col("s_u") * F.col("s_v") >= t * (1 - (1 - F.col("s_u")) * (1 - F.col("s_v")))
+    uneven = u.filter("NOT flat_u").join(v, "band").filter(differ & bound)
+    mixed = u.filter("flat_u").join(v.filter("NOT flat_v"), "band").filter(differ & bound)
+    pair = lambda d: d.select(F.least("id_u", "id_v").alias("a"), F.greatest("id_u", "id_v").alias("b"))
+    return pair(flat).union(pair(uneven)).union(pair(mixed)).distinct()
+
+
 def bucket_labels(bands: DataFrame, docs: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
     """(band, id) -> id, label of the ids that have a link.
 
-    In every bucket, members are tried against its smallest member; where more than one group
-    is left in a bucket, against the smallest member outside its largest group; what is still
-    left over is tried against all members of other groups there. A pair inside one group needs
-    no test, so no pair of a bucket that could change a group goes untested, and no bucket emits
-    all its pairs.
+    In every bucket, members are tried against its smallest member. Those without that link are
+    tried with every member in small buckets; in large ones the member most of which others have
+    too is tried against all. What is then outside a large bucket's main group is tried against
+    every member of other groups that it can reach by an exact bound. A pair inside one group
+    needs no test, so no pair of a bucket that could change a group goes untested.
     """
-    leads = bands.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("lead < last")
-    members = staged(bands.join(leads.select("band", "lead"), "band").distinct(), "buckets")
+    leads = bands.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count_distinct("id").alias("size"))
+    members = staged(bands.join(leads.filter("lead < last").select("band", "lead", "size"), "band").distinct(), "buckets")
+    ordered = lambda d, x, y: d.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
     tried = staged(members.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = verified(tried, docs, sketched, threshold)
+
+    linked = links.select(F.col("a").alias("lead"), F.col("b").alias("id"), F.col("a").alias("to"))
+    placed = members.join(linked, ["lead", "id"], "left")
+    placed = staged(placed.select("band", "size", "id", F.coalesce("to", F.when(F.col("id") == F.col("lead"), F.col("id"))).alias("to")), "placed")
+    missing = placed.filter("to IS NULL").select("band", "id", "size")
+    few = missing.filter(F.col("size") <= SMALL).select("band", F.col("id").alias("x"))
+    by_pair = placed.select("band", "id").join(few, "band").filter("id <> x").select("id", "x")
+    crowded = missing.filter(F.col("size") > SMALL).select("band").distinct()
+    large = staged(members.filter(F.col("size") > SMALL).join(crowded, "band", "left_semi").select("band", "id"), "large")
+    parts = shared_parts(large.select("id").distinct(), docs)
+    known = staged(large.join(parts, "id"), "large-parts")
+    pivot = known.groupBy("band").agg(F.max_by("id", F.struct(F.col("c") / F.col("n"), -F.col("id"))).alias("x"))
+    star = known.select("band", "id").join(pivot, "band").filter("id <> x").select("id", "x")
+    more = staged(ordered(star.union(by_pair), "id", "x").join(tried, ["a", "b"], "left_anti"), "pairs")
+    links = links.union(verified(more, docs, sketched, threshold))
     labels = staged(components(links), "labels")
-    for whole in (False, True):
-        placed = members.select("band", "id").join(labels, "id", "left")
-        placed = placed.select("band", "id", F.coalesce("label", "id").alias("label"))
-        sizes = placed.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-        main = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("k"))
-        open_ = placed.join(main.filter("k > 1").select("band", "main"), "band")
-        rest = open_.filter("label <> main").select("band", F.col("id").alias("pivot"), F.col("label").alias("p_label"))
-        if not whole:
-            rest = rest.groupBy("band").agg(F.min_by(F.struct("pivot", "p_label"), "pivot").alias("p")).select("band", "p.*")
-        pairs = open_.join(rest, "band").filter("label <> p_label")
-        pairs = pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        found = verified(pairs, docs, sketched, threshold)
-        tried = tried.union(pairs)
-        if found.isEmpty():
-            continue
-        links = links.union(found)
-        labels = staged(components(links), "labels")
-    return labels
+
+    known = known.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    known = staged(known.filter(F.col("s") >= threshold - 1e-9), "large-labels")
+    main = known.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    rest = known.join(main, "band").filter("label <> main")
+    last = staged(reachable(rest, known, threshold).join(tried.union(more), ["a", "b"], "left_anti"), "pairs")
+    if last.isEmpty():
+        return labels
+    found = verified(last, docs, sketched, threshold)
+    if found.isEmpty():
+        return labels
+    return staged(components(links.union(found)), "labels")
 
 
 def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -275,7 +336,8 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", thr
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     known = rows.filter(F.col("doc_id").isNotNull())
-    sketched = staged(sketches(known.select("doc_id", F.md5("text").alias("sig"), word_hashes(F.col("text")).alias("w"))), "sketches")
+    with arrow_rows(docs.sparkSession, 2000):
+        sketched = staged(sketches(known.select("doc_id", F.md5("text").alias("sig"), word_hashes(F.col("text")).alias("w"))), "sketches")
     reps = staged(sketched.groupBy("sig").agg(F.min("doc_id").alias("rep")), "copies")
     bands = (
         sketched.select("doc_id", "bands")
