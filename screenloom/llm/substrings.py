@@ -7,7 +7,7 @@ A passage is 50 words that also start in a document with a smaller id. Steps:
 2. Phrases found in at least two different texts recur; the words of each are taken from
    the smallest document that has it.
 3. Documents that may hold recurring phrases go to shards; a shard compiles the phrases of
-   its documents into an automaton (pyahocorasick, a word is a letter) and streams its
+   its documents into an automaton (pyahocorasick, a word is four letters) and streams its
    documents through it, which yields every occurrence.
 4. The 50-word windows around occurrences are grouped by a 128-bit hash of their words; a
    window goes if its smallest document is smaller than its own.
@@ -34,7 +34,9 @@ from screenloom.llm.hashing import BASE, mix, runs, window_hashes
 WINDOW = 50
 PHRASE = 25
 #: Phrases compiled into one automaton, about.
-SHARD_PHRASES = 40_000
+SHARD_PHRASES = 16_000
+#: Letters of a word in an automaton.
+LETTERS = 4
 OTHER_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -86,8 +88,8 @@ def selected(docs: DataFrame) -> DataFrame:
 
 
 def letters(w: np.ndarray) -> np.ndarray:
-    """A word as a letter of an automaton's alphabet."""
-    return (w & np.uint64(0x7FFFFFFF)).astype(np.int64)
+    """Each word as LETTERS bytes of its hash: a node has few branches, which it tries in turn."""
+    return w.astype("<u4").view(np.uint8).reshape(-1, LETTERS)
 
 
 def spelled(docs: DataFrame) -> DataFrame:
@@ -97,16 +99,17 @@ def spelled(docs: DataFrame) -> DataFrame:
         for b in batches:
             for a, w, starts in runs(b.column("w"), 1 << 18):
                 doc, at, h = phrases(w, starts)
-                spelling = letters(w)[at[:, None] + np.arange(PHRASE)].astype(np.int32)
+                spelling = letters(w)[at[:, None] + np.arange(PHRASE)].tobytes()
+                ends = np.arange(len(h) + 1, dtype=np.int32) * (PHRASE * LETTERS)
                 yield pa.record_batch(
                     [
                         pa.array(h.view(np.int64)), b.column("doc_id").take(pa.array(a + doc)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1) * PHRASE, pa.int32()), pa.array(spelling.ravel())),
+                        pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(ends), pa.py_buffer(spelling)]),
                     ],
                     names=["phrase", "doc_id", "spelling"],
                 )
 
-    return docs.mapInArrow(run, "phrase long, doc_id long, spelling array<int>")
+    return docs.mapInArrow(run, "phrase long, doc_id long, spelling binary")
 
 
 def located(rows: DataFrame) -> DataFrame:
@@ -119,8 +122,10 @@ def located(rows: DataFrame) -> DataFrame:
     def windows(automaton, w: np.ndarray) -> np.ndarray:
         n = len(w) - WINDOW + 1
         marks = np.zeros(n + 1, np.int64)
-        for end, _ in automaton.iter(tuple(letters(w).tolist())):
-            a = end - PHRASE + 1
+        for end, _ in automaton.iter(letters(w).tobytes().decode("latin-1")):
+            if end % LETTERS != LETTERS - 1:
+                continue  # begins inside a word
+            a = end // LETTERS - PHRASE + 1
             marks[max(0, a - (WINDOW - PHRASE))] += 1
             marks[min(n, a + 1)] -= 1
         return np.flatnonzero(np.cumsum(marks[:n]))
@@ -136,9 +141,9 @@ def located(rows: DataFrame) -> DataFrame:
             for k in range(b.num_rows):
                 if shards[k] != shard:
                     shard, ready = shards[k], False
-                    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+                    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
                 if kinds[k] == 0:
-                    automaton.add_word(tuple(spellings[k].values.to_pylist()), 1)
+                    automaton.add_word(spellings[k].as_py().decode("latin-1"), 1)
                     continue
                 if not ready:
                     automaton.make_automaton()
@@ -201,7 +206,7 @@ def repeated_windows(known: DataFrame) -> DataFrame:
         "shard", F.lit(0).alias("kind"), "spelling", F.lit(None).cast("long").alias("doc_id"),
         F.lit(None).cast("long").alias("sig"), F.lit(None).cast("string").alias("text"),
     ).union(
-        texts.select(shard.alias("shard"), F.lit(1).alias("kind"), F.lit(None).cast("array<int>").alias("spelling"), "doc_id", "sig", "text")
+        texts.select(shard.alias("shard"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("spelling"), "doc_id", "sig", "text")
     )
     rows = hashed(rows.repartition(n, "shard").sortWithinPartitions("shard", "kind"))
     found = staged(located(rows.select("shard", "kind", "spelling", "doc_id", "sig", "w")), "windows")
