@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-MEMO = 400_000
+MEMO = 1_200_000
+#: Pairs of pieces whose merging is remembered.
+PAIRS = 1_500_000
 #: Positions between two looks at where paths meet.
 LOOK = 64
 
@@ -41,6 +43,7 @@ class Vocabulary:
     _loaded: dict[str, Vocabulary] = {}
 
     def __init__(self, path: str):
+        import ahocorasick
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -51,6 +54,10 @@ class Vocabulary:
         self.bytes = {int(model.id_to_piece(i)[3:-1], 16): i for i in range(n) if model.is_byte(i)}
         self.unknown = model.unk_id()
         self.longest = max(map(len, self.ids))
+        self.automaton = ahocorasick.Automaton()
+        for piece in self.ids:
+            self.automaton.add_word(piece, piece)
+        self.automaton.make_automaton()
         self.texts = [b""] * n
         for piece, i in self.ids.items():
             self.texts[i] = piece.replace(SPACE, " ").encode()
@@ -63,6 +70,7 @@ class Vocabulary:
         self.words = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+") if not any("\n" in p for p in self.ids) else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.follows: dict[tuple[str, str], bool] = {}
         self.memo: dict[str, bytes] = {}
+        self.packed = {p: np.array([i], np.uint32).tobytes() for p, i in self.ids.items()}
 
     @classmethod
     def of(cls, path: str) -> Vocabulary:
@@ -88,17 +96,18 @@ class Vocabulary:
         key = (before, piece)
         found = self.follows.get(key)
         if found is None:
-            if len(self.follows) > 4 * MEMO:
+            if len(self.follows) > PAIRS:
                 self.follows.clear()
             found = self.follows[key] = self.merged(before + piece) == ([before, piece] if before else [piece])
         return found
 
-    def piece_ids(self, piece: str) -> list[int]:
-        """The id of a piece, or the bytes of a character that is none."""
-        found = self.ids.get(piece)
-        if found is not None:
-            return [found]
-        return [self.bytes.get(b, self.unknown) for b in piece.encode()] if self.bytes else [self.unknown]
+    def pack(self, piece: str) -> bytes:
+        """The id of a piece as 32 bits, or those of the bytes of a character that is none."""
+        found = self.packed.get(piece)
+        if found is None:
+            ids = [self.bytes.get(b, self.unknown) for b in piece.encode()] if self.bytes else [self.unknown]
+            found = self.packed[piece] = np.array(ids, np.uint32).tobytes()
+        return found
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as 32-bit numbers."""
@@ -111,7 +120,7 @@ class Vocabulary:
             ids = memo.get(word)
             if ids is None:
                 path = Path(self)
-                ids = np.array([*path.push(word), *path.finish()], np.uint32).tobytes()
+                ids = path.push(word) + path.finish()
                 if len(word) <= 64:
                     memo[word] = ids
             out.append(ids)
@@ -129,29 +138,43 @@ class Path:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.tail = ""  # the last characters, as many as the longest piece has
-        self.base = 0  # positions before this are committed
-        self.n = 0
-        self.last = [""]  # the piece that ends at each position from base on
-
-    def push(self, text: str) -> list[int]:
-        v, out = self.v, []
-        known, longest, last = v.ids, v.longest, self.last
-        for c in text:
-            self.tail = tail = (self.tail + c)[-longest:]
-            self.n += 1
-            end = self.n - self.base
-            for size in range(min(len(tail), end), 0, -1):
-                piece = tail[-size:]
-                if (size == 1 or piece in known) and v.may_follow(last[end - size], piece):
-                    last.append(piece)
-                    break
-            if end % LOOK == 0 and end > longest:
-                out += self.commit({*range(end - longest + 1, end + 1)})
-                last = self.last
+        self.tail = ""  # the last characters, fewer than the longest piece has
+        self.last = [""]  # the piece that ends at each position since the last commit
+
+    def push(self, text: str) -> bytes:
+        out, longest = b"", self.v.longest
+        for a in range(0, len(text), LOOK):
+            self.advance(text[a : a + LOOK])
+            end = len(self.last) - 1
+            if end >= LOOK:
+                out += self.commit({*range(max(0, end - longest + 1), end + 1)})
         return out
 
-    def commit(self, live: set[int]) -> list[int]:
+    def advance(self, text: str) -> None:
+        """The piece that ends at each new position; the vocabulary's automaton names those in question."""
+        last, follows, may_follow = self.last, self.v.follows, self.v.may_follow
+        buffer = self.tail + text
+        known = len(last)  # the first position without a piece
+        shift = known - len(self.tail)  # of a match that ends at character e, e + shift is the position
+        for e, piece in self.v.automaton.iter(buffer):
+            end = e + shift
+            if end < known:
+                continue
+            while known < end:  # a character of no piece
+                last.append(buffer[known - shift])
+                known += 1
+            start = end - len(piece)
+            if start >= 0:
+                before = last[start]
+                fits = follows.get((before, piece))
+                if fits or (fits is None and may_follow(before, piece)):
+                    last.append(piece)
+                    known += 1
+        for k in range(known - shift, len(buffer)):
+            last.append(buffer[k])
+        self.tail = buffer[-self.v.longest :]
+
+    def commit(self, live: set[int]) -> bytes:
         """Ids up to where the paths from all live positions meet."""
         while len(live) > 1:
             far = max(live)
@@ -159,21 +182,20 @@ class Path:
             live.add(far - len(self.last[far]))
         meet = live.pop()
         if meet == 0:
-            return []
+            return b""
         out = self.path(meet)
         # the piece before the meeting point decides what may follow it
         self.last = self.last[meet:]
-        self.base += meet
         return out
 
-    def path(self, end: int) -> list[int]:
+    def path(self, end: int) -> bytes:
         parts = []
         while end > 0:
-            parts.append(self.last[end])
+            parts.append(self.v.pack(self.last[end]))
             end -= len(self.last[end])
-        return [i for piece in reversed(parts) for i in self.v.piece_ids(piece)]
+        return b"".join(reversed(parts))
 
-    def finish(self) -> list[int]:
+    def finish(self) -> bytes:
         return self.path(len(self.last) - 1)
 
 

@@ -51,11 +51,11 @@ def test_a_text_in_parts_equals_the_library(text, size):
     import sentencepiece
 
     library = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
-    path, out = pieces.Path(pieces.Vocabulary.of(pieces.model_path())), []
+    path, out = pieces.Path(pieces.Vocabulary.of(pieces.model_path())), b""
     full = pieces.SPACE + text.replace(" ", pieces.SPACE) if text else ""
     for a in range(0, len(full), size):
         out += path.push(full[a : a + size])
-    assert out + path.finish() == library.encode(text)
+    assert np.frombuffer(out + path.finish(), np.uint32).tolist() == library.encode(text)
 
 
 def test_the_window_stays_bounded(vocabulary):
