@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screenloom.llm.common import fresh_dir, running_sum, staged
+from screenloom.llm.common import arrow_rows, fresh_dir, running_sum, staged
 from screenloom.llm.tokens import TOKENIZER, PieceEncoder, coded, pre_tokens, tokenizer_path
 
 MAGIC = b"BITIDS01"
@@ -149,12 +149,9 @@ def write_ids(docs: DataFrame, directory: str, text: str = "text", id_col: str =
         if docs_:
             yield flush()
 
-    return staged(
-        rows.select("doc_id", pre_tokens(F.col("text")).alias("pieces")).mapInArrow(
-            encode, "part long, seq long, file string, n_ids long"
-        ),
-        "ids-manifest",
-    )
+    pieces = rows.select("doc_id", pre_tokens(F.col("text")).alias("pieces"))
+    with arrow_rows(docs.sparkSession, 2000):
+        return staged(pieces.mapInArrow(encode, "part long, seq long, file string, n_ids long"), "ids-manifest")
 
 
 def slices(lists: pa.ListArray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from screenloom.llm.common import staged
+from screenloom.llm.common import arrow_rows, staged
 
 TOKENIZER = "byte_bpe_50k.json"
 SPECIAL = "<|endoftext|>"
@@ -230,7 +230,8 @@ def count_tokens(docs: DataFrame, text: str = "text", id_col: str = "doc_id", pa
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     keyed = rows.select("doc_id", F.hash("text").alias("sig"), "text")
     pieces = piece_frequencies(rows.select(pre_tokens(F.col("text")).alias("pieces")))
-    counted = staged(piece_counts(pieces, path), "piece-counts")
+    with arrow_rows(docs.sparkSession, 4000):
+        counted = staged(piece_counts(pieces, path), "piece-counts")
     known = frequent(counted)
     met = document_frequencies(keyed.select("doc_id", "sig", pre_tokens(F.col("text")).alias("pieces")), known)
     summed = met.join(counted.select("piece", "n_tokens"), "piece", "left").groupBy("doc_id", "sig").agg(
