@@ -173,6 +173,11 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
     return float((xs / total).sum())
 
 
+def agreeing(x: Column, y: Column) -> Column:
+    """Registers with the same shingle."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, e: s + e)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of at least the threshold, by exact similarity.
 
@@ -183,8 +188,7 @@ def verified(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, threshold:
     near = (
         pairs.join(regs.select(F.col("doc_id").alias("b"), F.col("registers").alias("rb")), "b")
         .join(regs.select(F.col("doc_id").alias("a"), F.col("registers").alias("ra")), "a")
-        .withColumn("equal", F.aggregate(F.zip_with("ra", "rb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x))
-        .filter(F.col("equal") >= LEAST_EQUAL)
+        .filter(agreeing(F.col("ra"), F.col("rb")) >= LEAST_EQUAL)
         .select("a", "b")
     )
     near = staged(near, "near-candidates")
@@ -269,18 +273,23 @@ def reachable(rest: DataFrame, others: DataFrame, threshold: float) -> DataFrame
     only. With any weights it is at most s s' / (1 - (1 - s)(1 - s')).
     """
     t = threshold - 1e-9
-    one = lambda d, x: d.select("band", *[F.col(c).alias(f"{c}{x}") for c in ("id", "label", "n", "c", "s", "flat")])
+    # a pair that shares several buckets is made in the first of them only
+    shared = others.groupBy("id").agg(F.sort_array(F.collect_set("band")).alias("bands"))
+    rest, others = rest.join(shared, "id"), others.join(shared, "id")
+    one = lambda d, x: d.select("band", F.col("band").alias(f"band{x}"), *[F.col(c).alias(f"{c}{x}") for c in ("id", "label", "n", "c", "s", "flat", "bands", "registers")])
     u, v = one(rest, "_u"), one(others, "_v")
     differ = F.col("label_u") != F.col("label_v")
+    first = F.col("band_u") == F.get(F.array_intersect("bands_u", "bands_v"), F.lit(0))
+    likely = agreeing(F.col("registers_u"), F.col("registers_v")) >= LEAST_EQUAL
     least, most = t * F.col("n_u"), F.least(F.col("n_u") / t, F.col("c_u") * ((1 + t) / t) - F.col("n_u"))
     classes = F.explode(F.sequence(size_class(least), size_class(most)))
     flat_u = u.filter("flat_u").filter(most >= least).withColumn("class", classes)
     flat_v = v.filter("flat_v").withColumn("class", size_class(F.col("n_v")))
     enough = F.least("c_u", "c_v") * (1 + t) >= t * (F.col("n_u") + F.col("n_v"))
-    flat = flat_u.join(flat_v, ["band", "class"]).filter(differ & enough)
+    flat = flat_u.join(flat_v, ["band", "class"]).filter(differ & enough & first & likely)
     bound = F.col("s_u") * F.col("s_v") >= t * (1 - (1 - F.col("s_u")) * (1 - F.col("s_v")))
-    uneven = u.filter("NOT flat_u").join(v, "band").filter(differ & bound)
-    mixed = u.filter("flat_u").join(v.filter("NOT flat_v"), "band").filter(differ & bound)
+    uneven = u.filter("NOT flat_u").join(v, "band").filter(differ & bound & first & likely)
+    mixed = u.filter("flat_u").join(v.filter("NOT flat_v"), "band").filter(differ & bound & first & likely)
     pair = lambda d: d.select(F.least("id_u", "id_v").alias("a"), F.greatest("id_u", "id_v").alias("b"))
     return pair(flat).union(pair(uneven)).union(pair(mixed)).distinct()
 
@@ -317,7 +326,8 @@ def bucket_labels(bands: DataFrame, docs: DataFrame, sketched: DataFrame, thresh
     labels = staged(components(links), "labels")
 
     known = known.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    known = staged(known.filter(F.col("s") >= threshold - 1e-9), "large-labels")
+    sketch_of = sketched.select(F.col("doc_id").alias("id"), "registers")
+    known = staged(known.filter(F.col("s") >= threshold - 1e-9).join(sketch_of, "id"), "large-labels")
     main = known.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
     rest = known.join(main, "band").filter("label <> main")
     last = staged(reachable(rest, known, threshold).join(tried.union(more), ["a", "b"], "left_anti"), "pairs")
