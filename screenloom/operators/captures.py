@@ -82,17 +82,21 @@ def frame_confidence(frames: DataFrame) -> DataFrame:
     )
 
 
-def merged_lines(captures: DataFrame, key: str = "source", order: str = "capture_id") -> DataFrame:
-    """Key, line_idx, line: each distinct line of a session once, where it is first seen.
+def first_sights(captures: DataFrame, key: str, order: str) -> DataFrame:
+    """Key, line, _at, _no: each distinct line of a session once, with the place where it is first seen.
 
     The first sight is a grouped minimum, so a line that repeats everywhere is combined before
-    it is shuffled; only distinct lines are numbered, in ranges.
+    it is shuffled.
     """
     lines = captures.select(key, order, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "raw"))
     lines = lines.select(key, order, "line_no", strip(F.col("raw")).alias("line")).filter(F.col("line") != "")
     first = lines.groupBy(key, "line").agg(F.min(F.struct(order, "line_no")).alias("at"))
-    first = first.select(key, "line", F.col(f"at.{order}").alias("_at"), F.col("at.line_no").alias("_no"))
-    return numbered(first, key, ["_at", "_no"], "line_idx").select(key, "line_idx", "line")
+    return first.select(key, "line", F.col(f"at.{order}").alias("_at"), F.col("at.line_no").alias("_no"))
+
+
+def merged_lines(captures: DataFrame, key: str = "source", order: str = "capture_id") -> DataFrame:
+    """Key, line_idx, line: each distinct line of a session once, numbered in ranges."""
+    return numbered(first_sights(captures, key, order), key, ["_at", "_no"], "line_idx").select(key, "line_idx", "line")
 
 
 def merged_text(captures: DataFrame, key: str = "source", order: str = "capture_id") -> DataFrame:
@@ -103,14 +107,41 @@ def merged_text(captures: DataFrame, key: str = "source", order: str = "capture_
 
 
 SCROLLED = "\n--- scrolled content ---\n"
+#: No Spark string or array holds more bytes.
+MOST_BYTES = 2**31 - 2**20
 
 
-def combined_text(captures: DataFrame, key: str = "source", order: str = "capture_id") -> DataFrame:
-    """The first capture's text, a marker, and what the session adds to it."""
-    first = captures.groupBy(key).agg(F.min_by(F.coalesce("text", F.lit("")), order).alias("visible"))
-    met = first.join(merged_text(captures, key, order), key, "left")
-    more = F.when(F.coalesce("merged", F.lit("")) != "", F.concat(F.lit(SCROLLED), F.col("merged"))).otherwise(F.lit(""))
-    return met.select(key, F.concat("visible", more).alias("combined"))
+def combined_lines(captures: DataFrame, key: str = "source", order: str = "capture_id") -> DataFrame:
+    """Key, position, line: the first capture's lines, a marker, and what the session adds to it.
+
+    Lines of any session are numbered in ranges, so no task holds a session.
+    """
+    added = first_sights(captures, key, order)
+    at = added.schema["_at"].dataType
+    row = lambda d, part, no, line: d.select(key, F.lit(part).alias("_part"), F.lit(None).cast(at).alias("_at"), no.alias("_no"), line.alias("line"))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    first = captures.groupBy(key).agg(F.min_by(F.coalesce("text", F.lit("")), order).alias("text"))
+    visible = row(first.select(key, F.posexplode(lines).alias("no", "x")), 0, F.col("no"), F.col("x"))
+    adds = captures.filter(F.exists(lines, lambda x: strip(x) != "")).select(key).distinct()
+    marker = row(adds, 1, F.lit(0), F.lit(SCROLLED.strip("\n")))
+    rows = visible.union(marker).union(added.select(key, F.lit(2).alias("_part"), "_at", "_no", "line"))
+    return numbered(rows, key, ["_part", "_at", "_no"], "position").select(key, "position", "line")
+
+
+def combined_text(captures: DataFrame, key: str = "source", order: str = "capture_id", most: int = MOST_BYTES) -> DataFrame:
+    """The combined lines of each session as one text.
+
+    One task makes one text, and no text can have over ``most`` bytes: sizes are summed first,
+    and longer sessions are refused by name. ``combined_lines`` takes sessions of any size.
+    """
+    lines = combined_lines(captures, key, order)
+    size = F.sum(F.octet_length("line") + F.lit(1).cast("long"))
+    long = lines.groupBy(key).agg(size.alias("size")).filter(F.col("size") > most).orderBy(F.desc("size")).limit(5).collect()
+    if long:
+        told = ", ".join(f"{r[key]} ({r['size']} bytes)" for r in long)
+        raise ValueError(f"sessions too long for one string of {most} bytes, take combined_lines: {told}")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "line"))), lambda x: x["line"]), "\n")
+    return lines.groupBy(key).agg(joined.alias("combined"))
 
 
 def search_lines(captures: DataFrame, term: str, stop_at_hit: bool = True, key: str = "source", order: str = "capture_id") -> DataFrame:

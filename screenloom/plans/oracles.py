@@ -254,6 +254,14 @@ SELECT f.source, concat(f.visible, CASE WHEN coalesce(m, '') <> '' THEN concat({
 FROM (SELECT source, arg_min(text, capture_id) AS visible FROM captures GROUP BY source) f LEFT JOIN joined USING (source)""",
     "captures",
 )
+add(
+    "combine_capture_lines",
+    f"""WITH {_merged('captures')}, seen AS (SELECT source, string_split(arg_min(text, capture_id), chr(10)) AS s FROM captures GROUP BY source)
+SELECT source, unnest(range(len(s))) AS position, unnest(s) AS line FROM seen
+UNION ALL SELECT source, len(s), {q(C.SCROLLED.strip(chr(10)))} FROM seen WHERE source IN (SELECT source FROM merged)
+UNION ALL SELECT source, len(s) + 1 + line_idx, line FROM merged JOIN seen USING (source)""",
+    "captures",
+)
 add("line_search", f"WITH {_until('search')}, {_merged('kept')} SELECT * FROM ({_CONTEXT}) WHERE contains(lower(line), 'search')", "captures")
 add("line_search_all", f"WITH {_merged('captures')} SELECT * FROM ({_CONTEXT}) WHERE contains(lower(line), 'search')", "captures")
 add(

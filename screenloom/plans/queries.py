@@ -218,6 +218,11 @@ def combine_capture_text(rows):
     return captures.combined_text(rows)
 
 
+@over("captures")
+def combine_capture_lines(rows):
+    return captures.combined_lines(rows)
+
+
 @over("captures")
 def line_search(rows):
     return captures.search_lines(rows, TERM)

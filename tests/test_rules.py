@@ -149,3 +149,13 @@ def test_json_records(spark):
     assert (got[2].summary, got[2].confidence) == ("no json", 0.7) and got[3].confidence == 0.7
     assert (got[4].summary, got[4].confidence) == ("", 0.5)
     assert answers.text_analysis(df).filter("response_id = 2").first().main_topics == ["general"]
+
+
+def test_combined_lines_are_rows_and_one_string_is_refused_by_size(spark):
+    rows = [(1, "s", "a\n b "), (2, "s", "b\nc"), (1, "t", " \n"), (2, "t", None)]
+    df = spark.createDataFrame(rows, "capture_id long, source string, text string")
+    got = {s: [r.line for r in captures.combined_lines(df).filter(F.col("source") == s).orderBy("position").collect()] for s in "st"}
+    assert got == {"s": ["a", " b ", "--- scrolled content ---", "a", "b", "c"], "t": [" ", ""]}
+    assert {r.source: r.combined for r in captures.combined_text(df).collect()} == {s: "\n".join(x) for s, x in got.items()}
+    with pytest.raises(ValueError, match="s \\(.* bytes\\)"):
+        captures.combined_text(df, most=20)
