@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from screenloom.functions import activity as A
 from screenloom.functions.text import word_count
 from screenloom.operators.log import recent_lists
+from screenloom.operators.ranges import numbered
 
 
 DAY = 86400
@@ -55,20 +56,57 @@ def combine_modalities(inputs: DataFrame) -> DataFrame:
     )
 
 
-def topics(inputs: DataFrame, n: int = 3) -> DataFrame:
-    """A stand-in for extracted topics: the first words of an input's text."""
-    found = F.slice(F.filter(F.split(F.coalesce("text", F.lit("")), r"(?U)\s+"), lambda w: w != ""), 1, n)
+def topics(inputs: DataFrame, n: int | None = 3) -> DataFrame:
+    """A stand-in for extracted topics: the first words of an input's text, or with None all."""
+    found = F.filter(F.split(F.coalesce("text", F.lit("")), r"(?U)\s+"), lambda w: w != "")
+    found = found if n is None else F.slice(found, 1, n)
     return inputs.select("user_id", F.posexplode(found).alias("pos", "topic"), "input_id").drop("pos")
 
 
+def with_next_parts(told: DataFrame, key: str, n: int) -> DataFrame:
+    """Key, parts, ahead: the parts with the n that follow them in the key's next descriptions.
+
+    Every description has a part at least, so n descriptions tell the n parts.
+    """
+    placed = numbered(told, key, ["input_id", "parts"], "place")
+    heads = placed.select(
+        F.col(key).alias("_key"), F.col("place").alias("_from"), F.slice("parts", 1, n).alias("head"),
+        F.explode(F.sequence(F.col("place") - n, F.col("place") - 1)).alias("_place"),
+    )
+    following = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_from", "head"))), lambda x: x["head"]))
+    after = heads.filter("_place >= 0").groupBy("_key", "_place").agg(F.slice(following, 1, n).alias("next"))
+    met = placed.join(after, F.col(key).eqNullSafe(F.col("_key")) & (F.col("place") == F.col("_place")), "left")
+    return met.select(key, "parts", F.concat("parts", F.coalesce("next", F.array().cast("array<string>"))).alias("ahead"))
+
+
+def mentioned(asked: DataFrame, scenes: DataFrame, key: str) -> DataFrame:
+    """The (key, topic) of ``asked`` whose topic stands anywhere in a scene description of its key.
+
+    Descriptions are joined by spaces in the order of their inputs, so a topic of k parts between
+    spaces stands in k parts that follow each other there. These windows are taken once a key, and their substrings of the lengths that topics have
+    meet the topics by equality: a row is a window or less, and never a key's whole text.
+    """
+    parts = F.size(F.split("topic", " ", -1))
+    shapes = asked.filter(F.col("topic").isNotNull()).select(parts.alias("k"), F.length("topic").alias("len")).distinct()
+    told = scenes.filter(F.col("scene_description").isNotNull()).select(key, "input_id", F.split(F.lower("scene_description"), " ", -1).alias("parts"))
+    most = shapes.agg(F.max("k")).first()[0] or 1
+    told = with_next_parts(told, key, most - 1) if most > 1 else told.withColumn("ahead", F.col("parts"))
+    met = told.join(F.broadcast(shapes.select("k").distinct()), F.size("ahead") >= F.col("k"))
+    window = lambda i: F.array_join(F.slice("ahead", i, F.col("k")), " ")
+    starts = F.sequence(F.lit(1), F.least(F.size("parts"), F.size("ahead") - F.col("k") + 1))
+    windows = met.select(key, "k", F.explode(F.array_distinct(F.transform(starts, window))).alias("w")).distinct()
+    met = windows.join(F.broadcast(shapes), "k").filter(F.length("w") >= F.col("len"))
+    starts = F.sequence(F.lit(1), F.length("w") - F.col("len") + 1)
+    found = met.select(key, F.explode(F.transform(starts, lambda i: F.substring("w", i, F.col("len")))).alias("topic"))
+    return asked.select(key, "topic").join(found, [key, "topic"], "left_semi")
+
+
 def alignment(topic_rows: DataFrame, scenes: DataFrame, key: str = "user_id") -> DataFrame:
     """Share of a request's topics that its scene descriptions mention; 0 without either."""
-    told = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("input_id", "scene_description"))), lambda x: x["scene_description"]), " ")
-    seen = scenes.filter(F.col("scene_description").isNotNull()).groupBy(key).agg(F.lower(told).alias("told"))
     asked = topic_rows.groupBy(key, F.lower("topic").alias("topic")).agg(F.count(F.lit(1)).alias("n"))
-    met = scenes.select(key).distinct().join(asked, key, "left").join(seen, key, "left")
-    hit = F.when(F.contains("told", F.col("topic")), F.col("n")).otherwise(F.lit(0))
-    total = met.groupBy(key).agg(F.sum(hit).alias("hits"), F.coalesce(F.sum("n"), F.lit(0)).alias("topics"))
+    seen = mentioned(asked, scenes, key).withColumn("seen", F.lit(True))
+    counted = asked.join(seen, [key, "topic"], "left").groupBy(key).agg(F.sum(F.when(F.col("seen"), F.col("n"))).alias("hits"), F.sum("n").alias("topics"))
+    total = scenes.select(key).distinct().join(counted, key, "left").withColumn("topics", F.coalesce("topics", F.lit(0)))
     share = F.when(F.col("topics") > 0, F.coalesce("hits", F.lit(0)) / F.col("topics")).otherwise(F.lit(0.0))
     return total.select(key, "topics", F.round(share, 6).alias("alignment"))
 

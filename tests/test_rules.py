@@ -159,3 +159,16 @@ def test_combined_lines_are_rows_and_one_string_is_refused_by_size(spark):
     assert {r.source: r.combined for r in captures.combined_text(df).collect()} == {s: "\n".join(x) for s, x in got.items()}
     with pytest.raises(ValueError, match="s \\(.* bytes\\)"):
         captures.combined_text(df, most=20)
+
+
+def test_alignment_searches_whole_scenes_without_collecting_a_user(spark):
+    topics = [(1, "Art"), (1, "machine learn"), (1, "a.b?"), (1, "none"), (1, None), (2, "x"), (3, "é😀"), (3, "two  s"), (3, "y z"), (4, "q"), (5, "a b  c d"), (5, "b c")]
+    scenes = [(1, 1, "the cart " + "long " * 99 + "see a.b?c"), (1, 2, "Machine learning"), (2, 3, None), (3, 4, "sé😀x two  spaces"), (3, 5, "xy zz"), (5, 7, ""), (5, 6, "a b"), (5, 8, "c de")]
+    t = spark.createDataFrame(topics, "user_id long, topic string")
+    s = spark.createDataFrame(scenes, "user_id long, input_id long, scene_description string")
+    out = joins.alignment(t, s)
+    assert {r.user_id: (r.topics, r.alignment) for r in out.collect()} == {1: (5, 0.6), 2: (1, 0.0), 3: (3, 1.0), 5: (2, 0.5)}
+    out = joins.alignment(t.filter("topic NOT LIKE '% %'"), s)
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    texts = spark.createDataFrame([(1, 1, "a b c fourth")], "user_id long, input_id long, text string")
+    assert [r.topic for r in joins.topics(texts, None).collect()] == ["a", "b", "c", "fourth"]
