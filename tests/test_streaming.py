@@ -1,8 +1,12 @@
 """Streams against their batch forms, with one and with many files a batch."""
 
+import weakref
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from screenloom.llm.common import arrow_rows
 from screenloom.operators import history
 from screenloom.plans.streams import run_to_table
 from screenloom.sources.shared import fresh_dir
@@ -46,3 +50,73 @@ def test_interval_counts_close_with_the_watermark(spark, sf):
     got = {r.start_s: r.n for r in run_to_table(stream, "intervals").collect()}
     want = {r.start_s: r.n for r in jobs.interval_counts(events.withColumn("at", F.col("ts").cast("timestamp")), "1 day").collect()}
     assert got and all(want[k] == n for k, n in got.items()) and len(want) - len(got) <= 2
+
+
+class Value:
+    """A state that is held in memory."""
+
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    put = update
+
+
+def chunks(n, step, order):
+    """Frames of one user's rows, and the frames that are still held when the next is made."""
+    alive, most = [], []
+
+    def make():
+        for k in range(0, n, step):
+            part = order[k : k + step]
+            frame = pd.DataFrame({"id": part, "question_id": part, "ts_s": [10 * x for x in part], "question": ["q"] * len(part)})
+            alive.append(weakref.ref(frame))
+            most.append(sum(r() is not None for r in alive))
+            yield frame
+            del frame
+
+    return make(), most
+
+
+@pytest.mark.parametrize("n", [1, 20, 21, 26, 27, 200])
+def test_bounded_history_holds_one_chunk(n):
+    order = [(k * 7919) % n for k in range(n)]
+    p = jobs._Bounded()
+    p.rows = Value()
+    held = []
+    for again in range(2):
+        made, most = chunks(n, 5, order)
+        size = list(p.handleInputRows((1,), made, None))[0]["size"][0]
+        for k in sorted(order):
+            held.append(k)
+            held = held[-15:] if len(held) > 20 else held
+        assert [r[0] for r in p.rows.value] == held and size == len(held) and max(most) <= 2
+
+
+def test_cooldown_answers_chunk_by_chunk():
+    p = jobs._Cooldown(25)
+    p.last = Value()
+    made, most = chunks(100, 10, list(range(100)))
+    out = p.handleInputRows((1,), made, None)
+    assert len(next(out)) == 10 and len(most) == 1
+    rest = pd.concat(list(out))
+    assert len(rest) == 90 and max(most) <= 2 and p.last.value == (990,)
+    with pytest.raises(ValueError, match="not in order"):
+        list(p.handleInputRows((1,), iter([pd.DataFrame({"question_id": [2, 1], "ts_s": [2000, 1999], "question": ["q", "q"]})]), None))
+
+
+def test_cooldown_sorts_an_unordered_batch_of_many_chunks(spark, sf):
+    questions = view(spark, sf, "questions").withColumn("user_id", F.col("user_id") % 3)
+    path = fresh_dir(spark, "unordered")
+    questions.orderBy(F.xxhash64("question_id")).coalesce(1).write.parquet(path)
+    with arrow_rows(spark, 7):
+        got = run_to_table(jobs.cooldown(jobs.capture_stream(spark, path, questions.schema), 86400), "cooldown", "update")
+    want = history.cooldown(questions, 86400)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
