@@ -27,17 +27,30 @@ from screenloom.llm.hashing import mix, runs, window_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: 32 bands of 4 registers: a pair at similarity 0.8 shares no band once in 20 million.
-BANDS, ROWS = 32, 4
-REGISTERS = BANDS * ROWS
-#: Pairs with fewer equal registers (six standard deviations under 0.8) need no verification.
-LEAST_EQUAL = 75
+REGISTERS = 128
+#: Registers of a band at most, and how often a pair at the threshold may share no band: 32 bands
+#: of 4 registers miss a pair at similarity 0.8 once in 20 million.
+ROWS, MISSED = 4, 1e-7
 #: Buckets of at most this many members are tried pair by pair.
 SMALL = 12
 #: Sizes of a class differ by this factor at most.
 SIZE_STEP = 1.02
 
 
+def band_rows(threshold: float) -> int:
+    """Registers of a band, as many as still let a pair at the threshold share one."""
+    for rows in range(ROWS, 0, -1):
+        if (1 - threshold**rows) ** (REGISTERS // rows) <= MISSED:
+            return rows
+    raise ValueError(f"{REGISTERS} registers miss pairs at a threshold of {threshold}")
+
+
+def least_equal(threshold: float) -> int:
+    """Pairs with fewer equal registers need no verification: six standard deviations under the threshold, 0.8 at most."""
+    t = min(threshold, THRESHOLD)
+    return max(0, int(REGISTERS * t - 6 * (REGISTERS * t * (1 - t)) ** 0.5))
+
+
 def shingles(words: np.ndarray, starts: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of some documents: document number, hash, count, sorted by both."""
     words = mix(words)
@@ -91,14 +104,14 @@ def sketch(doc: np.ndarray, value: np.ndarray, weight: np.ndarray, n: int, m: in
     return first.reshape(n, m)
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
+def band_keys(registers: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """A key for each band; keys of different bands differ."""
-    n = len(registers)
-    rows = registers.reshape(n, BANDS, ROWS)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (n, BANDS))
+    n, bands = len(registers), registers.shape[1] // rows
+    banded = registers[:, : bands * rows].reshape(n, bands, rows)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (n, bands))
     with np.errstate(over="ignore"):
-        for k in range(ROWS):
-            key = mix(key * np.uint64(3) + rows[:, :, k])
+        for k in range(rows):
+            key = mix(key * np.uint64(3) + banded[:, :, k])
     return key
 
 
@@ -106,22 +119,23 @@ def _lists(values: np.ndarray, starts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values))
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, sig, w) -> doc_id, sig, bands, registers; documents without words are left out."""
+    rows = band_rows(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a, words, starts in runs(b.column("w"), 1 << 18):
                 n = len(starts) - 1
                 table = sketch(*shingles(words, starts), n)
-                keys = band_keys(table).view(np.int64)
+                keys = band_keys(table, rows).view(np.int64)
                 has = np.flatnonzero(np.diff(starts) > 0)
                 low = (table[has] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
                 k = len(has)
                 yield pa.record_batch(
                     [
                         b.column("doc_id").take(pa.array(a + has)), b.column("sig").take(pa.array(a + has)),
-                        _lists(keys[has].ravel(), np.arange(k + 1) * BANDS), _lists(low.ravel(), np.arange(k + 1) * REGISTERS),
+                        _lists(keys[has].ravel(), np.arange(k + 1) * keys.shape[1]), _lists(low.ravel(), np.arange(k + 1) * REGISTERS),
                     ],
                     names=["doc_id", "sig", "bands", "registers"],
                 )
@@ -188,7 +202,7 @@ def verified(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, threshold:
     near = (
         pairs.join(regs.select(F.col("doc_id").alias("b"), F.col("registers").alias("rb")), "b")
         .join(regs.select(F.col("doc_id").alias("a"), F.col("registers").alias("ra")), "a")
-        .filter(agreeing(F.col("ra"), F.col("rb")) >= LEAST_EQUAL)
+        .filter(agreeing(F.col("ra"), F.col("rb")) >= least_equal(threshold))
         .select("a", "b")
     )
     near = staged(near, "near-candidates")
@@ -280,7 +294,7 @@ def reachable(rest: DataFrame, others: DataFrame, threshold: float) -> DataFrame
     u, v = one(rest, "_u"), one(others, "_v")
     differ = F.col("label_u") != F.col("label_v")
     first = F.col("band_u") == F.get(F.array_intersect("bands_u", "bands_v"), F.lit(0))
-    likely = agreeing(F.col("registers_u"), F.col("registers_v")) >= LEAST_EQUAL
+    likely = agreeing(F.col("registers_u"), F.col("registers_v")) >= least_equal(threshold)
     least, most = t * F.col("n_u"), F.least(F.col("n_u") / t, F.col("c_u") * ((1 + t) / t) - F.col("n_u"))
     classes = F.explode(F.sequence(size_class(least), size_class(most)))
     flat_u = u.filter("flat_u").filter(most >= least).withColumn("class", classes)
@@ -347,7 +361,7 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", thr
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     known = rows.filter(F.col("doc_id").isNotNull())
     with arrow_rows(docs.sparkSession, 2000):
-        sketched = staged(sketches(known.select("doc_id", F.md5("text").alias("sig"), word_hashes(F.col("text")).alias("w"))), "sketches")
+        sketched = staged(sketches(known.select("doc_id", F.md5("text").alias("sig"), word_hashes(F.col("text")).alias("w")), threshold), "sketches")
     reps = staged(sketched.groupBy("sig").agg(F.min("doc_id").alias("rep")), "copies")
     bands = (
         sketched.select("doc_id", "bands")

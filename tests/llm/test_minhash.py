@@ -115,3 +115,14 @@ def test_whole_table_matches_brute_force(spark, sf):
 
 def test_empty_table(spark):
     assert minhash.near_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_pairs_that_just_reach_a_lower_threshold_are_found(spark):
+    assert (minhash.band_rows(0.8), minhash.least_equal(0.8)) == (4, 75)
+    rows = []
+    for p in range(20):
+        same = [f"p{p}w{k}" for k in range(45)]
+        rows += [(2 * p + s, " ".join(same + [f"p{p}s{s}w{k}" for k in range(19)])) for s in (0, 1)]
+    got = minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), threshold=0.5)
+    want = brute(rows, 0.5)
+    assert len(set(want.values())) == 20 and {r.doc_id: r.class_id for r in got.collect()} == want
