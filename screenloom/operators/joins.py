@@ -49,10 +49,10 @@ def combine_modalities(inputs: DataFrame) -> DataFrame:
     met = inputs.select("input_id", "user_id", "priority")
     for part in (text, image, context):
         met = met.join(part, "input_id", "left")
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy("priority", "input_id"))
+    met = numbered(met, "user_id", ["priority", "input_id"], "place")
     return met.select(
         "input_id", "user_id", "priority", "text_words", "scene_chars", "app_type", F.col("text_words").isNotNull().alias("has_text"),
-        F.col("scene_chars").isNotNull().alias("has_image"), F.col("app_type").isNotNull().alias("has_context"), place.cast("long").alias("place"),
+        F.col("scene_chars").isNotNull().alias("has_image"), F.col("app_type").isNotNull().alias("has_context"), (F.col("place") + 1).alias("place"),
     )
 
 

@@ -172,3 +172,12 @@ def test_alignment_searches_whole_scenes_without_collecting_a_user(spark):
     assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
     texts = spark.createDataFrame([(1, 1, "a b c fourth")], "user_id long, input_id long, text string")
     assert [r.topic for r in joins.topics(texts, None).collect()] == ["a", "b", "c", "fourth"]
+
+
+def test_places_of_inputs_are_numbered_in_ranges(spark):
+    rows = [(k, 1, 1 + k % 3, "a b", None, None) for k in range(50)]
+    df = spark.createDataFrame(rows, "input_id long, user_id long, priority int, text string, scene_description string, context_process string")
+    out = joins.combine_modalities(df)
+    assert [r.input_id for r in out.orderBy("place").collect()] == sorted(range(50), key=lambda k: (k % 3, k))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_range#" in line for line in plan.splitlines() if "row_number()" in line)
