@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,16 @@ from pyspark.sql import SparkSession
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """A new path under ``spark.checkpoint.dir``.
+
+    Only a local master, whose executors are the driver, may do without that setting: it gets a
+    temporary folder.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is not set; {master} needs a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
