@@ -33,8 +33,10 @@ REGISTERS = 128
 ROWS, MISSED = 4, 1e-7
 #: Buckets of at most this many members are tried pair by pair.
 SMALL = 12
-#: Sizes of a class differ by this factor at most.
-SIZE_STEP = 1.02
+#: Registers of the long sketch that members of large buckets get: six deviations under 0.8 is 0.74.
+WIDE = 1536
+#: Rows of a block of a large bucket, on either side.
+BLOCK = 1024
 
 
 def band_rows(threshold: float) -> int:
@@ -45,10 +47,10 @@ def band_rows(threshold: float) -> int:
     raise ValueError(f"{REGISTERS} registers miss pairs at a threshold of {threshold}")
 
 
-def least_equal(threshold: float) -> int:
+def least_equal(threshold: float, m: int = REGISTERS) -> int:
     """Pairs with fewer equal registers need no verification: six standard deviations under the threshold, 0.8 at most."""
     t = min(threshold, THRESHOLD)
-    return max(0, int(REGISTERS * t - 6 * (REGISTERS * t * (1 - t)) ** 0.5))
+    return max(0, int(m * t - 6 * (m * t * (1 - t)) ** 0.5))
 
 
 def shingles(words: np.ndarray, starts: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,28 +81,33 @@ def shingles(words: np.ndarray, starts: np.ndarray, width: int = SHINGLE) -> tup
 def sketch(doc: np.ndarray, value: np.ndarray, weight: np.ndarray, n: int, m: int = REGISTERS) -> np.ndarray:
     """An n x m table: for each document and register, the shingle whose process arrived first.
 
-    All processes go on together, an arrival each a round; the few that can still be first in
-    some register remain.
+    All processes go on together, some arrivals each a round; the few that can still be first
+    in some register remain. An arrival depends on its shingle and number alone, so rounds of
+    any length give the same sketch.
     """
     times, first = np.full(n * m, np.inf), np.zeros(n * m, np.uint64)
     latest = np.full(n, np.inf)
     at, clock, seed = np.arange(len(doc)), np.zeros(len(doc)), np.uint64(0)
     with np.errstate(over="ignore"):
         while len(at):
-            seed += np.uint64(0xD1342543DE82EF95)
-            draw = mix(value[at] + seed)
-            step = -np.log1p(-((draw >> np.uint64(11)).astype(np.float64) * 2.0**-53))
-            clock = clock + step / weight[at]
-            live = clock < latest[doc[at]]
-            at, clock, draw = at[live], clock[live], draw[live]
-            slot = doc[at] * m + (mix(draw) % np.uint64(m)).astype(np.int64)
-            np.minimum.at(times, slot, clock)
-            won = times[slot] == clock
-            first[slot[won]] = value[at[won]]
-            touched = np.unique(doc[at]) if len(at) < 4 * n else np.arange(n)
+            ahead = max(1, min(32, (1 << 12) // len(at)))
+            seeds = seed + np.uint64(0xD1342543DE82EF95) * np.arange(1, ahead + 1, dtype=np.uint64)
+            seed = seeds[-1]
+            draw = mix((value[at][:, None] + seeds).ravel())
+            step = -np.log1p(-((draw >> np.uint64(11)).astype(np.float64) * 2.0**-53)).reshape(-1, ahead) / weight[at][:, None]
+            step[:, 0] += clock
+            arrival = np.cumsum(step, axis=1)
+            limit = latest[doc[at]]
+            early = np.flatnonzero(arrival.ravel() < np.repeat(limit, ahead))
+            who, when, draw = at[early // ahead], arrival.ravel()[early], draw[early]
+            slot = doc[who] * m + (mix(draw) % np.uint64(m)).astype(np.int64)
+            np.minimum.at(times, slot, when)
+            won = times[slot] == when
+            first[slot[won]] = value[who[won]]
+            touched = np.unique(doc[who[won]]) if len(who) < 4 * n else np.arange(n)
             latest[touched] = times.reshape(n, m)[touched].max(axis=1)
-            live = clock < latest[doc[at]]
-            at, clock = at[live], clock[live]
+            live = arrival[:, -1] < latest[doc[at]]
+            at, clock = at[live], arrival[live, -1]
     return first.reshape(n, m)
 
 
@@ -192,20 +199,23 @@ def agreeing(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, e: s + e)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of at least the threshold, by exact similarity.
-
-    Registers rule out most false candidates. Only documents of the pairs left are read again;
-    each pair then carries one side's shingles to the other side's row.
-    """
+def likely(pairs: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose registers agree often enough to be verified, staged."""
     regs = sketched.select("doc_id", "registers")
     near = (
         pairs.join(regs.select(F.col("doc_id").alias("b"), F.col("registers").alias("rb")), "b")
         .join(regs.select(F.col("doc_id").alias("a"), F.col("registers").alias("ra")), "a")
         .filter(agreeing(F.col("ra"), F.col("rb")) >= least_equal(threshold))
-        .select("a", "b")
     )
-    near = staged(near, "near-candidates")
+    return staged(near.select("a", "b"), "near-candidates")
+
+
+def verified(near: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """The staged pairs (a, b) of at least the threshold, by exact similarity.
+
+    Only documents of these pairs are read again; each pair then carries one side's shingles
+    to the other side's row.
+    """
     ids = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id")))
     wanted = may_be_in(docs.withColumnRenamed("doc_id", "id"), "id", id_filter(ids))
     sets = shingle_sets(wanted)
@@ -255,73 +265,103 @@ def components(links: DataFrame) -> DataFrame:
     return roots.union(edges.select(F.col("b").alias("id"), F.col("b").alias("label"))).groupBy("id").agg(F.min("label").alias("label"))
 
 
-def shared_parts(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """id, n, c, s, flat: how much of a document any other of these documents has.
-
-    n distinct shingles, c of them found elsewhere too, s the share of the weight they make up;
-    flat if all its weights are equal.
-    """
-    sets = shingle_sets(may_be_in(docs.withColumnRenamed("doc_id", "id"), "id", id_filter(ids)).join(ids, "id", "left_semi"))
-    each = sets.select("id", F.explode(F.arrays_zip("elems", "counts")).alias("e")).select("id", "e.*")
-    common = each.groupBy("elems").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y").select("elems")
-    found = each.join(common, "elems").groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.sum("counts").alias("w"))
-    whole = sets.groupBy("id").agg(
-        F.max(F.size("elems")).alias("n"), F.max(F.aggregate("counts", F.lit(0), lambda a, x: a + x)).alias("total"),
-        F.max(F.array_max("counts")).alias("most"), F.min(F.array_min("counts")).alias("least"),
-    )
-    met = whole.join(found, "id", "left").fillna(0, ["c", "w"])
-    return staged(
-        met.select("id", "n", "c", (F.col("w") / F.col("total")).alias("s"), (F.col("most") == F.col("least")).alias("flat")), "shared-parts"
-    )
+def wide_sketches(docs: DataFrame) -> DataFrame:
+    """(id, text) -> id, wide: a long sketch of one byte a register."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a, words, starts in runs(b.column("w"), 1 << 16):
+                n = len(starts) - 1
+                wide = sketch(*shingles(words, starts), n, WIDE).astype(np.uint8)
+                yield pa.record_batch([b.column("id").slice(a, n), pa.array([x.tobytes() for x in wide], pa.binary())], names=["id", "wide"])
 
-def size_class(n: Column) -> Column:
-    return F.floor(F.log(n) / F.log(F.lit(SIZE_STEP))).cast("int")
+    return docs.select("id", word_hashes(F.col("text")).alias("w")).mapInArrow(run, "id long, wide binary")
 
 
-def reachable(rest: DataFrame, others: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of a bucket, from ``rest`` and ``others``, whose similarity can reach the threshold t.
+def alike(u: pa.Table, v: pa.Table, threshold: float) -> pa.Table:
+    """Pairs of a block's rows (band, id, label, bands, wide, outside) in different groups with like sketches.
 
-    With equal weights the similarity is that of sets: a pair needs min(c, c') common shingles
-    or more than t / (1 + t) * (n + n'), so sizes bound each other and pairs meet by size class
-    only. With any weights it is at most s s' / (1 - (1 - s)(1 - s')).
+    Some registers thin the pairs out, the whole sketch decides. A pair that shares several
+    buckets is given in the first of them only.
     """
-    t = threshold - 1e-9
-    # a pair that shares several buckets is made in the first of them only
-    shared = others.groupBy("id").agg(F.sort_array(F.collect_set("band")).alias("bands"))
-    rest, others = rest.join(shared, "id"), others.join(shared, "id")
-    one = lambda d, x: d.select("band", F.col("band").alias(f"band{x}"), *[F.col(c).alias(f"{c}{x}") for c in ("id", "label", "n", "c", "s", "flat", "bands", "registers")])
-    u, v = one(rest, "_u"), one(others, "_v")
-    differ = F.col("label_u") != F.col("label_v")
-    first = F.col("band_u") == F.get(F.array_intersect("bands_u", "bands_v"), F.lit(0))
-    likely = agreeing(F.col("registers_u"), F.col("registers_v")) >= least_equal(threshold)
-    least, most = t * F.col("n_u"), F.least(F.col("n_u") / t, F.col("c_u") * ((1 + t) / t) - F.col("n_u"))
-    classes = F.explode(F.sequence(size_class(least), size_class(most)))
-    flat_u = u.filter("flat_u").filter(most >= least).withColumn("class", classes)
-    flat_v = v.filter("flat_v").withColumn("class", size_class(F.col("n_v")))
-    enough = F.least("c_u", "c_v") * (1 + t) >= t * (F.col("n_u") + F.col("n_v"))
-    flat = flat_u.join(flat_v, ["band", "class"]).filter(differ & enough & first & likely)
-    bound = F.col("s_u") * F.col("s_v") >= t * (1 - (1 - F.col("s_u")) * (1 - F.col("s_v")))
-    uneven = u.filter("NOT flat_u").join(v, "band").filter(differ & bound & first & likely)
-    mixed = u.filter("flat_u").join(v.filter("NOT flat_v"), "band").filter(differ & bound & first & likely)
-    pair = lambda d: d.select(F.least("id_u", "id_v").alias("a"), F.greatest("id_u", "id_v").alias("b"))
-    return pair(flat).union(pair(uneven)).union(pair(mixed)).distinct()
+    if not (u.num_rows and v.num_rows):
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+
+    def parts(t: pa.Table, fill: int) -> tuple[np.ndarray, ...]:
+        t = t.combine_chunks()
+        lists = t["bands"].combine_chunks()
+        size = lists.value_lengths().to_numpy()
+        bands = np.full((t.num_rows, size.max()), fill, np.int64)
+        bands[np.arange(bands.shape[1]) < size[:, None]] = lists.flatten().to_numpy()
+        wide = np.frombuffer(b"".join(t["wide"].to_pylist()), np.uint8).reshape(t.num_rows, WIDE)
+        return t["id"].to_numpy(), t["label"].to_numpy(), bands, wide, t["outside"].to_numpy()
+
+    band = u["band"][0].as_py()
+    (iu, lu, bu, wu, _), (iv, lv, bv, wv, ov) = parts(u, band), parts(v, band)
+    few = wv[:, :REGISTERS].T.copy()
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a in range(0, len(iu), 256):
+        equal = np.zeros((len(iu[a : a + 256]), len(iv)), np.uint8)
+        for k in range(REGISTERS):
+            equal += wu[a : a + 256, k, None] == few[k]
+        # two rows that are both outside the main group meet twice: once is enough
+        once = ~ov[None, :] | (iu[a : a + 256, None] < iv)
+        x, y = np.nonzero((equal >= least_equal(threshold)) & once & (lu[a : a + 256, None] != lv))
+        for c in range(0, len(x), 4096):
+            i, j = x[c : c + 4096] + a, y[c : c + 4096]
+            near = (wu[i] == wv[j]).sum(axis=1) >= least_equal(threshold, WIDE)
+            i, j = i[near], j[near]
+            x_, y_ = bu[i], bv[j]
+            earlier = ((x_[:, :, None] == y_[:, None, :]) & (x_ < band)[:, :, None]).any(axis=(1, 2))
+            i, j = i[~earlier], j[~earlier]
+            found_a.append(np.minimum(iu[i], iv[j]))
+            found_b.append(np.maximum(iu[i], iv[j]))
+    return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+
+
+def across_groups(known: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """(band, id, label) -> pairs (a, b) of a bucket, in different groups, that sketches don't rule out.
+
+    In a bucket, what is outside its largest group meets every member, in blocks of bounded
+    size on either side, so that a bucket of any size is many tasks. Only pairs that a long
+    sketch finds near enough leave a block.
+    """
+    groups = known.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = groups.groupBy("band").agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("outside")
+    ).filter("outside > 0")
+    met = staged(known.join(main, "band"), "mixed-buckets")
+    ids = met.groupBy("id").agg(F.sort_array(F.collect_set("band")).alias("bands"))
+    texts = may_be_in(docs.withColumnRenamed("doc_id", "id"), "id", id_filter(met.select("id")))
+    with arrow_rows(docs.sparkSession, 2000):
+        wide = staged(wide_sketches(texts.join(ids.select("id"), "id", "left_semi").distinct()), "wide-sketches")
+    met = met.join(wide.join(ids, "id"), "id")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("id"), blocks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    met = met.withColumn("is_out", F.col("label") != F.col("main"))
+    row = [*[F.col(c).alias(c) for c in ("id", "label", "bands", "wide")], F.col("is_out").alias("outside")]
+    u = met.filter("is_out").select("band", own("outside").alias("p"), every("size").alias("q"), *row)
+    v = met.select(F.col("band").alias("band"), every("outside").alias("p"), own("size").alias("q"), *row)
+    key = ("band", "p", "q")
+    pairs = u.groupBy(*key).cogroup(v.groupBy(*key)).applyInArrow(lambda x, y: alike(x, y, threshold), "a long, b long")
+    return staged(pairs.distinct(), "pairs")
 
 
 def bucket_labels(bands: DataFrame, docs: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
     """(band, id) -> id, label of the ids that have a link.
 
     In every bucket, members are tried against its smallest member. Those without that link are
-    tried with every member in small buckets; in large ones the member most of which others have
-    too is tried against all. What is then outside a large bucket's main group is tried against
-    every member of other groups that it can reach by an exact bound. A pair inside one group
-    needs no test, so no pair of a bucket that could change a group goes untested.
+    tried with every member in small buckets; in large ones the member whose buckets are
+    largest is tried against all. What is then outside a large bucket's main group is tried
+    against every member of other groups. A pair inside one group needs no test, so no pair of
+    a bucket that could change a group goes untested.
     """
-    leads = bands.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count_distinct("id").alias("size"))
+    leads = bands.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count(F.lit(1)).alias("size"))
     members = staged(bands.join(leads.filter("lead < last").select("band", "lead", "size"), "band").distinct(), "buckets")
     ordered = lambda d, x, y: d.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
     tried = staged(members.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    links = verified(tried, docs, sketched, threshold)
+    links = verified(likely(tried, sketched, threshold), docs, threshold)
 
     linked = links.select(F.col("a").alias("lead"), F.col("b").alias("id"), F.col("a").alias("to"))
     placed = members.join(linked, ["lead", "id"], "left")
@@ -330,27 +370,18 @@ def bucket_labels(bands: DataFrame, docs: DataFrame, sketched: DataFrame, thresh
     few = missing.filter(F.col("size") <= SMALL).select("band", F.col("id").alias("x"))
     by_pair = placed.select("band", "id").join(few, "band").filter("id <> x").select("id", "x")
     crowded = missing.filter(F.col("size") > SMALL).select("band").distinct()
-    large = staged(members.filter(F.col("size") > SMALL).join(crowded, "band", "left_semi").select("band", "id"), "large")
-    parts = shared_parts(large.select("id").distinct(), docs)
-    known = staged(large.join(parts, "id"), "large-parts")
-    pivot = known.groupBy("band").agg(F.max_by("id", F.struct(F.col("c") / F.col("n"), -F.col("id"))).alias("x"))
-    star = known.select("band", "id").join(pivot, "band").filter("id <> x").select("id", "x")
+    large = staged(members.filter(F.col("size") > SMALL).join(crowded, "band", "left_semi").select("band", "id", "size"), "large")
+    central = large.groupBy("id").agg(F.sum("size").alias("near"))
+    pivot = large.join(central, "id").groupBy("band").agg(F.max_by("id", F.struct("near", -F.col("id"))).alias("x"))
+    star = large.select("band", "id").join(pivot, "band").filter("id <> x").select("id", "x")
     more = staged(ordered(star.union(by_pair), "id", "x").join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(verified(more, docs, sketched, threshold))
+    links = links.union(verified(likely(more, sketched, threshold), docs, threshold))
     labels = staged(components(links), "labels")
-
-    known = known.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    sketch_of = sketched.select(F.col("doc_id").alias("id"), "registers")
-    known = staged(known.filter(F.col("s") >= threshold - 1e-9).join(sketch_of, "id"), "large-labels")
-    main = known.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    rest = known.join(main, "band").filter("label <> main")
-    last = staged(reachable(rest, known, threshold).join(tried.union(more), ["a", "b"], "left_anti"), "pairs")
-    if last.isEmpty():
-        return labels
-    found = verified(last, docs, sketched, threshold)
-    if found.isEmpty():
+    if large.isEmpty():
         return labels
-    return staged(components(links.union(found)), "labels")
+    known = large.select("band", "id").join(labels, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
+    found = verified(across_groups(staged(known, "large-labels"), docs, threshold), docs, threshold)
+    return labels if found.isEmpty() else staged(components(links.union(found)), "labels")
 
 
 def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:

@@ -126,3 +126,34 @@ def test_pairs_that_just_reach_a_lower_threshold_are_found(spark):
     got = minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), threshold=0.5)
     want = brute(rows, 0.5)
     assert len(set(want.values())) == 20 and {r.doc_id: r.class_id for r in got.collect()} == want
+
+
+def test_a_large_group_under_the_threshold_loses_no_link(spark, monkeypatch):
+    """Near copies of one text at 0.5 to 1: few pairs leave the blocks, and groups are those of brute force."""
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(150)]
+    docs = [(k, edited(base, rng, int(rng.integers(0, 14)))) for k in range(400)]
+    monkeypatch.setattr(minhash, "BLOCK", 64)
+    tried = []
+    checked = minhash.verified
+    monkeypatch.setattr(minhash, "verified", lambda near, *a: tried.append(near.count()) or checked(near, *a))
+    got = minhash.near_groups(spark.createDataFrame(docs, "doc_id long, text string"))
+    sets, label = [set(bag(t)) for _, t in docs], list(range(400))
+    for k in range(400):  # all counts are one, so the similarity is that of sets
+        for j in range(k):
+            both = len(sets[k] & sets[j])
+            if label[k] != label[j] and both >= 0.8 * (len(sets[k]) + len(sets[j]) - both):
+                x, y = sorted((label[k], label[j]))
+                label = [x if z == y else z for z in label]
+    assert {r.doc_id: r.class_id for r in got.collect()} == dict(enumerate(label))
+    assert len(tried) == 3 and sum(tried) < 0.1 * 400 * 400 / 2, tried
+
+
+def test_arrivals_drawn_together_or_apart_give_one_sketch():
+    rng = np.random.default_rng(9)
+    sizes = [3, 40, 5000]
+    doc = np.repeat(np.arange(3), sizes)
+    value, weight = rng.integers(0, 2**63, len(doc)).astype(np.uint64), rng.integers(1, 4, len(doc))
+    whole = minhash.sketch(doc, value, weight, 3, 256)
+    for d in range(3):
+        assert (minhash.sketch(np.zeros(sizes[d], np.int64), value[doc == d], weight[doc == d], 1, 256)[0] == whole[d]).all()
