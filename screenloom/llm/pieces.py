@@ -30,9 +30,11 @@ from pyspark.sql import functions as F
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-MEMO = 1_200_000
-#: Pairs of pieces whose merging is remembered.
-PAIRS = 1_500_000
+#: Bytes of remembered words and pairs of pieces in a worker, about; beyond that it starts afresh.
+MEMO_BYTES = 96 << 20
+PAIR_BYTES = 64 << 20
+#: What an entry of a dict, its key and its value take besides their characters, about.
+ENTRY, PAIR = 230, 160
 #: Positions between two looks at where paths meet.
 LOOK = 64
 
@@ -70,6 +72,7 @@ class Vocabulary:
         self.words = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+") if not any("\n" in p for p in self.ids) else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.follows: dict[tuple[str, str], bool] = {}
         self.memo: dict[str, bytes] = {}
+        self.held = 0  # bytes of the memo
         self.packed = {p: np.array([i], np.uint32).tobytes() for p, i in self.ids.items()}
 
     @classmethod
@@ -96,7 +99,7 @@ class Vocabulary:
         key = (before, piece)
         found = self.follows.get(key)
         if found is None:
-            if len(self.follows) > PAIRS:
+            if len(self.follows) * PAIR > PAIR_BYTES:
                 self.follows.clear()
             found = self.follows[key] = self.merged(before + piece) == ([before, piece] if before else [piece])
         return found
@@ -113,8 +116,9 @@ class Vocabulary:
         """The ids of a text as 32-bit numbers."""
         if not text:
             return b""
-        if len(self.memo) > MEMO:
+        if self.held > MEMO_BYTES:
             self.memo.clear()
+            self.held = 0
         memo, out = self.memo, []
         for word in self.words.findall(SPACE + text.replace(" ", SPACE)):
             ids = memo.get(word)
@@ -123,6 +127,7 @@ class Vocabulary:
                 ids = path.push(word) + path.finish()
                 if len(word) <= 64:
                     memo[word] = ids
+                    self.held += ENTRY + len(word) + len(ids)
             out.append(ids)
         return b"".join(out)
 
