@@ -55,8 +55,9 @@ def source_targets(sizes: DataFrame, total_share: float = 1.0) -> DataFrame:
     return summed.select("source", "source_size", F.least("cap", F.col("weight") * F.lit(level or 0.0)).alias("target"))
 
 
-def random_key(id_col: Column, seed: str) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit(""))))
+def random_key(id_col: Column, text: Column, seed: str) -> Column:
+    """Of the id; of the text where there is none, so that such rows spread over the ranges too."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.md5(F.coalesce(text, F.lit(""))))))
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -64,7 +65,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str
     sizes = staged(
         docs.select(
             F.col(id_col).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"),
-            random_key(F.col(id_col), seed).alias("key"), *carry,
+            random_key(F.col(id_col), F.col(text), seed).alias("key"), *carry,
         ).withColumn("range", F.substring("key", 1, RANGE_DIGITS)),
         "mix-sizes",
     )

@@ -29,7 +29,12 @@ fails AS (
 hosts AS (
   SELECT source, rule, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE failed) AS DOUBLE) AS k
   FROM fails GROUP BY source, rule),
-prior AS (SELECT rule, sum(k) / sum(n) AS m, var_pop(k / n) AS v FROM hosts GROUP BY rule),
+totals AS (
+  SELECT rule, sum(k) / sum(n) AS m, sum(n) AS n, count(*) AS hosts, sum(n * n) AS squares, sum(k * k / n) AS q
+  FROM hosts GROUP BY rule),
+prior AS (
+  SELECT rule, m, CASE WHEN n - squares / n > 0 THEN (q - n * m * m - (hosts - 1) * m * (1 - m)) / (n - squares / n) ELSE 0 END AS v
+  FROM totals),
 strength AS (
   SELECT rule, m, least(1e6, greatest(1.0, CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE 1e6 END)) AS s FROM prior),
 bad AS (
@@ -41,7 +46,7 @@ FROM judged LEFT JOIN bad ON judged.source IS NOT DISTINCT FROM bad.source
 
 MIX_SOURCES = r"""
 WITH sizes AS (
-  SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+  SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS key,
     CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size
   FROM documents),
 sources AS (
@@ -78,6 +83,6 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
   CAST(sum(12 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n')) + 1
-    + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 11) AS BIGINT) AS formatted_chars
+    + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 11) AS BIGINT) AS formatted_chars, FALSE AS rewritten
 FROM turns GROUP BY conv_id
 """

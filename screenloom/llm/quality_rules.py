@@ -78,10 +78,15 @@ def fails_base(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > 50 * n_words)
 
 
-def base_rules(docs: DataFrame, text: str = "text", host: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """id, host, the counts, and one boolean per rule: true where the document fails it."""
-    flat = docs.select(F.col(id_col).alias("doc_id"), F.col(host).alias("host"), counts(F.col(text)).alias("c"))
-    flat = flat.select("doc_id", "host", "c.*")
+def base_rules(
+    docs: DataFrame, text: str = "text", host: str = "source", id_col: str = "doc_id", carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """id, host, the counts, one boolean per rule (true where the document fails it), and the carried columns.
+
+    Symbols and repeated lines count against a document's host only, never against it alone.
+    """
+    flat = docs.select(F.col(id_col).alias("doc_id"), F.col(host).alias("host"), counts(F.col(text)).alias("c"), *carry)
+    flat = flat.select("doc_id", "host", "c.*", *carry)
     return flat.select(
         "*",
         fails_base(F.col("n_words"), F.col("n_repeat_words")).alias("fail_base"),
@@ -94,18 +99,24 @@ def host_verdicts(judged: DataFrame) -> DataFrame:
     """host, and whether it is rejected: shrunken rates from failures summed by host.
 
     The prior of a rule is Beta(m*s, (1-m)*s): m is the corpus failure rate and s comes from
-    the variance of host rates by the method of moments.
+    the spread of host rates about it, each host by its size, less the binomial noise that
+    hosts of their sizes would show anyway. Without spread beyond noise all hosts are alike.
     """
     hosts = judged.groupBy("host").agg(
         F.count(F.lit(1)).alias("n"), *[F.count_if(f"fail_{r}").alias(f"k_{r}") for r in RULES]
     )
     prior = hosts.agg(
-        *[(F.sum(f"k_{r}") / F.sum("n")).alias(f"m_{r}") for r in RULES],
-        *[F.var_pop(F.col(f"k_{r}") / F.col("n")).alias(f"v_{r}") for r in RULES],
-    ).first()
+        F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("docs"), F.sum(F.col("n") * F.col("n")).alias("squares"),
+        *[F.sum(f"k_{r}").alias(f"k_{r}") for r in RULES],
+        *[F.sum(F.col(f"k_{r}") * F.col(f"k_{r}") / F.col("n")).alias(f"q_{r}") for r in RULES],
+    ).first()
 
     def rate(r: str) -> Column:
-        m, v = prior[f"m_{r}"] or 0.0, prior[f"v_{r}"] or 0.0
+        n = prior.docs or 1
+        m = (prior[f"k_{r}"] or 0) / n
+        spread = (prior[f"q_{r}"] or 0.0) - n * m * m - (prior.hosts - 1) * m * (1 - m)
+        room = n - (prior.squares or 0) / n
+        v = spread / room if room > 0 else 0.0
         s = min(STRENGTH[1], max(STRENGTH[0], m * (1 - m) / v - 1)) if v > 0 else STRENGTH[1]
         return (F.col(f"k_{r}") + F.lit(m * s)) / (F.col("n") + F.lit(s))
 
@@ -134,11 +145,12 @@ def apply_rules(docs: DataFrame, text: str = "text", host: str = "source", id_co
 def kept_documents(docs: DataFrame, text: str = "text", host: str = "source", id_col: str = "doc_id") -> DataFrame:
     """The documents that pass, with all their columns.
 
-    Texts never move: the base rules run where a text is read, and only rejected hosts are
-    matched against the rows.
+    The rules run once on every text; rows are staged with their verdicts, then only rejected
+    hosts are matched against them. No column of the input can clash with those made here: it
+    travels inside one struct.
     """
-    judged = staged(base_rules(docs, text, host, id_col), "quality-rules")
+    row = docs.select(F.struct(*docs.columns).alias("row"))
+    judged = staged(base_rules(row, f"row.{text}", f"row.{host}", f"row.{id_col}", carry=("row",)), "quality-rules")
     rejected = host_verdicts(judged).filter("host_rejected").select(F.col("host").alias("bad_host"))
-    passed = docs.withColumn("_counts", counts(F.col(text)))
-    passed = passed.filter(~fails_base(F.col("_counts.n_words"), F.col("_counts.n_repeat_words"))).drop("_counts")
-    return passed.join(rejected, F.col(host).eqNullSafe(F.col("bad_host")), "left_anti")
+    passed = judged.filter("NOT fail_base").join(rejected, F.col("host").eqNullSafe(F.col("bad_host")), "left_anti")
+    return passed.select("row.*")
