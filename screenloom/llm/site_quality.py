@@ -2,9 +2,9 @@
 
 A logistic regression on text measures gives each document a probability. Probabilities are
 summed by host and by path (a section of a host); a host's mean is shrunk towards the corpus,
-a path's towards its host, with strengths fitted to the spread of group means. A document's
-odds are then its own, moved by what its path is worth against the corpus; its own share is
-taken out of its path's sum first.
+a path's towards its host, with strengths fitted to the spread of group means beyond what
+sampling shows. A document's odds are then its own, moved by what its path is worth against the
+corpus; its own share is taken out of its host's and its path's sums first.
 
 The classifier is fitted on at most ``TRAIN_ROWS`` labelled documents, those with the smallest
 hashed ids. All sums run over all documents.
@@ -52,47 +52,63 @@ def measures(text: Column) -> Column:
 
 
 def classify(measured: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """Adds ``p``: the classifier's probability for each measured row."""
+    """Adds ``p``: the classifier's probability for each measured row.
+
+    The model is fitted on the bounded sample alone; rows are scored from its coefficients by
+    plain expressions, so neither the model nor its session travels to the executors.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
-    rows = VectorAssembler(inputCols=list(MEASURES), outputCol="features").transform(measured)
     marked = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     marked = marked.groupBy("doc_id").agg(F.max(F.col(label).cast("double")).alias("label"))
-    sample = rows.join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS).select("features", "label")
+    sample = measured.join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS).select(*MEASURES, "label")
     sample = staged(sample, "train")
     if sample.select("label").distinct().count() < 2:
         return measured.withColumn("p", F.lit(0.5))
-    model = LogisticRegression(maxIter=50, regParam=1e-3, standardization=True).fit(sample)
-    scored = model.transform(rows)
-    p = F.element_at(vector_to_array("probability"), 2)
-    return scored.select(*measured.columns, F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6)).alias("p"))
+    train = VectorAssembler(inputCols=list(MEASURES), outputCol="features").transform(sample)
+    model = LogisticRegression(maxIter=50, regParam=1e-3, standardization=True).fit(train)
+    odds = F.lit(float(model.intercept))
+    for name, weight in zip(MEASURES, model.coefficients.toArray().tolist(), strict=True):
+        odds = odds + F.col(name) * F.lit(weight)
+    p = 1 / (1 + F.exp(-odds))
+    return measured.withColumn("p", F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6)))
+
 
+def strength(spread: float, groups: int, parents: int, room: float, within: float) -> float:
+    """Pseudo-documents behind a group's prior: the variance inside groups over that between them.
 
-def strength(mean: str, towards: str, n: str) -> Column:
-    """Pseudo-documents behind a group's prior, from the spread of group means about it."""
-    spread = F.sum(F.col(n) * F.pow(F.col(mean) - F.col(towards), 2)) / F.sum(n)
-    level = F.sum(F.col(n) * F.col(mean)) / F.sum(n)
-    raw = F.when(spread > 0, level * (1 - level) / spread - 1).otherwise(F.lit(STRENGTH[1]))
-    return F.least(F.greatest(raw, F.lit(STRENGTH[0])), F.lit(STRENGTH[1]))
+    ``spread`` is the sum of n * (mean - parent's mean)**2; ``within`` * (groups - parents) of it
+    is what samples of these sizes show anyway. Without spread beyond that, groups are alike.
+    """
+    between = (spread - (groups - parents) * within) / room if room > 0 else 0.0
+    return min(STRENGTH[1], max(STRENGTH[0], within / between)) if between > 0 else STRENGTH[1]
 
 
 def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float, float]:
-    """Paths with their sums and host posterior; the corpus mean; the paths' prior strength."""
-    paths = staged(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("h_n"), F.sum("s").alias("h_s"))
-    total = hosts.agg(F.sum("h_n").alias("n"), F.sum("h_s").alias("s")).first()
-    mean = total.s / total.n if total.n else 0.5
-    hosts = hosts.withColumn("mean", F.col("h_s") / F.col("h_n")).withColumn("corpus", F.lit(mean))
-    k_host = hosts.agg(strength("mean", "corpus", "h_n").alias("k")).first().k or STRENGTH[1]
-    hosts = hosts.select(
-        F.col("host").alias("h_host"), ((F.col("h_s") + k_host * F.lit(mean)) / (F.col("h_n") + k_host)).alias("host_posterior")
-    )
+    """Paths with their sums, their host's sums, prior strength and posterior; the corpus mean; the paths' prior strength."""
+    paths = scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q"))
+    paths = staged(paths, "paths")
+    hosts = paths.groupBy(F.col("host").alias("h_host")).agg(F.sum("n").alias("h_n"), F.sum("s").alias("h_s"))
     placed = staged(paths.join(hosts, F.col("host").eqNullSafe(F.col("h_host"))).drop("h_host"), "placed-paths")
-    means = placed.withColumn("mean", F.col("s") / F.col("n"))
-    k_path = means.agg(strength("mean", "host_posterior", "n").alias("k")).first().k or STRENGTH[1]
-    return placed, mean, k_path
+    square = lambda x: F.col(x) * F.col(x)
+    own = placed.agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(F.col("q") - square("s") / F.col("n")).alias("inside"),
+        F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - F.col("h_s") / F.col("h_n"), 2)).alias("spread"),
+        F.count(F.lit(1)).alias("paths"), F.sum(square("n") / F.col("h_n")).alias("squares"),
+    ).first()
+    n, mean = own.n or 0, (own.s / own.n if own.n else 0.5)
+    top = hosts.agg(
+        F.sum(F.col("h_n") * F.pow(F.col("h_s") / F.col("h_n") - F.lit(mean), 2)).alias("spread"),
+        F.count(F.lit(1)).alias("hosts"), F.sum(square("h_n")).alias("squares"),
+    ).first()
+    k_host = k_path = STRENGTH[1]
+    if n:
+        within = max(0.0, own.inside) / (n - own.paths) if n > own.paths else 0.0
+        k_host = strength(top.spread, top.hosts, 1, n - top.squares / n, within)
+        k_path = strength(own.spread, own.paths, top.hosts, n - own.squares, within)
+    posterior = (F.col("h_s") + F.lit(k_host * mean)) / (F.col("h_n") + F.lit(k_host))
+    return placed.drop("q").withColumn("k_host", F.lit(k_host)).withColumn("host_posterior", posterior), mean, k_path
 
 
 def logit(p: Column) -> Column:
@@ -100,6 +116,21 @@ def logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
+def posteriors(scored: DataFrame) -> DataFrame:
+    """(doc_id, host, path, p) -> doc_id, evidence, host_posterior, path_posterior, quality, kept."""
+    placed, mean, k_path = site_posteriors(scored)
+    sites = placed.withColumnRenamed("host", "s_host").withColumnRenamed("path", "s_path")
+    # one row a path: broadcast if it measures small, else hot paths are split by the engine
+    met = scored.join(sites, F.col("host").eqNullSafe(F.col("s_host")) & F.col("path").eqNullSafe(F.col("s_path")))
+    met = met.withColumn("host_posterior", (F.col("h_s") - F.col("p") + F.col("k_host") * F.lit(mean)) / (F.col("h_n") - 1 + F.col("k_host")))
+    met = met.withColumn("path_posterior", (F.col("s") - F.col("p") + F.lit(k_path) * F.col("host_posterior")) / (F.col("n") - 1 + F.lit(k_path)))
+    odds = logit(F.col("p")) + logit(F.col("path_posterior")) - logit(F.lit(mean))
+    met = met.withColumn("quality", 1 / (1 + F.exp(-odds)))
+    return met.select(
+        "doc_id", F.col("p").alias("evidence"), "host_posterior", "path_posterior", "quality", (F.col("quality") >= KEEP_AT).alias("kept")
+    )
+
+
 def quality(
     docs: DataFrame, labels: DataFrame, text: str = "text", host: str = "source", path: str = "lang", id_col: str = "doc_id"
 ) -> DataFrame:
@@ -109,14 +140,4 @@ def quality(
     ).select("doc_id", "host", "path", "m.*")
     measured = staged(measured, "measures")
     scored = staged(classify(measured, labels).select("doc_id", "host", "path", "p"), "scored")
-    placed, mean, k = site_posteriors(scored)
-    sites = placed.withColumnRenamed("host", "s_host").withColumnRenamed("path", "s_path")
-    # one row a path: broadcast if it measures small, else hot paths are split by the engine
-    met = scored.join(sites, F.col("host").eqNullSafe(F.col("s_host")) & F.col("path").eqNullSafe(F.col("s_path")))
-    others = (F.col("s") - F.col("p") + k * F.col("host_posterior")) / (F.col("n") - 1 + k)
-    met = met.withColumn("path_posterior", others)
-    odds = logit(F.col("p")) + logit(F.col("path_posterior")) - logit(F.lit(mean))
-    met = met.withColumn("quality", 1 / (1 + F.exp(-odds)))
-    return met.select(
-        "doc_id", F.col("p").alias("evidence"), "host_posterior", "path_posterior", "quality", (F.col("quality") >= KEEP_AT).alias("kept")
-    )
+    return posteriors(scored)

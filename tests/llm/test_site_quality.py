@@ -36,3 +36,44 @@ def test_hard_rows(spark):
     assert len(got) == len(rows) and all(0 <= r.quality <= 1 and r.kept is not None for r in got)
     assert all(r.kept for r in site_quality.quality(docs, labels.filter("doc_id = 1")).collect())
     assert site_quality.quality(docs.filter("doc_id < 0"), labels).count() == 0
+
+
+def test_posteriors_match_brute_force(spark):
+    """Means and strengths recomputed in plain Python; a document's own share is in neither its path nor its host."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    level = {"a": 0.9, "b": 0.2, "c": 0.6, None: 0.5}
+    rows = [(k, h, p, float(np.clip(level[h] + rng.normal(0, 0.15), 0.01, 0.99))) for k, (h, p) in enumerate([(h, p) for h in level for p in ("en", "de", None)] * 9)]
+    rows.append((1000, "lone", "en", 0.05))
+    scored = spark.createDataFrame(rows, "doc_id long, host string, path string, p double")
+    _, mean, k_path = site_quality.site_posteriors(scored)
+    by_path, by_host = {}, {}
+    for _, h, p, x in rows:
+        by_path.setdefault((h, p), []).append(x)
+        by_host.setdefault(h, []).append(x)
+    n, m = len(rows), np.mean([r[3] for r in rows])
+    within = sum(sum((np.array(x) - np.mean(x)) ** 2) for x in by_path.values()) / (n - len(by_path))
+    clip = lambda b: min(1e4, max(1.0, within / b)) if b > 0 else 1e4
+    spread = sum(len(x) * (np.mean(x) - m) ** 2 for x in by_host.values())
+    k_host = clip((spread - (len(by_host) - 1) * within) / (n - sum(len(x) ** 2 for x in by_host.values()) / n))
+    spread = sum(len(x) * (np.mean(x) - np.mean(by_host[h])) ** 2 for (h, _), x in by_path.items())
+    k = clip((spread - (len(by_path) - len(by_host)) * within) / (n - sum(len(x) ** 2 / len(by_host[h]) for (h, _), x in by_path.items())))
+    assert abs(mean - m) < 1e-9 and abs(k_path - k) < 1e-6 * k
+    got = {r.doc_id: r for r in site_quality.posteriors(scored).collect()}
+    for i, h, p, x in rows:
+        host = (sum(by_host[h]) - x + k_host * m) / (len(by_host[h]) - 1 + k_host)
+        path = (sum(by_path[h, p]) - x + k * host) / (len(by_path[h, p]) - 1 + k)
+        logit = lambda q: np.log(q / (1 - q))
+        want = 1 / (1 + np.exp(-(logit(x) + logit(path) - logit(m))))
+        assert abs(got[i].host_posterior - host) < 1e-9 and abs(got[i].path_posterior - path) < 1e-9 and abs(got[i].quality - want) < 1e-9
+    assert abs(got[1000].host_posterior - m) < 1e-9, "a lone document says nothing about its own host"
+
+
+def test_runs_after_an_observed_job(spark, sf):
+    """An observation in the session once made the fitted model drag the session along."""
+    from screenloom.llm.common import staged
+    from screenloom.llm.queries import QUERIES
+
+    staged(spark.range(5), "seen", {"n": F.count(F.lit(1))})
+    assert QUERIES["op10_site_quality"](spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
