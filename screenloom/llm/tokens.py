@@ -182,7 +182,7 @@ def frequent(counted: DataFrame) -> dict[str, int]:
 
 
 def document_frequencies(docs: DataFrame, known: dict[str, int]) -> DataFrame:
-    """doc_id, sig, sure, piece, times: frequencies of the pre-tokens that ``known`` lacks.
+    """doc_id, sig, sig2, sure, piece, times: frequencies of the pre-tokens that ``known`` lacks.
 
     ``sure`` carries the document's tokens from known pre-tokens, once. A document without
     others has one row, with a key that no piece has.
@@ -206,14 +206,16 @@ def document_frequencies(docs: DataFrame, known: dict[str, int]) -> DataFrame:
             words = [names[c] for c in code] + [f"\0{i}" for i in none]
             yield pa.record_batch(
                 [
-                    b.column("doc_id").take(pa.array(at)), b.column("sig").take(pa.array(at)),
+                    *[b.column(c).take(pa.array(at)) for c in ("doc_id", "sig", "sig2")],
                     pa.array(np.where(first, sure[at], 0)), pa.array(words, pa.string()),
                     pa.array(np.concatenate([times, np.zeros(len(none), np.int64)])),
                 ],
-                names=["doc_id", "sig", "sure", "piece", "times"],
+                names=["doc_id", "sig", "sig2", "sure", "piece", "times"],
             )
 
-    return docs.select("doc_id", "sig", "pieces").mapInArrow(split, "doc_id long, sig int, sure long, piece string, times long")
+    return docs.select("doc_id", "sig", "sig2", "pieces").mapInArrow(
+        split, "doc_id long, sig long, sig2 int, sure long, piece string, times long"
+    )
 
 
 def count_tokens(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: str | None = None, limit: int = 1024) -> DataFrame:
@@ -221,29 +223,33 @@ def count_tokens(docs: DataFrame, text: str = "text", id_col: str = "doc_id", pa
 
     Pieces are counted once per distinct pre-token of the corpus. The frequent head of that
     table, of bounded size, is summed where a text is read; frequencies of all other
-    pre-tokens go by a shuffle on the pre-token, where no key is frequent.
+    pre-tokens go by a shuffle on the pre-token. Of those only very long ones can be frequent;
+    the engine splits such keys of the join.
 
     Defined cases: null and empty texts have 0 tokens; repeated rows each get their count; a
     null id stays null; an empty table gives an empty result.
     """
     path = path or tokenizer_path(TOKENIZER)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    keyed = rows.select("doc_id", F.hash("text").alias("sig"), "text")
+    # two hashes, 96 bits: rows of one id (all rows without one, say) are told apart by text
+    keyed = rows.select("doc_id", F.xxhash64("text").alias("sig"), F.hash("text").alias("sig2"), "text")
     pieces = piece_frequencies(rows.select(pre_tokens(F.col("text")).alias("pieces")))
     with arrow_rows(docs.sparkSession, 4000):
         counted = staged(piece_counts(pieces, path), "piece-counts")
     known = frequent(counted)
-    met = document_frequencies(keyed.select("doc_id", "sig", pre_tokens(F.col("text")).alias("pieces")), known)
-    summed = met.join(counted.select("piece", "n_tokens"), "piece", "left").groupBy("doc_id", "sig").agg(
+    met = document_frequencies(keyed.select("doc_id", "sig", "sig2", pre_tokens(F.col("text")).alias("pieces")), known)
+    summed = met.join(counted.select("piece", "n_tokens"), "piece", "left").groupBy("doc_id", "sig", "sig2").agg(
         F.sum(F.col("sure") + F.col("times") * F.coalesce("n_tokens", F.lit(0))).alias("total")
     )
+    with arrow_rows(docs.sparkSession, 4000):
+        summed = staged(summed, "token-sums")
     # equal rows (same id, same text) were summed together; each has its share
-    sizes = keyed.groupBy("doc_id", "sig").agg(
+    sizes = keyed.groupBy("doc_id", "sig", "sig2").agg(
         F.count(F.lit(1)).alias("copies"), F.first(F.octet_length("text")).cast("long").alias("n_bytes")
     )
     joined = sizes.join(
-        summed.select(F.col("doc_id").alias("s_id"), F.col("sig").alias("s_sig"), "total"),
-        F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("sig") == F.col("s_sig")),
+        summed.select(F.col("doc_id").alias("s_id"), F.col("sig").alias("s_sig"), F.col("sig2").alias("s_sig2"), "total"),
+        F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("sig") == F.col("s_sig")) & (F.col("sig2") == F.col("s_sig2")),
     )
     out = joined.select(
         "doc_id", "n_bytes", (F.col("total") / F.col("copies")).cast("long").alias("n_tokens"),
