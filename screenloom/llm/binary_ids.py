@@ -100,15 +100,13 @@ class IdFile:
 
 
 def put(directory: str, name: str, data: bytes) -> None:
-    """Write under a temporary name, then move: a repeated attempt replaces equal bytes."""
+    """Write a file. No name is used twice, so an attempt that dies leaves a file that no manifest names."""
     from pyarrow import fs
 
     system, base = fs.FileSystem.from_uri(directory)
     system.create_dir(base, recursive=True)
-    part = f"{base}/.{name}.{uuid.uuid4().hex}"
-    with system.open_output_stream(part) as f:
+    with system.open_output_stream(f"{base}/{name}") as f:
         f.write(data)
-    system.move(part, f"{base}/{name}")
 
 
 def write_ids(docs: DataFrame, directory: str, text: str = "text", id_col: str = "doc_id", path: str | None = None) -> DataFrame:
@@ -127,7 +125,7 @@ def write_ids(docs: DataFrame, directory: str, text: str = "text", id_col: str =
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, docs_, lengths, ids, held
-            name = f"ids-{part:06d}-{seq:04d}.bits"
+            name = f"ids-{part:06d}-{seq:04d}-{uuid.uuid4().hex}.bits"
             put(directory, name, to_file(docs_, np.concatenate(lengths), np.concatenate(ids), encoder.bits))
             out = pa.record_batch(
                 [pa.array([part]), pa.array([seq]), pa.array([name]), pa.array([held], pa.int64())],
