@@ -28,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screenloom.llm.common import id_filter, may_be_in, staged, word_hashes, words
+from screenloom.llm.common import arrow_rows, id_filter, may_be_in, staged, word_hashes, words
 from screenloom.llm.hashing import BASE, mix, runs, window_hashes
 
 WINDOW = 50
 PHRASE = 25
 #: Phrases compiled into one automaton, about.
 SHARD_PHRASES = 16_000
+#: Rows of an Arrow batch of whole texts.
+ROWS = 2000
 #: Letters of a word in an automaton.
 LETTERS = 4
 OTHER_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -177,7 +179,8 @@ def repeated_windows(known: DataFrame) -> DataFrame:
     looked for.
     """
     hashed = lambda df: df.withColumn("w", word_hashes(F.col("text")))
-    picked = staged(selected(hashed(known).select("doc_id", "sig", "w")), "phrases")
+    with arrow_rows(known.sparkSession, ROWS):
+        picked = staged(selected(hashed(known).select("doc_id", "sig", "w")), "phrases")
     recurring = staged(
         picked.groupBy("phrase")
         .agg(F.min("doc_id").alias("home"), F.min("sig").alias("s1"), F.max("sig").alias("s2"))
@@ -187,13 +190,9 @@ def repeated_windows(known: DataFrame) -> DataFrame:
     )
     homes = may_be_in(known.select("doc_id", "text"), "doc_id", id_filter(recurring.select(F.col("home").alias("id")).distinct()))
     likely = may_be_in(spelled(hashed(homes).select("doc_id", "w")), "phrase", id_filter(recurring.select(F.col("phrase").alias("id"))))
-    spellings = staged(
-        likely.withColumnRenamed("doc_id", "home")
-        .join(recurring, ["phrase", "home"], "left_semi")
-        .groupBy("phrase")
-        .agg(F.min("spelling").alias("spelling")),
-        "spellings",
-    )
+    spellings = likely.withColumnRenamed("doc_id", "home").join(recurring, ["phrase", "home"], "left_semi")
+    with arrow_rows(known.sparkSession, ROWS):
+        spellings = staged(spellings.groupBy("phrase").agg(F.min("spelling").alias("spelling")), "spellings")
     # the smallest id of each text stands for its copies
     uses = staged(
         picked.join(recurring.select("phrase"), "phrase").select("phrase", "doc_id", "sig").distinct(), "uses"
@@ -209,9 +208,11 @@ def repeated_windows(known: DataFrame) -> DataFrame:
         texts.select(shard.alias("shard"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("spelling"), "doc_id", "sig", "text")
     )
     rows = hashed(rows.repartition(n, "shard").sortWithinPartitions("shard", "kind"))
-    found = staged(located(rows.select("shard", "kind", "spelling", "doc_id", "sig", "w")), "windows")
+    with arrow_rows(known.sparkSession, ROWS):
+        found = staged(located(rows.select("shard", "kind", "spelling", "doc_id", "sig", "w")), "windows")
     first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    gone = found.join(first.select("h1", "h2", "first"), ["h1", "h2"]).filter("doc_id > first")
+    # staged, so that the join deals its sides itself and can split a window that very many documents have
+    gone = found.join(staged(first.select("h1", "h2", "first"), "firsts"), ["h1", "h2"]).filter("doc_id > first")
     return gone.groupBy("doc_id", "sig").agg(F.sort_array(F.collect_set("at")).alias("starts"))
 
 
@@ -252,7 +253,9 @@ def rewritten(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Da
             )
 
     cut = cut.select("doc_id", "sig", words(F.col("text")).alias("w"), "starts")
-    return cut.mapInArrow(keep, "doc_id long, sig long, n_removed long, kept_text string").union(copies)
+    with arrow_rows(docs.sparkSession, ROWS):
+        cut = staged(cut.mapInArrow(keep, "doc_id long, sig long, n_removed long, kept_text string"), "cut-texts")
+    return cut.union(copies)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -265,7 +268,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     less = rewritten(docs, text, id_col).select(
         "doc_id", "sig", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept")
     )
-    out = base.join(staged(less, "rewritten"), ["doc_id", "sig"], "left")
+    out = base.join(less, ["doc_id", "sig"], "left")
     return out.select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "whole").alias("kept_sha256")
     )
