@@ -1,4 +1,10 @@
-"""A corpus from documents to token ids: five stages, each on all that its predecessor kept."""
+"""A corpus from documents to token ids: five stages, each on all that its predecessor kept.
+
+Defined cases, for every stage: an empty table gives an empty one; columns beyond those of
+documents pass through, whatever their names; texts of any length are taken whole. Null texts
+have no words: the quality stage drops them. What else a stage does with nulls and repeated
+rows, its operator states.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +15,16 @@ from screenloom.llm import minhash, mixing, pieces, quality_rules, substrings
 from screenloom.llm.common import staged, table, words
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """All columns in one struct, ``row``: columns made beside it clash with none of the input's."""
+    return docs.select(F.struct(*docs.columns).alias("row"))
+
+
+def unboxed(rows: DataFrame, names: list[str], **changed: str) -> DataFrame:
+    """The columns of ``row`` again, some of them taken from columns beside it."""
+    return rows.select(*[F.col(changed.get(c, f"row.{c}")).alias(c) for c in names])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the base rules or their host's verdict reject."""
     return quality_rules.kept_documents(docs)
@@ -20,39 +36,36 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that repeat an id are one document: the one with the smallest text stays. Rows without
     an id stay.
     """
-    groups = minhash.near_groups(docs)
-    first = groups.filter("doc_id = class_id").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy("text")
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n")
-    return kept.select(*docs.columns).union(docs.filter("doc_id IS NULL"))
+    first = minhash.near_groups(docs).filter("doc_id = class_id").select(F.col("doc_id").alias("first")).distinct()
+    one = Window.partitionBy("row.doc_id").orderBy("row.text")
+    kept = boxed(docs).join(first, F.col("row.doc_id") == F.col("first"), "left_semi").withColumn("nth", F.row_number().over(one))
+    return kept.filter("nth = 1").select("row.*").union(docs.filter("doc_id IS NULL"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated passages out of the texts; a document that loses all keeps an empty text."""
-    less = substrings.rewritten(docs).select(F.col("doc_id"), F.col("sig").alias("_sig"), F.col("kept_text").alias("_kept"))
-    met = docs.withColumn("_sig", F.xxhash64("text")).join(staged(less, "rewritten"), ["doc_id", "_sig"], "left")
-    met = met.withColumn("text", F.coalesce("_kept", "text"))
-    met = met.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast("long"))
-    return met.select(*docs.columns)
+    less = substrings.rewritten(docs).select(F.col("doc_id").alias("id"), "sig", "kept_text")
+    met = boxed(docs).join(less, (F.col("row.doc_id") == F.col("id")) & (F.xxhash64("row.text") == F.col("sig")), "left")
+    met = met.withColumn("less", F.coalesce("kept_text", "row.text"))
+    chars = F.when(F.col("kept_text").isNull(), F.col("row.n_chars")).otherwise(F.length("less")).cast("long")
+    return unboxed(met.withColumn("chars", chars), docs.columns, text="less", n_chars="chars")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for every time a document is taken; the last may be a part, its first words."""
-    signed = docs.withColumn("_sig", F.xxhash64("text"))
-    mixed = mixing.mix(signed, carry=("_sig",)).filter("taken > 0")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_sig").orderBy(F.desc("taken")))
-    mixed = mixed.select(F.col("doc_id").alias("_id"), F.col("_sig").alias("_s"), "size", "taken", nth.alias("_m"))
-    which = F.row_number().over(Window.partitionBy("doc_id", "_sig").orderBy("text"))
-    met = signed.withColumn("_n", which).join(
-        staged(mixed, "mixed"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sig") == F.col("_s")) & (F.col("_n") == F.col("_m"))
-    )
+    mixed = mixing.mix(docs.select("doc_id", "source", "text", F.xxhash64("text").alias("sig")), carry=("sig",)).filter("taken > 0")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "sig").orderBy(F.desc("taken")))
+    mixed = mixed.select(F.col("doc_id").alias("id"), "sig", "size", "taken", nth.alias("nth"))
+    which = F.row_number().over(Window.partitionBy("row.doc_id", F.xxhash64("row.text")).orderBy("row.text"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("row.text") == F.col("sig")) & (F.col("which") == F.col("nth"))
+    met = boxed(docs).withColumn("which", which).join(staged(mixed, "mixed"), same)
     turn = F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size"))))
-    met = met.withColumn("_turn", turn)
-    part = F.least(F.col("size"), F.col("taken") - (F.col("_turn") - 1) * F.col("size"))
-    cut = F.array_join(F.slice(words(F.col("text")), F.lit(1), part.cast("int")), " ")
-    met = met.withColumn("_text", F.when(part < F.col("size"), cut).otherwise(F.col("text")))
-    met = met.withColumn("n_chars", F.when(part < F.col("size"), F.length("_text")).otherwise(F.col("n_chars")).cast("long"))
-    return met.withColumn("text", F.col("_text")).select(*docs.columns)
+    met = met.withColumn("turn", turn)
+    part = F.least(F.col("size"), F.col("taken") - (F.col("turn") - 1) * F.col("size"))
+    cut = F.array_join(F.slice(words(F.col("row.text")), F.lit(1), part.cast("int")), " ")
+    met = met.withColumn("cut", F.when(part < F.col("size"), cut).otherwise(F.col("row.text")))
+    chars = F.when(part < F.col("size"), F.length("cut")).otherwise(F.col("row.n_chars")).cast("long")
+    return unboxed(met.withColumn("chars", chars), docs.columns, text="cut", n_chars="chars")
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
