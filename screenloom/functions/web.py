@@ -33,7 +33,7 @@ def find_urls(text: Column) -> Column:
 
 
 def is_web(text: Column) -> Column:
-    return contains_any(text, WEB_SIGNS)
+    return contains_any(F.coalesce(text, F.lit("")), WEB_SIGNS)
 
 
 def categories(text: Column) -> Column:
@@ -68,11 +68,16 @@ def page_text(html: Column) -> Column:
     return decode_entities(F.regexp_replace(visible_html(html), r"(?s)<[^>]*>", ""))
 
 
+def attributes(html: Column, tag: str, name: str) -> Column:
+    """An attribute's values in all such tags, in order; in double quotes, single quotes or none."""
+    value = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    found = F.regexp_extract_all(visible_html(html), F.lit(rf"(?i)<{tag}\s(?:[^>]*?\s)?{name}\s*=\s*{value}"), F.lit(1))
+    return F.transform(found, lambda x: decode_entities(F.regexp_replace(x, r"""^["']|["']$""", "")))
+
+
 def page_links(html: Column) -> Column:
-    found = F.regexp_extract_all(visible_html(html), F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), F.lit(1))
-    return F.transform(found, decode_entities)
+    return attributes(html, "a", "href")
 
 
 def page_images(html: Column) -> Column:
-    found = F.regexp_extract_all(visible_html(html), F.lit(r'(?i)<img\s[^>]*?src="([^"]*)"'), F.lit(1))
-    return F.transform(found, decode_entities)
+    return attributes(html, "img", "src")

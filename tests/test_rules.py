@@ -181,3 +181,15 @@ def test_places_of_inputs_are_numbered_in_ranges(spark):
     assert [r.input_id for r in out.orderBy("place").collect()] == sorted(range(50), key=lambda k: (k % 3, k))
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert all("_range#" in line for line in plan.splitlines() if "row_number()" in line)
+
+
+def test_attribute_values_in_any_quotes_and_null_texts(spark):
+    from pyspark.sql import functions as F
+
+    from screenloom.functions import text as T
+    from screenloom.functions import web as W
+
+    html = """<a href="a?x=1&amp;y=2">1</a><A class=b HREF = 'c'>2</A><a href=d>3</a><a data-href="no" href="e">4</a><img alt='' src='f.png'/><!--<a href="g">-->"""
+    row = spark.createDataFrame([(html, None)], "html string, text string")
+    got = row.select(W.page_links(F.col("html")).alias("l"), W.page_images(F.col("html")).alias("i"), W.is_web(F.col("text")).alias("w"), T.prompt_kind(F.col("text")).alias("k")).first()
+    assert (got.l, got.i, got.w, got.k) == (["a?x=1&y=2", "c", "d", "e"], ["f.png"], False, "summary")
