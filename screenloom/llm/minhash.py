@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from screenloom.llm.common import arrow_rows, id_filter, may_be_in, staged, word_hashes
+from screenloom.llm.common import arrow_rows, id_filter, may_be_in, scratch, staged, word_hashes
 from screenloom.llm.hashing import mix, runs, window_hashes
 
 SHINGLE = 5
@@ -391,17 +391,18 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", thr
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     known = rows.filter(F.col("doc_id").isNotNull())
-    with arrow_rows(docs.sparkSession, 2000):
-        sketched = staged(sketches(known.select("doc_id", F.md5("text").alias("sig"), word_hashes(F.col("text")).alias("w")), threshold), "sketches")
-    reps = staged(sketched.groupBy("sig").agg(F.min("doc_id").alias("rep")), "copies")
-    bands = (
-        sketched.select("doc_id", "bands")
-        .join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        .select(F.explode("bands").alias("band"), F.col("doc_id").alias("id"))
-    )
-    labels = bucket_labels(bands, known, sketched, threshold)
-    classes = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("sig", F.coalesce("label", "rep").alias("class"))
-    # rows of one id but several texts take their smallest class
-    joined = sketched.select("doc_id", "sig").join(classes, "sig").groupBy("doc_id").agg(F.min("class").alias("class"))
-    out = rows.select("doc_id").join(joined, "doc_id", "left")
-    return out.select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
+    with scratch(docs.sparkSession) as keep:
+        with arrow_rows(docs.sparkSession, 2000):
+            sketched = staged(sketches(known.select("doc_id", F.md5("text").alias("sig"), word_hashes(F.col("text")).alias("w")), threshold), "sketches")
+        reps = staged(sketched.groupBy("sig").agg(F.min("doc_id").alias("rep")), "copies")
+        bands = (
+            sketched.select("doc_id", "bands")
+            .join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+            .select(F.explode("bands").alias("band"), F.col("doc_id").alias("id"))
+        )
+        labels = bucket_labels(bands, known, sketched, threshold)
+        classes = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("sig", F.coalesce("label", "rep").alias("class"))
+        # rows of one id but several texts take their smallest class
+        joined = sketched.select("doc_id", "sig").join(classes, "sig").groupBy("doc_id").agg(F.min("class").alias("class"))
+        out = rows.select("doc_id").join(joined, "doc_id", "left")
+        return keep(out.select("doc_id", F.coalesce("class", "doc_id").alias("class_id")), "near-groups")

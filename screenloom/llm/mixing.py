@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from screenloom.llm.common import n_words, running_sum, staged
+from screenloom.llm.common import n_words, running_sum, scratch, staged
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
@@ -61,7 +61,13 @@ def random_key(id_col: Column, text: Column, seed: str) -> Column:
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, size, source, source_size, target, taken, and the carried columns."""
+    """One row per document: doc_id, size, source, source_size, target, taken, and the carried columns; staged."""
+    with scratch(docs.sparkSession) as keep:
+        return keep(placed_rows(docs, text, source, id_col, seed, carry), "mix")
+
+
+def placed_rows(docs: DataFrame, text: str, source: str, id_col: str, seed: str, carry: tuple[str, ...]) -> DataFrame:
+    """The same, not staged."""
     sizes = staged(
         docs.select(
             F.col(id_col).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"),

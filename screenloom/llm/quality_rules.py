@@ -151,6 +151,7 @@ def kept_documents(docs: DataFrame, text: str = "text", host: str = "source", id
     """
     row = docs.select(F.struct(*docs.columns).alias("row"))
     judged = staged(base_rules(row, f"row.{text}", f"row.{host}", f"row.{id_col}", carry=("row",)), "quality-rules")
-    rejected = host_verdicts(judged).filter("host_rejected").select(F.col("host").alias("bad_host"))
+    # staged, so that its size is known when the join is planned: if it is small, no text moves
+    rejected = staged(host_verdicts(judged).filter("host_rejected").select(F.col("host").alias("bad_host")), "rejected-hosts")
     passed = judged.filter("NOT fail_base").join(rejected, F.col("host").eqNullSafe(F.col("bad_host")), "left_anti")
     return passed.select("row.*")

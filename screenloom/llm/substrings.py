@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screenloom.llm.common import arrow_rows, id_filter, may_be_in, staged, word_hashes, words
+from screenloom.llm.common import arrow_rows, id_filter, may_be_in, scratch, staged, word_hashes, words
 from screenloom.llm.hashing import BASE, mix, runs, window_hashes
 
 WINDOW = 50
@@ -217,7 +217,14 @@ def repeated_windows(known: DataFrame) -> DataFrame:
 
 
 def rewritten(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, sig, n_removed, kept_text of the documents that lose words."""
+    """doc_id, sig, n_removed, kept_text of the documents that lose words, staged."""
+    with scratch(docs.sparkSession) as keep:
+        with arrow_rows(docs.sparkSession, ROWS):
+            return keep(cut_texts(docs, text, id_col), "rewritten")
+
+
+def cut_texts(docs: DataFrame, text: str, id_col: str) -> DataFrame:
+    """The same, not staged."""
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("sig"), F.col(text).alias("text"))
     known = known.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     full = known.select("doc_id", "sig", F.md5("text").alias("full"), F.size(words(F.col("text"))).alias("n_words"))
@@ -253,9 +260,7 @@ def rewritten(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Da
             )
 
     cut = cut.select("doc_id", "sig", words(F.col("text")).alias("w"), "starts")
-    with arrow_rows(docs.sparkSession, ROWS):
-        cut = staged(cut.mapInArrow(keep, "doc_id long, sig long, n_removed long, kept_text string"), "cut-texts")
-    return cut.union(copies)
+    return cut.mapInArrow(keep, "doc_id long, sig long, n_removed long, kept_text string").union(copies)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:

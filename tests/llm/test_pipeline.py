@@ -94,3 +94,14 @@ def test_hard_rows(spark, sf):
         for name, stage in corpus_pipeline.STAGES:
             frame = staged(stage(spark, frame, sf), name)
         assert (frame.count() > 0) == bool(docs)
+
+
+def test_operators_leave_no_scratch_tables(spark, sf):
+    import glob
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(glob.glob(f"{folder}/*"))
+    frame = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = corpus_pipeline.near_dedup(spark, frame, sf)
+    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(glob.glob(f"{folder}/*")) - before}
+    assert left == {"near-groups"} and rows.count() > 0
