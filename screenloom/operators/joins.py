@@ -42,13 +42,13 @@ def asof_context(questions: DataFrame, captures: DataFrame, n: int = 1000, span:
 
 
 def combine_modalities(inputs: DataFrame) -> DataFrame:
-    """One record an input, with an analysis for each part it has, in order of priority."""
-    text = inputs.filter(F.coalesce("text", F.lit("")) != "").select("input_id", word_count(F.col("text")).alias("text_words"))
-    image = inputs.filter(F.col("scene_description").isNotNull()).select("input_id", F.length("scene_description").cast("long").alias("scene_chars"))
-    context = inputs.filter(F.coalesce("context_process", F.lit("")) != "").select("input_id", A.app_category(F.col("context_process")).alias("app_type"))
-    met = inputs.select("input_id", "user_id", "priority")
-    for part in (text, image, context):
-        met = met.join(part, "input_id", "left")
+    """One record an input (a repeated row is an input of its own), with an analysis for each part it has, in order of priority."""
+    given = lambda c: F.coalesce(c, F.lit("")) != ""
+    met = inputs.select(
+        "input_id", "user_id", "priority", F.when(given("text"), word_count(F.col("text"))).alias("text_words"),
+        F.length("scene_description").cast("long").alias("scene_chars"),
+        F.when(given("context_process"), A.app_category(F.col("context_process"))).alias("app_type"),
+    )
     met = numbered(met, "user_id", ["priority", "input_id"], "place")
     return met.select(
         "input_id", "user_id", "priority", "text_words", "scene_chars", "app_type", F.col("text_words").isNotNull().alias("has_text"),
