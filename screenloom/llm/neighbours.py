@@ -4,14 +4,16 @@ On a bounded sample: the neighbour graph is cut into balanced partitions, and a
 learns from a vector in which partitions its neighbours lie. Every row is then indexed in the
 partition that the network holds most probable, and a query is sent to the several most
 probable ones; their rows are ranked by the exact inner product in double precision. The
-number of partitions tried is the least that finds ``TARGET`` of the neighbours of sample
-vectors kept out of training.
+number of partitions tried is measured, not guessed: one pass over the index finds the true
+neighbours of ``PROBES`` queries among all rows, and the least number of partitions that holds
+``TARGET`` of them is taken for all queries. The number of partitions grows with the square
+root of the table up to ``MOST``; larger partitions are ranked in more blocks.
 
 Of equal vectors, only the first K + 1 by id can be among K nearest; the others are never
 candidates, which is exact, and keeps a vector that fills much of the table harmless.
 
 Defined cases: null or zero vectors, those with null or non-finite components and those of
-another length than most take no part; ties go to the smaller id; rows that repeat an id and
+another length than most of the sample (no inner product joins two lengths) take no part; ties go to the smaller id; rows that repeat an id and
 vector count once; an empty table gives an empty result; other columns are not carried.
 """
 
@@ -28,11 +30,12 @@ from pyspark.sql import functions as F
 from screenloom.llm.common import staged
 
 K = 20
-SAMPLE = 8192
-PARTITIONS = 32
+#: Sample vectors of a partition; partitions are the table's square root over SHRINK, MOST at most.
+SAMPLE_PART, SHRINK, MOST = 128, 8, 128
 GRAPH = 16
 HIDDEN = 128
-TARGET = 0.97
+#: Share of true neighbours to find, and how many queries it is measured on.
+TARGET, PROBES = 0.92, 512
 #: Rows of a block of the ranking, on either side.
 BLOCK = 8192
 
@@ -120,35 +123,60 @@ class Router:
                     self.w[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
 
 
-def fit(sample: np.ndarray, seed: int = 7) -> tuple[Router, int]:
-    """A router and the number of partitions to try, from a sample of distinct vectors."""
+def fit(sample: np.ndarray, parts: int, seed: int = 7) -> Router:
+    """A router to ``parts`` balanced partitions of a sample of distinct vectors' neighbour graph."""
     rng = np.random.default_rng(seed)
     n = len(sample)
-    parts = int(max(1, min(PARTITIONS, n // 64)))
-    if parts == 1:
-        return Router(sample.shape[1], 1, rng), 1
-    graph = neighbour_graph(sample, min(GRAPH, n - 1))
-    label = balanced_partitions(sample, graph, parts, rng)
-    share = np.zeros((n, parts))
-    np.add.at(share, (np.arange(n)[:, None], label[graph]), 1.0)
-    share /= share.sum(axis=1, keepdims=True)
-    held = rng.permutation(n)[: max(32, min(512, n // 8))]
-    train = np.setdiff1d(np.arange(n), held)
     router = Router(sample.shape[1], parts, rng)
-    router.fit(sample[train], share[train], rng)
-    where = router.probabilities(sample).argmax(axis=1)
-    route = np.argsort(-router.probabilities(sample[held]), axis=1)
-    rank = np.empty_like(route)
-    np.put_along_axis(rank, route, np.arange(parts)[None, :], axis=1)
-    k = min(K, n - 1)
-    scores = sample[held] @ sample.T
-    scores[np.arange(len(held)), held] = -np.inf
-    near = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-    needed = np.take_along_axis(rank, where[near], axis=1) + 1
-    for tries in range(1, parts + 1):
-        if (needed <= tries).mean() >= TARGET:
-            return router, tries
-    return router, parts
+    if parts > 1:
+        graph = neighbour_graph(sample, min(GRAPH, n - 1))
+        label = balanced_partitions(sample, graph, parts, rng)
+        share = np.zeros((n, parts))
+        np.add.at(share, (np.arange(n)[:, None], label[graph]), 1.0)
+        router.fit(sample, share / share.sum(axis=1, keepdims=True), rng)
+    return router
+
+
+def neighbour_parts(index: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
+    """(id, v, part) -> probe, part: where each given query's k true neighbours lie among all rows.
+
+    A task keeps its k best of every query only, so k rows a query and task are shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, part = np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int32)
+        for b in batches:
+            x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, q.shape[1])
+            own, to = b.column("id").to_numpy(), b.column("part").to_numpy()
+            for a in range(0, len(x), 2048):
+                s = q @ x[a : a + 2048].T
+                s[ids[:, None] == own[a : a + 2048]] = -np.inf
+                s = np.concatenate([score, s], axis=1)
+                p = np.concatenate([part, np.broadcast_to(to[a : a + 2048], (len(q), s.shape[1] - k))], axis=1)
+                best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                score, part = np.take_along_axis(s, best, axis=1), np.take_along_axis(p, best, axis=1)
+        probe, at = np.nonzero(np.isfinite(score))
+        yield pa.record_batch([pa.array(probe.astype(np.int32)), pa.array(score[probe, at]), pa.array(part[probe, at])], names=["probe", "score", "part"])
+
+    near = index.mapInArrow(run, "probe int, score double, part int")
+    order = Window.partitionBy("probe").orderBy(F.desc("score"), "part")
+    return near.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k).select("probe", "part")
+
+
+def least_tries(router: Router, index: DataFrame, asked: DataFrame, k: int) -> int:
+    """The least number of partitions to try that finds TARGET of the neighbours of some queries."""
+    parts = len(router.w[3])
+    # the sample takes the first ids by hash, these the last
+    probes = asked.select("id", "v").orderBy(F.desc(F.xxhash64("id")), "id").limit(PROBES).collect() if parts > 1 else []
+    if not probes:
+        return 1
+    q = np.array([r.v for r in probes])
+    near = neighbour_parts(index, np.array([r.id for r in probes]), q, k).collect()  # PROBES * k rows at most
+    if not near:
+        return parts
+    place = np.argsort(np.argsort(-router.probabilities(q), axis=1, kind="stable"), axis=1)
+    needed = np.sort([place[r.probe, r.part] + 1 for r in near])
+    return int(needed[min(len(needed) - 1, int(np.ceil(TARGET * len(needed))) - 1)])
 
 
 def vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -180,12 +208,14 @@ def search(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id"
     every = vectors(df, id_col, vector)
     equal = Window.partitionBy("v").orderBy("id")
     rows = staged(every.distinct().withColumn("copy", F.row_number().over(equal)).filter(F.col("copy") <= k + 1), "vectors")
-    sample = rows.filter("copy = 1").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
+    parts = int(max(1, min(MOST, rows.count() ** 0.5 / SHRINK)))
+    sample = rows.filter("copy = 1").orderBy(F.xxhash64("id"), "id").limit(parts * SAMPLE_PART).select("v").collect()
     if not sample:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims = pd.Series([len(r.v) for r in sample])
     dim = int(dims.mode().iloc[0])
-    router, tries = fit(np.array([r.v for r in sample if len(r.v) == dim]))
+    sample = np.array([r.v for r in sample if len(r.v) == dim])
+    router = fit(sample, max(1, min(parts, len(sample) // 64)))
 
     def routed(several: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,6 +231,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id"
     shape = "id long, v array<double>, part int"
     index = staged(rows.filter(F.size("v") == dim).select("id", "v").mapInArrow(routed(1), shape), "index")
     asked = vectors(queries, id_col, vector).filter(F.size("v") == dim).distinct()
+    tries = least_tries(router, index, asked, k)
     asked = staged(asked.mapInArrow(routed(tries), shape), "routed")
     # blocks of a partition's rows against blocks of its queries: (partition, row block, query block)
     count = lambda d, c: d.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(c))

@@ -66,3 +66,37 @@ def test_few_rows_and_none(spark):
     assert {q: [v for v, _ in near] for q, near in got.items()} == {0: [1, 20], 20: [0, 1]}
     none = table.filter("vec_id < 0")
     assert neighbours.search(none, none).count() == 0
+
+
+def test_clustered_rows_need_few_partitions(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(200, 32))
+    x = (centres[rng.integers(0, 200, 50_000)] + 0.3 * rng.normal(size=(50_000, 32))).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    seen = {}
+
+    def recorded(router, *rest):
+        seen["tries"], seen["parts"] = least(router, *rest), len(router.w[3])
+        return seen["tries"]
+
+    least = neighbours.least_tries
+    monkeypatch.setattr(neighbours, "least_tries", recorded)
+    got = by_query(neighbours.search(table, table.filter(F.col("vec_id") % 100 == 0)).collect())
+    assert seen["parts"] == int(50_000**0.5 / neighbours.SHRINK) and seen["tries"] < seen["parts"] / 2
+    x, ids = x.astype(np.float64), np.arange(0, 50_000, 100)
+    scores = x[ids] @ x.T
+    scores[np.arange(len(ids)), ids] = -np.inf
+    near = np.argpartition(-scores, 19, axis=1)[:, :20]
+    found = sum(len({v for v, _ in got[i]} & set(n.tolist())) for i, n in zip(ids.tolist(), near, strict=True))
+    assert found / near.size >= 0.9
+
+
+def test_neighbour_parts_are_those_of_the_true_neighbours(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, 4))
+    index = spark.createDataFrame([(i, v.tolist(), i % 7) for i, v in enumerate(x)], "id long, v array<double>, part int").repartition(5)
+    ids = np.array([3, 50, 499])
+    got = neighbours.neighbour_parts(index, ids, x[ids], 5).collect()
+    for n, i in enumerate(ids):
+        order = [j for j in np.argsort(-(x @ x[i])) if j != i][:5]
+        assert sorted(r.part for r in got if r.probe == n) == sorted(j % 7 for j in order)
