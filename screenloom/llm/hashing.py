@@ -44,7 +44,7 @@ def window_hashes(x: np.ndarray, width: int, base: np.uint64 = BASE) -> np.ndarr
     return out
 
 
-def runs(lists: pa.ListArray, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def runs(lists: pa.ListArray, most: int = 1 << 17) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Runs of rows of a column of word hashes, each with about ``most`` words: first row, words, starts."""
     lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)

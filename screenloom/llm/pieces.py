@@ -28,13 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from screenloom.llm.common import arrow_rows, staged
+
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Bytes of remembered words and pairs of pieces in a worker, about; beyond that it starts afresh.
-MEMO_BYTES = 96 << 20
-PAIR_BYTES = 64 << 20
+MEMO_BYTES = 48 << 20
+PAIR_BYTES = 24 << 20
 #: What an entry of a dict, its key and its value take besides their characters, about.
 ENTRY, PAIR = 230, 160
+#: Rows of an Arrow batch of whole texts.
+ROWS = 1000
 #: Positions between two looks at where paths meet.
 LOOK = 64
 
@@ -210,52 +214,64 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
-def encode(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: str | None = None) -> DataFrame:
-    """doc_id, ids of every document."""
-    path = path or model_path()
+def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Batches (doc_id, text) -> doc_id, ids."""
+    v = Vocabulary.of(path)
+    for b in batches:
+        for a in range(0, b.num_rows, 256):
+            part = b.slice(a, 256)
+            packed = [v.encode(t or "") for t in part.column("text").to_pylist()]
+            starts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])])
+            ids = pa.array(np.frombuffer(b"".join(packed), np.int32))
+            yield pa.record_batch(
+                [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), ids)], names=["doc_id", "ids"]
+            )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary.of(path)
-        for b in batches:
-            for a in range(0, b.num_rows, 256):
-                part = b.slice(a, 256)
-                packed = [v.encode(t or "") for t in part.column("text").to_pylist()]
-                starts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])])
-                ids = pa.array(np.frombuffer(b"".join(packed), np.int32))
-                yield pa.record_batch(
-                    [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), ids)], names=["doc_id", "ids"]
-                )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+def decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Batches (doc_id, ids) -> doc_id, n_pieces, ids_crc32, text."""
+    v = Vocabulary.of(path)
+    for b in batches:
+        for a in range(0, b.num_rows, 256):
+            part = b.slice(a, 256)
+            ids = [x.values.to_numpy() for x in part.column("ids")]
+            yield pa.record_batch(
+                [
+                    part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()),
+                    pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
+                    pa.array([v.decode(x) for x in ids], pa.string()),
+                ],
+                names=["doc_id", "n_pieces", "ids_crc32", "text"],
+            )
 
 
-def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32, text from a table of ids."""
+DECODED = "doc_id long, n_pieces long, ids_crc32 long, text string"
+
+
+def texts(docs: DataFrame, text: str, id_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+
+def encode(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: str | None = None) -> DataFrame:
+    """doc_id, ids of every document."""
     path = path or model_path()
+    return texts(docs, text, id_col).mapInArrow(lambda batches: encoded(batches, path), "doc_id long, ids array<int>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary.of(path)
-        for b in batches:
-            for a in range(0, b.num_rows, 256):
-                part = b.slice(a, 256)
-                ids = [x.values.to_numpy() for x in part.column("ids")]
-                yield pa.record_batch(
-                    [
-                        part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
-                        pa.array([v.decode(x) for x in ids], pa.string()),
-                    ],
-                    names=["doc_id", "n_pieces", "ids_crc32", "text"],
-                )
 
-    return encoded.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, text string")
+def decode(ids: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32, text from a table of ids."""
+    path = path or model_path()
+    return ids.mapInArrow(lambda batches: decoded(batches, path), DECODED)
 
 
 def round_trip(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: str | None = None) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (of the ids as little-endian 32-bit numbers), and the
     SHA-256 of the text decoded from them. Decoding gives the text back, but for the white
-    space mark itself, which is read as a space."""
-    return decode(encode(docs, text, id_col, path), path).select(
-        "doc_id", "n_pieces", "ids_crc32", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256")
-    )
+    space mark itself, which is read as a space. One worker a task does both, so that an
+    executor holds one vocabulary and one memory of words a core; the digests are staged, as
+    the size of the batches holds for what is written meanwhile only."""
+    path = path or model_path()
+    back = texts(docs, text, id_col).mapInArrow(lambda batches: decoded(encoded(batches, path), path), DECODED)
+    back = back.select("doc_id", "n_pieces", "ids_crc32", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    with arrow_rows(docs.sparkSession, ROWS):
+        return staged(back, "round-trip")

@@ -36,7 +36,7 @@ PHRASE = 25
 #: Phrases compiled into one automaton, about.
 SHARD_PHRASES = 16_000
 #: Rows of an Arrow batch of whole texts.
-ROWS = 2000
+ROWS = 1000
 #: Letters of a word in an automaton.
 LETTERS = 4
 OTHER_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -99,7 +99,7 @@ def spelled(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a, w, starts in runs(b.column("w"), 1 << 18):
+            for a, w, starts in runs(b.column("w")):
                 doc, at, h = phrases(w, starts)
                 spelling = letters(w)[at[:, None] + np.arange(PHRASE)].tobytes()
                 ends = np.arange(len(h) + 1, dtype=np.int32) * (PHRASE * LETTERS)
