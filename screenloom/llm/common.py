@@ -87,16 +87,22 @@ def staged(df: DataFrame, name: str, observe: dict[str, Column] | None = None):
     return (table_, seen.get) if observe else table_
 
 
+#: Bytes of an Arrow batch of whole texts, or one row if that is longer.
+BATCH_BYTES = 4 << 20
+
+
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
-    """Within, Arrow batches hold ``n`` rows at most; for wide rows that are staged meanwhile."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(n))
+    """Within, Arrow batches hold ``n`` rows and ``BATCH_BYTES`` at most; for wide rows that are staged meanwhile."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": n, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {key: spark.conf.get(key) for key in limits}
+    for key, limit in limits.items():
+        spark.conf.set(key, str(limit))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, limit in before.items():
+            spark.conf.set(key, limit)
 
 
 def running_sum(df: DataFrame, order: list[Column], value: str, into: str) -> DataFrame:

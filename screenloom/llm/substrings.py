@@ -33,8 +33,8 @@ from screenloom.llm.hashing import BASE, mix, runs, window_hashes
 
 WINDOW = 50
 PHRASE = 25
-#: Phrases compiled into one automaton, about.
-SHARD_PHRASES = 16_000
+#: Phrases compiled into one automaton, about; each takes some 5 kB of a worker.
+SHARD_PHRASES = 4_000
 #: Rows of an Arrow batch of whole texts.
 ROWS = 1000
 #: Letters of a word in an automaton.
@@ -246,14 +246,14 @@ def cut_texts(docs: DataFrame, text: str, id_col: str) -> DataFrame:
         for b in batches:
             n, texts = [], []
             for k in range(b.num_rows):
-                w = b.column("w")[k].as_py()
+                w = b.column("w")[k].values
                 at = b.column("starts")[k].values.to_numpy()
                 marks = np.zeros(len(w) + 1, np.int64)
                 np.add.at(marks, at, 1)
                 np.add.at(marks, at + WINDOW, -1)
                 gone = np.cumsum(marks)[:-1] > 0
                 n.append(int(gone.sum()))
-                texts.append(" ".join([w[i] for i in np.flatnonzero(~gone)]))
+                texts.append(" ".join(w.filter(pa.array(~gone)).to_pylist()))
             yield pa.record_batch(
                 [b.column("doc_id"), b.column("sig"), pa.array(n, pa.int64()), pa.array(texts, pa.string())],
                 names=["doc_id", "sig", "n_removed", "kept_text"],
