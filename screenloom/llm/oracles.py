@@ -86,3 +86,53 @@ SELECT conv_id, count(*) AS n_turns,
     + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 11) AS BIGINT) AS formatted_chars, FALSE AS rewritten
 FROM turns GROUP BY conv_id
 """
+
+LINE_DEDUP = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT r, doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM docs),
+keyed AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM lines),
+common AS (
+  SELECT k AS key, max(doc_id) AS last FROM keyed WHERE length(k) >= 20 GROUP BY k
+  HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 3),
+judged AS (SELECT r, doc_id, i, line, key IS NOT NULL AND doc_id IS DISTINCT FROM last AS gone FROM keyed LEFT JOIN common ON k = key)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY r
+"""
+
+SPELLING = r"""
+WITH RECURSIVE runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+    translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+  FROM documents),
+counted AS (SELECT id, w, count(*) AS n, id || ':' || w AS s FROM runs WHERE length(w) >= 5 GROUP BY id, w),
+-- crc32 bit by bit over the UTF-8 bytes
+bytes AS (
+  SELECT w, n, flatten(list_transform(list_transform(string_split(s, ''), lambda c: unicode(c)),
+    lambda c: CASE WHEN c < 128 THEN [c] ELSE [192 + c // 64, 128 + c % 64] END)) AS b FROM counted),
+bits AS (SELECT w, n, flatten(list_transform(b, lambda x: [x % 2, x // 2 % 2, x // 4 % 2, x // 8 % 2, x // 16 % 2, x // 32 % 2, x // 64 % 2, x // 128 % 2])) AS b FROM bytes),
+hashed AS (
+  SELECT w, n, xor(list_reduce(list_transform(b, lambda x: CAST(x AS BIGINT)),
+    lambda c, x: xor(c // 2, 3988292384 * (xor(c, x) % 2)), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM bits),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT n, CASE WHEN h % 97 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cuts AS (SELECT word, n, left(word, i) AS a, substr(word, i + 2) AS b, left(word, i) || substr(word, i + 2) AS less FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+pairs AS (
+  SELECT x.word, x.n, y.word AS near, y.n AS near_n FROM cuts x JOIN cuts y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT x.word, x.n, y.word, y.n FROM cuts x JOIN words y ON x.less = y.word
+  UNION SELECT y.word, y.n, x.word, x.n FROM cuts x JOIN words y ON x.less = y.word),
+best AS (
+  SELECT word, n, CAST(count(*) AS BIGINT) AS n_near, arg_min(near, {'m': -near_n, 'w': near}) AS near, max(near_n) AS near_n FROM pairs GROUP BY word, n),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form, CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word),
+chains AS (
+  SELECT word, form AS root FROM formed WHERE form IS NOT NULL
+  UNION ALL SELECT c.word, f.form FROM chains c JOIN formed f ON c.root = f.word WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.root FROM chains c JOIN formed f ON c.root = f.word WHERE f.form IS NULL)
+SELECT f.word, n, n_near, form, form_n, coalesce(root, f.word) AS root FROM formed f LEFT JOIN ends e ON f.word = e.word
+"""

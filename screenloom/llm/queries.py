@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenloom.llm import binary_ids, chat, minhash, mixing, neighbours, oracles, pieces, quality_rules, site_quality, substrings, tokens
+from screenloom.llm import binary_ids, chat, line_dedup, minhash, mixing, neighbours, oracles, pieces, quality_rules, site_quality, spelling, substrings, tokens, whitening
 from screenloom.llm.common import table
 
 
@@ -54,6 +54,19 @@ def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_neighbours": op2_neighbours,
@@ -65,10 +78,15 @@ QUERIES = {
     "op8_binary_ids": op8_binary_ids,
     "op9_chat_format": op9_chat_format,
     "op10_site_quality": op10_site_quality,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLES = {
     "op1_quality_rules": oracles.QUALITY_RULES,
     "op3_mix_sources": oracles.MIX_SOURCES,
     "op9_chat_format": oracles.CHAT,
+    "op11_line_dedup": oracles.LINE_DEDUP,
+    "op12_spelling_variants": oracles.SPELLING,
 }
