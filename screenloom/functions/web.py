@@ -19,13 +19,6 @@ CATEGORIES = (
     ("Search Results", ("search", "results", "found")),
     ("Video Content", ("video", "play", "watch", "subscribe")),
 )
-ENTITIES = (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
-HIDDEN = r"(?is)<!--.*?-->|<!doctype[^>]*>|<(script|style|template)\b.*?</(script|style|template)>"
-NO_TITLE = "No title"
-
-
-def decode_entities(text: Column) -> Column:
-    return reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, text)
 
 
 def find_urls(text: Column) -> Column:
@@ -53,31 +46,3 @@ def web_summary(text: Column) -> Column:
         F.when(F.size(kinds) > 0, F.concat(F.lit(". Categories: "), F.array_join(kinds, ", "))).otherwise(F.lit("")),
     )
     return F.when(is_web(text), web).otherwise(F.concat(F.lit("Non-web content with "), words, F.lit(" words")))
-
-
-def visible_html(html: Column) -> Column:
-    return F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, "")
-
-
-def page_title(html: Column) -> Column:
-    found = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    return F.when(html.rlike(r"(?i)<title[^>]*>"), decode_entities(found)).otherwise(F.lit(NO_TITLE))
-
-
-def page_text(html: Column) -> Column:
-    return decode_entities(F.regexp_replace(visible_html(html), r"(?s)<[^>]*>", ""))
-
-
-def attributes(html: Column, tag: str, name: str) -> Column:
-    """An attribute's values in all such tags, in order; in double quotes, single quotes or none."""
-    value = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
-    found = F.regexp_extract_all(visible_html(html), F.lit(rf"(?i)<{tag}\s(?:[^>]*?\s)?{name}\s*=\s*{value}"), F.lit(1))
-    return F.transform(found, lambda x: decode_entities(F.regexp_replace(x, r"""^["']|["']$""", "")))
-
-
-def page_links(html: Column) -> Column:
-    return attributes(html, "a", "href")
-
-
-def page_images(html: Column) -> Column:
-    return attributes(html, "img", "src")

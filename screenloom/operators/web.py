@@ -5,25 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from screenloom.functions import html as H
 from screenloom.functions import text as T
 from screenloom.functions import web as W
 
 MAX_TEXT, MAX_LINKS, MAX_IMAGES, MAX_URLS = 2000, 10, 5, 5
+NOT_STORED = "page not stored"
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """Title, text, links and images of each page, the last three cut to their caps."""
-    html = F.col("html")
-    return pages.select(
-        "page_id", "url", W.page_title(html).alias("title"), T.preview(W.page_text(html), MAX_TEXT, always=True).alias("text_content"),
-        F.slice(W.page_links(html), 1, MAX_LINKS).alias("links"), F.slice(W.page_images(html), 1, MAX_IMAGES).alias("images"),
-        html.isNotNull().alias("success"),
+    """Title, text, links and images of each page, the last three cut to their caps.
+
+    A page that is not stored gives a failure: only ``error`` says why, all parts are null.
+    """
+    seen, stored = pages.select("page_id", "url", H.visible(F.col("html")).alias("seen")), F.col("seen").isNotNull()
+    return seen.select(
+        "page_id", "url", F.when(stored, H.title_of(F.col("seen"))).alias("title"),
+        F.when(stored, T.preview(H.text_of(F.col("seen")), MAX_TEXT, always=True)).alias("text_content"),
+        F.slice(H.values_of(F.col("seen"), "a", "href"), 1, MAX_LINKS).alias("links"),
+        F.slice(H.values_of(F.col("seen"), "img", "src"), 1, MAX_IMAGES).alias("images"),
+        stored.alias("success"), F.when(~stored, NOT_STORED).alias("error"),
     )
 
 
 def link_rows(pages: DataFrame) -> DataFrame:
     """Every link, before the cap."""
-    return pages.select("page_id", F.posexplode(W.page_links(F.col("html"))).alias("pos", "href"))
+    return pages.select("page_id", F.posexplode(H.page_links(F.col("html"))).alias("pos", "href"))
 
 
 def url_rows(captures: DataFrame) -> DataFrame:
@@ -49,5 +56,5 @@ def category_counts(captures: DataFrame) -> DataFrame:
 def enrich_first_url(captures: DataFrame, pages: DataFrame) -> DataFrame:
     """The stored page behind a capture's first URL; captures without one stay as they are."""
     first = captures.select("capture_id", F.get(W.find_urls(F.col("text")), F.lit(0)).alias("url"))
-    known = pages.select("url", "page_id", W.page_title(F.col("html")).alias("title"))
+    known = pages.select("url", "page_id", H.page_title(F.col("html")).alias("title"))
     return first.join(known, "url", "left").select("capture_id", "url", "page_id", "title")

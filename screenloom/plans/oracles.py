@@ -5,12 +5,14 @@ from __future__ import annotations
 from functools import reduce
 
 from screenloom.functions import activity as A
+from screenloom.functions import html as H
 from screenloom.functions import text as T
 from screenloom.functions import web as W
 from screenloom.operators import answers as N
 from screenloom.operators import captures as C
 from screenloom.operators import log as L
 from screenloom.operators import text as X
+from screenloom.operators import web as B
 from screenloom.sources.tables import with_views
 
 ORACLES: dict[str, str] = {}
@@ -163,26 +165,48 @@ add("preview", "SELECT capture_id, CASE WHEN length(text) > 150 THEN concat(subs
 # --- web
 
 
-def _decode(x: str) -> str:
-    return reduce(lambda t, e: f"replace({t}, {q(e[0])}, {q(e[1])})", W.ENTITIES, x)
+#: A page without what is hidden, and without templates, which hold no template here.
+_SEEN = rf"regexp_replace(html, {q('(?is)' + H.hidden('') + '|(' + H.tag(hold='') + ')')}, concat('\1', chr(1)), 'g')"
+_BARE_TEMPLATES = rf"regexp_replace(seen, {q('(?is)<template[ />].*?</template[ />]|<template>.*?</template>')}, chr(1), 'g')"
+#: Names of characters as a table of one row, for the queries that decode.
+_NAMES = "(SELECT MAP(string_split(" + ", chr(3)), string_split(".join(q(chr(3).join(side)) for side in (H.NAMES.keys(), H.NAMES.values())) + ", chr(3))) AS names) names"
+_WESTERN = "[" + ", ".join(f"chr({ord(c)})" for c in H.WESTERN.values()) + "]"
 
 
-_SEEN = r"regexp_replace(html, '(?is)<!--.*?-->|<!doctype[^>]*>|<(script|style|template)\b.*?</(script|style|template)>', '', 'g')"
+def _number(x: str, base: int) -> str:
+    digits = rf"ltrim(regexp_extract({x}, '^&#[xX]?([0-9a-fA-F]+)', 1), '0')"
+    n = f"CAST(CASE WHEN length({digits}) > 7 THEN 1114112 WHEN {digits} = '' THEN 0 ELSE " + (f"CAST({digits} AS INT)" if base == 10 else f"CAST(concat('0x', {digits}) AS INT)") + " END AS INT)"
+    return f"""list_transform([{n}], lambda n: CASE WHEN n = 0 OR n BETWEEN 55296 AND 57343 OR n > 1114111 THEN chr(65533) WHEN n = 13 THEN chr(13)
+      WHEN n BETWEEN 128 AND 159 THEN {_WESTERN}[n - 127] WHEN n BETWEEN 1 AND 8 OR n BETWEEN 14 AND 31 OR n = 11 OR n = 127 OR n BETWEEN 64976 AND 65007 OR n & 65534 = 65534 THEN '' ELSE chr(n) END)[1]"""
+
+
+def _decode(x: str, closed_only: bool = False) -> str:
+    bare = f"regexp_extract(t, '^&({H.BARE})', 1)"
+    name = f"coalesce(names[substr(t, 2)], CASE WHEN {bare} <> '' THEN concat(names[{bare}], substr(t, length({bare}) + 2)) END, t)"
+    name = f"CASE WHEN ends_with(t, ';') THEN {name} ELSE t END" if closed_only else name
+    one = f"CASE WHEN regexp_matches(t, '^&#[xX]') THEN {_number('t', 16)} WHEN starts_with(t, '&#') THEN {_number('t', 10)} WHEN regexp_matches(t, '^&[A-Za-z]') THEN {name} ELSE t END"
+    return f"array_to_string(list_transform(regexp_extract_all({x}, {q(H.REFERENCE)}), lambda t: {one}), '')"
 
 
 def _attributes(tag: str, name: str) -> str:
-    return f"list_transform(regexp_extract_all({_SEEN}, '(?i)<{tag}\\s[^>]*?{name}=\"([^\"]*)\"', 1), lambda x: {_decode('x')})"
+    found = f"list_filter(regexp_extract_all(seen, {q('(?is)' + H.tag(hold=''))}), lambda t: regexp_matches(t, '(?i)^<{tag}[ />]'))"
+    own = f"list_transform({found}, lambda t: list_filter(regexp_extract_all(t, {q(H.ATTRIBUTE)}), lambda x: regexp_matches(x, {q(H.attribute(name))}))[-1])"
+    value = rf"""regexp_replace(x, {q(rf"""(?is)^{name}(?:\s*=\s*(?:"(.*)"|'(.*)'|(.*)))?$""")}, '\1\2\3')"""
+    return f"list_transform(list_filter({own}, lambda x: x IS NOT NULL), lambda x: {_decode(value, True)})"
 
 
-_TITLE = f"CASE WHEN regexp_matches(html, '(?i)<title[^>]*>') THEN {_decode(chr(114) + 'egexp_extract(html, ' + q('(?is)<title[^>]*>(.*?)</title>') + ', 1)')} ELSE 'No title' END"
-_PAGE = f"concat(substr({_decode(f'regexp_replace({_SEEN}, {q(chr(40) + chr(63) + chr(115) + chr(41) + chr(60) + chr(91) + chr(94) + chr(62) + chr(93) + chr(42) + chr(62))}, {q(str())}, {q(chr(103))})')}, 1, 2000), '...')"
+_PAGES = f"(SELECT page_id, url, {_SEEN} AS seen FROM web_pages), {_NAMES}"
+_BEGIN = q("(?is)" + H.tag("title", "", ""))
+_OWN = f"replace(regexp_extract(seen, {q('(?is)' + H.tag('title', '', '') + '([^<]*)</title[ />]')}, 1), chr(1), '')"
+_TITLE = f"CASE WHEN seen IS NULL THEN NULL WHEN regexp_matches(seen, {_BEGIN}) THEN CASE WHEN {_OWN} <> '' THEN {_decode(_OWN)} END ELSE 'No title' END"
+_TEXT = f"replace({_decode(f'regexp_replace({_BARE_TEMPLATES}, {q("(?is)" + H.tag(hold=""))}, chr(1), {q("g")})')}, chr(1), '')"
 add(
     "extract_page",
-    f"""SELECT page_id, url, {_TITLE} AS title, {_PAGE} AS text_content, array_to_string({_attributes('a', 'href')}[1:10], chr(10)) AS links,
-  array_to_string({_attributes('img', 'src')}[1:5], chr(10)) AS images, html IS NOT NULL AS success FROM web_pages""",
+    f"""SELECT page_id, url, {_TITLE} AS title, CASE WHEN seen IS NOT NULL THEN concat(substr({_TEXT}, 1, 2000), '...') END AS text_content, array_to_string({_attributes('a', 'href')}[1:10], chr(10)) AS links,
+  array_to_string({_attributes('img', 'src')}[1:5], chr(10)) AS images, seen IS NOT NULL AS success, CASE WHEN seen IS NULL THEN {q(B.NOT_STORED)} END AS error FROM {_PAGES}""",
     "web_pages",
 )
-add("page_links", f"SELECT page_id, CAST(unnest(range(len(l))) AS INTEGER) AS pos, unnest(l) AS href FROM (SELECT page_id, {_attributes('a', 'href')} AS l FROM web_pages)", "web_pages")
+add("page_links", f"SELECT page_id, CAST(unnest(range(len(l))) AS INTEGER) AS pos, unnest(l) AS href FROM (SELECT page_id, {_attributes('a', 'href')} AS l FROM {_PAGES})", "web_pages")
 add("find_urls", f"SELECT capture_id, CAST(unnest(range(len(u))) AS INTEGER) AS pos, unnest(u) AS url FROM (SELECT capture_id, {URLS} AS u FROM captures)", "captures")
 _WEB = has("text", W.WEB_SIGNS)
 add("is_web_content", f"SELECT capture_id, {_WEB} AS is_web, CASE WHEN {_WEB} THEN 'web_browser' ELSE 'unknown' END AS content_type FROM captures", "captures")
@@ -200,7 +224,7 @@ FROM (SELECT capture_id, {words('text')} AS w, {URLS} AS u, {KINDS} AS k, {_WEB}
 )
 add(
     "first_url_page",
-    f"SELECT c.capture_id, c.url, p.page_id, p.title FROM (SELECT capture_id, ({URLS})[1] AS url FROM captures) c LEFT JOIN (SELECT url, page_id, {_TITLE} AS title FROM web_pages) p ON p.url = c.url",
+    f"SELECT c.capture_id, c.url, p.page_id, p.title FROM (SELECT capture_id, ({URLS})[1] AS url FROM captures) c LEFT JOIN (SELECT url, page_id, {_TITLE} AS title FROM {_PAGES}) p ON p.url = c.url",
     "captures", "web_pages",
 )
 

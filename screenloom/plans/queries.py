@@ -141,7 +141,7 @@ def preview(rows):
 
 @over("web_pages")
 def extract_page(pages):
-    return web.extract_pages(pages).select("page_id", "url", "title", "text_content", joined("links", "\n"), joined("images", "\n"), "success")
+    return web.extract_pages(pages).select("page_id", "url", "title", "text_content", joined("links", "\n"), joined("images", "\n"), "success", "error")
 
 
 @over("web_pages")

@@ -64,8 +64,12 @@ SELECT c.capture_id AS input_id, c.user_id, CAST(1 + c.capture_id % 3 AS INT) AS
   CASE WHEN c.capture_id % 5 = 0 THEN NULL ELSE c.process_name END AS context_process
 FROM $captures c""",
     "web_pages": """
-SELECT page_id, url, CASE WHEN page_id % 3 = 0
+SELECT page_id, url, CASE WHEN page_id % 23 = 22 THEN NULL WHEN page_id % 3 = 0
   THEN replace(html, '</article>', concat(repeat('<a href="/more?a=1&amp;b=2">m</a>', 12), repeat('<img src="/i.png">', 7), '</article>'))
+  WHEN page_id % 5 = 1
+  THEN concat('<!-- <a href="/c">c</a> --><a title="x > y" href=', chr(39), '/one', chr(39), '>a</a><a title="b href=/no c" href="/two">b</a><A HREF=/three>c</A>',
+    '<a data-href="/d" title="<!-- ">d</a><template>t<a href="/in?x=1&copy=2&lt;">t</a></template><script>if (a < b) "</style><a href=no>"</script>',
+    '&#39;&nbsp;&eacute;&apos;&#x41;&notit;&#150;&#0;&unknown;&amp;lt; 1 < 2 &', html)
   ELSE html END AS html
 FROM $pages""",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from screenloom.functions import activity as A
 from screenloom.functions import text as T
+from screenloom.functions import html as H
 from screenloom.functions import web as W
 from screenloom.operators import answers, captures, history, joins
 
@@ -58,9 +59,9 @@ def test_urls_keep_what_follows_them(spark):
 
 def test_pages(spark):
     html = "<!DOCTYPE html><html><head><script>var t='<a href=\"/no\">'</script></head><body><!-- <a href=\"/no\"> --><a class=x href=\"/a?b=1&amp;c\">A &lt;b&gt;</a></body></html>"
-    assert one(spark, html, W.page_links) == ["/a?b=1&c"]
-    assert one(spark, html, W.page_text) == "A <b>"
-    assert one(spark, html, W.page_title) == "No title"
+    assert one(spark, html, H.page_links) == ["/a?b=1&c"]
+    assert one(spark, html, H.page_text) == "A <b>"
+    assert one(spark, html, H.page_title) == "No title"
 
 
 @pytest.mark.parametrize(
@@ -191,5 +192,5 @@ def test_attribute_values_in_any_quotes_and_null_texts(spark):
 
     html = """<a href="a?x=1&amp;y=2">1</a><A class=b HREF = 'c'>2</A><a href=d>3</a><a data-href="no" href="e">4</a><img alt='' src='f.png'/><!--<a href="g">-->"""
     row = spark.createDataFrame([(html, None)], "html string, text string")
-    got = row.select(W.page_links(F.col("html")).alias("l"), W.page_images(F.col("html")).alias("i"), W.is_web(F.col("text")).alias("w"), T.prompt_kind(F.col("text")).alias("k")).first()
+    got = row.select(H.page_links(F.col("html")).alias("l"), H.page_images(F.col("html")).alias("i"), W.is_web(F.col("text")).alias("w"), T.prompt_kind(F.col("text")).alias("k")).first()
     assert (got.l, got.i, got.w, got.k) == (["a?x=1&y=2", "c", "d", "e"], ["f.png"], False, "summary")
