@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from screenloom.functions.text import contains_any, word_count
+from screenloom.functions.text import any_bit, contains_any, let, needle_bits, word_count
 
 # Process names of a family, in the order they are tried.
 FAMILIES = (
@@ -80,31 +80,50 @@ def user_activity(actions: Column) -> Column:
     return F.when(F.size(actions) <= 0, "unknown").otherwise(first_match(F.array_join(actions, " "), ACTIVITIES, "general_use"))
 
 
+# What an application's name, a browser's text and any other text say, in the order they are tried.
+APP_RULES = (
+    (("chrome", "firefox", "edge"), "Web Browser", None),
+    (("code", "visual", "studio"), "Development Environment", "Programming"),
+    (("word", "notepad"), "Document Editor", "Document Editing"),
+    (("excel", "calc"), "Spreadsheet", "Data Analysis"),
+    (("outlook", "mail"), "Email Client", "Email Management"),
+)
+BROWSING_RULES = (
+    (("search", "google", "results"), "Web Search"),
+    (("email", "gmail", "inbox"), "Email"),
+    (("youtube", "video", "play"), "Video Streaming"),
+)
+TEXT_RULES = (
+    (("http", "www"), "Web Content", "General"),
+    (("function", "class", "import", "def", "var", "const"), "Source Code", "Programming"),
+    (("document", "paragraph", "chapter", "section"), "Document", "Reading/Writing"),
+)
+APP_NEEDLES = tuple(n for needles, *_ in APP_RULES for n in needles)
+TEXT_NEEDLES = tuple(n for needles, *_ in BROWSING_RULES + TEXT_RULES for n in needles)
+
+
 def detect_activity(process: Column, text: Column) -> Column:
-    """Struct of content_type and activity_type: the application decides, else the text."""
-    app = lambda *needles: contains_any(process, needles)
-    says = lambda *needles: contains_any(text, needles)
-    pair = lambda content, activity: F.struct(
-        F.lit(content).alias("content_type"), (F.lit(activity) if isinstance(activity, str) else activity).alias("activity_type")
-    )
-    browsing = (
-        F.when(says("search", "google", "results"), "Web Search").when(says("email", "gmail", "inbox"), "Email")
-        .when(says("youtube", "video", "play"), "Video Streaming").otherwise("Web Browsing")
-    )
-    by_text = (
-        F.when(says("http", "www"), pair("Web Content", "General"))
-        .when(says("function", "class", "import", "def", "var", "const"), pair("Source Code", "Programming"))
-        .when(says("document", "paragraph", "chapter", "section"), pair("Document", "Reading/Writing"))
-        .otherwise(pair("Unknown", "General"))
-    )
-    return (
-        F.when(app("chrome", "firefox", "edge"), pair("Web Browser", browsing))
-        .when(app("code", "visual", "studio"), pair("Development Environment", "Programming"))
-        .when(app("word", "notepad"), pair("Document Editor", "Document Editing"))
-        .when(app("excel", "calc"), pair("Spreadsheet", "Data Analysis"))
-        .when(app("outlook", "mail"), pair("Email Client", "Email Management"))
-        .otherwise(by_text)
+    """Struct of content_type and activity_type: the application decides, else the text, which is read once."""
+
+    def pair(content: str, activity: str | Column) -> Column:
+        return F.struct(F.lit(content).alias("content_type"), (F.lit(activity) if isinstance(activity, str) else activity).alias("activity_type"))
+
+    def decide(both: Column) -> Column:
+        app = lambda needles: any_bit(both["app"], APP_NEEDLES, needles)
+        says = lambda needles: any_bit(both["text"], TEXT_NEEDLES, needles)
+        browsing, out = F.lit("Web Browsing"), pair("Unknown", "General")
+        for needles, activity in reversed(BROWSING_RULES):
+            browsing = F.when(says(needles), activity).otherwise(browsing)
+        for needles, content, activity in reversed(TEXT_RULES):
+            out = F.when(says(needles), pair(content, activity)).otherwise(out)
+        for needles, content, activity in reversed(APP_RULES):
+            out = F.when(app(needles), pair(content, browsing if activity is None else activity)).otherwise(out)
+        return out
+
+    read = F.struct(
+        needle_bits(F.coalesce(process, F.lit("")), APP_NEEDLES).alias("app"), needle_bits(F.coalesce(text, F.lit("")), TEXT_NEEDLES).alias("text")
     )
+    return let(read, decide)
 
 
 def productivity_score(activity: Column) -> Column:

@@ -28,6 +28,9 @@ NOISE = (
     r"Share\s*$",
     r"Follow\s*$",
 )
+#: In every line that NOISE changes, but for lines of digits alone, one of these stands: in the line as it is, or in lower case.
+#: None has an i, s or k, the only letters that other characters match when case is ignored.
+SIGNS, LOW_SIGNS = ("://", "©", "["), ("www.", "page ", "earch", "menu", "home", "lepath:", " c:\\", " here", "hare", "follow")
 # Words and phrases that make a text a question.
 ASKING = ("what", "who", "when", "where", "why", "how")
 REQUESTS = ("explain", "tell me", "describe", "define", "summarize")
@@ -35,23 +38,57 @@ QUESTION = r"(?iU)\b(who|what|when|where|why|how)\b|[?]"
 NOTHING_LEFT = "No meaningful text found."
 
 
+def let(value: Column, body) -> Column:
+    """``body(v)`` with ``value`` evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def needle_bits(text: Column, needles: tuple[str, ...]) -> Column:
+    """A number with a bit for each needle (63 at most) that the lower-case text has in it, inside words too."""
+    return let(F.lower(text), lambda low: reduce(lambda a, b: a.bitwiseOR(b), [F.when(low.contains(n), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, n in enumerate(needles)]))
+
+
+def any_bit(bits: Column, needles: tuple[str, ...], wanted: tuple[str, ...]) -> Column:
+    """Whether one of the wanted needles is in a text, from its bits."""
+    return bits.bitwiseAND(F.lit(sum(1 << needles.index(n) for n in wanted)).cast("long")) != 0
+
+
 def contains_any(text: Column, needles: tuple[str, ...]) -> Column:
     """Whether the lower-case text has any of the strings in it, inside words too."""
     low = F.lower(text)
     return reduce(lambda a, b: a | b, [low.contains(n) for n in needles])
 
 
+#: All characters that are white space in Unicode.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space at both ends; only the ends are read."""
+    return F.btrim(text, F.lit(SPACES))
+
+
+def clean_line(line: Column) -> Column:
+    """A line without noise; the patterns run only on a line with one of their signs."""
+
+    def without_noise(x: Column) -> Column:
+        return reduce(lambda t, p: F.regexp_replace(t, f"(?dmiuU){p}", ""), NOISE, x)
+
+    raw = reduce(lambda a, b: a | b, [line.contains(n) for n in SIGNS])
+    noisy = raw | let(F.lower(line), lambda low: reduce(lambda a, b: a | b, [low.contains(n) for n in LOW_SIGNS]))
+    return strip(F.when(noisy, without_noise(line)).otherwise(line))
 
 
 def clean_text(text: Column) -> Column:
-    """Noise deleted, short and wordless lines dropped, one line, spaces set around .,!?"""
-    out = reduce(lambda t, p: F.regexp_replace(t, f"(?dmiuU){p}", ""), NOISE, F.coalesce(text, F.lit("")))
-    lines = F.transform(F.split(out, "\n"), strip)
+    """Noise deleted, short and wordless lines dropped, one line, spaces set around .,!?
+
+    No pattern of noise takes anything but blank lines from two lines at once, so lines are
+    cleaned one by one; a line of digits alone goes with the wordless ones.
+    """
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), clean_line)
     lines = F.filter(lines, lambda x: (F.length(x) > 5) & x.rlike("[a-zA-Z]{3}"))
     out = F.array_join(lines, " ")
-    out = F.regexp_replace(out, r"(?U)\s+([.,!?])", "$1")
+    out = F.regexp_replace(out, r"(?U)\s++([.,!?])", "$1")
     return strip(F.regexp_replace(out, r"(?U)([.,!?])(?=\S)", "$1 "))
 
 
@@ -69,7 +106,7 @@ def sentences(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda w: w != "")).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"(?U)\S+")), F.lit(0)).cast("long")
 
 
 def has_question(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenloom.functions import html as H
@@ -11,6 +11,8 @@ from screenloom.functions import web as W
 
 MAX_TEXT, MAX_LINKS, MAX_IMAGES, MAX_URLS = 2000, 10, 5, 5
 NOT_STORED = "page not stored"
+# Fixed value: the note on a capture that failed.
+NO_CONTENT = "No content to analyze"
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -37,14 +39,24 @@ def url_rows(captures: DataFrame) -> DataFrame:
     return captures.select("capture_id", F.posexplode(W.find_urls(F.col("text"))).alias("pos", "url"))
 
 
-def analyze_web(captures: DataFrame) -> DataFrame:
-    text = F.col("text")
-    urls, words, web = W.find_urls(text), T.word_count(text), W.is_web(text)
-    return captures.select(
-        "capture_id", words.alias("word_count"), F.when(web, "web_browser").otherwise("unknown").alias("content_type"),
-        (F.size(urls) > 0).alias("has_urls"), F.size(urls).cast("long").alias("url_count"), F.slice(urls, 1, MAX_URLS).alias("urls"),
-        web.alias("is_web_content"), W.categories(text).alias("categories"),
-        F.round(W.confidence(words, urls, web), 6).alias("confidence"), W.web_summary(text).alias("summary"),
+def analyze_web(captures: DataFrame, success: Column | None = None) -> DataFrame:
+    """The analysis of captured web content; of a capture that failed only a note and no confidence.
+
+    A text is read once for all needles, once for addresses and once for words; what follows from
+    these is computed from columns. Without ``success`` a capture failed if it has no text.
+    """
+    read = captures.select(
+        "capture_id", (F.col("text").isNotNull() if success is None else success).alias("success"), T.word_count(F.col("text")).alias("words"),
+        F.coalesce(W.find_urls(F.col("text")), F.array().cast("array<string>")).alias("found"), W.bits_of(F.col("text")).alias("bits"),
+    )
+    read = read.select("*", W.web_by(F.col("bits")).alias("web"), W.categories_by(F.col("bits")).alias("kinds"))
+    ok, urls, words, web = F.col("success"), F.col("found"), F.col("words"), F.col("web")
+    return read.select(
+        "capture_id", "success", F.when(~ok, NO_CONTENT).alias("analysis"), F.when(ok, words).alias("word_count"),
+        F.when(ok, F.when(web, "web_browser").otherwise("unknown")).alias("content_type"), F.when(ok, F.size(urls) > 0).alias("has_urls"),
+        F.when(ok, F.size(urls)).cast("long").alias("url_count"), F.when(ok, F.slice(urls, 1, MAX_URLS)).alias("urls"), F.when(ok, web).alias("is_web_content"),
+        F.when(ok, F.col("kinds")).alias("categories"), F.when(ok, F.round(W.confidence(words, urls, web), 6)).otherwise(F.lit(0.0)).alias("confidence"),
+        F.when(ok, W.web_summary(words, urls, F.col("kinds"), web)).alias("summary"),
     )
 
 

@@ -214,12 +214,14 @@ add("content_categories", f"SELECT capture_id, CAST(unnest(range(len(k))) AS INT
 add("category_counts", f"SELECT category, count(*) AS n FROM (SELECT unnest({KINDS}) AS category FROM captures) GROUP BY category", "captures")
 add(
     "analyze_web",
-    f"""SELECT capture_id, w AS word_count, CASE WHEN web THEN 'web_browser' ELSE 'unknown' END AS content_type, len(u) > 0 AS has_urls,
-  CAST(len(u) AS BIGINT) AS url_count, array_to_string(u[1:5], '|') AS urls, web AS is_web_content, array_to_string(k, '|') AS categories,
-  round(least(1.0::DOUBLE, 0.2::DOUBLE + CASE WHEN w > 0 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN len(u) > 0 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN web THEN 0.3::DOUBLE ELSE 0 END), 6) AS confidence,
-  CASE WHEN web THEN concat('Web content detected with ', CAST(w AS VARCHAR), ' words', CASE WHEN len(u) > 0 THEN concat(' and ', CAST(len(u) AS VARCHAR), ' URLs') ELSE '' END,
-    CASE WHEN len(k) > 0 THEN concat('. Categories: ', array_to_string(k, ', ')) ELSE '' END) ELSE concat('Non-web content with ', CAST(w AS VARCHAR), ' words') END AS summary
-FROM (SELECT capture_id, {words('text')} AS w, {URLS} AS u, {KINDS} AS k, {_WEB} AS web FROM captures)""",
+    f"""SELECT capture_id, ok AS success, CASE WHEN NOT ok THEN {q(B.NO_CONTENT)} END AS analysis, CASE WHEN ok THEN w END AS word_count,
+  CASE WHEN ok THEN CASE WHEN web THEN 'web_browser' ELSE 'unknown' END END AS content_type, CASE WHEN ok THEN len(u) > 0 END AS has_urls,
+  CASE WHEN ok THEN CAST(len(u) AS BIGINT) END AS url_count, CASE WHEN ok THEN array_to_string(u[1:5], '|') END AS urls, CASE WHEN ok THEN web END AS is_web_content,
+  CASE WHEN ok THEN array_to_string(k, '|') END AS categories,
+  CASE WHEN ok THEN round(least(1.0::DOUBLE, 0.2::DOUBLE + CASE WHEN w > 0 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN len(u) > 0 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN web THEN 0.3::DOUBLE ELSE 0 END), 6) ELSE 0.0::DOUBLE END AS confidence,
+  CASE WHEN ok THEN CASE WHEN web THEN concat('Web content detected with ', CAST(w AS VARCHAR), ' words', CASE WHEN len(u) > 0 THEN concat(' and ', CAST(len(u) AS VARCHAR), ' URLs') ELSE '' END,
+    CASE WHEN len(k) > 0 THEN concat('. Categories: ', array_to_string(k, ', ')) ELSE '' END) ELSE concat('Non-web content with ', CAST(w AS VARCHAR), ' words') END END AS summary
+FROM (SELECT capture_id, capture_id % 13 <> 5 AS ok, {words('text')} AS w, {URLS} AS u, {KINDS} AS k, {_WEB} AS web FROM captures)""",
     "captures",
 )
 add(
