@@ -133,10 +133,14 @@ def title_of(seen: Column) -> Column:
     return F.when(seen.rlike(f"(?is){begin}"), F.when(own != "", decoded(own))).otherwise(F.lit(NO_TITLE))
 
 
-def values_of(seen: Column, name: str, attr: str) -> Column:
+def tags_of(seen: Column) -> Column:
+    """The tags that may hold a link or an image."""
+    return F.filter(F.regexp_extract_all(seen, F.lit(f"(?is){tag()}"), F.lit(0)), lambda t: t.rlike(r"(?i)^<(?:a|img)[\s/]"))
+
+
+def values_of(tags: Column, name: str, attr: str) -> Column:
     """An attribute's values in all tags of a name, in order; of an attribute given twice the last."""
-    tags = F.filter(F.regexp_extract_all(seen, F.lit(f"(?is){tag()}"), F.lit(0)), lambda t: t.rlike(rf"(?i)^<{name}[\s/]"))
-    own = F.transform(tags, lambda t: F.get(F.reverse(F.filter(F.regexp_extract_all(t, F.lit(ATTRIBUTE), F.lit(0)), lambda x: x.rlike(attribute(attr)))), F.lit(0)))
+    own = F.transform(F.filter(tags, lambda t: t.rlike(rf"(?i)^<{name}[\s/]")), lambda t: F.get(F.reverse(F.filter(F.regexp_extract_all(t, F.lit(ATTRIBUTE), F.lit(0)), lambda x: x.rlike(attribute(attr)))), F.lit(0)))
     value = lambda x: F.regexp_replace(x, rf"""(?is)^{attr}(?:\s*=\s*(?:"(.*)"|'(.*)'|(.*)))?$""", "$1$2$3")
     return F.transform(F.array_compact(own), lambda x: decoded(value(x), closed_only))
 
@@ -150,8 +154,8 @@ def page_text(html: Column) -> Column:
 
 
 def page_links(html: Column) -> Column:
-    return values_of(visible(html), "a", "href")
+    return values_of(tags_of(visible(html)), "a", "href")
 
 
 def page_images(html: Column) -> Column:
-    return values_of(visible(html), "img", "src")
+    return values_of(tags_of(visible(html)), "img", "src")

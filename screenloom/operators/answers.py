@@ -138,15 +138,36 @@ IMAGE_DEFAULTS = {
 }
 
 
+# The record of an answer that is no JSON, and of a call that failed.
+UNREAD = {"action_suggestions": ["Review the analysis provided"], "confidence": 0.7}
+FAILED = {"summary": "Error in analysis", "detailed_analysis": "An error occurred: ", "action_suggestions": ["Try again or check system logs"], "confidence": 0.0}
+
+
 def is_json(body: Column) -> Column:
     return F.try_parse_json(body).isNotNull()
 
 
+def failed(answers: DataFrame) -> Column:
+    """Whether the call gave no answer: it left an error, or no text."""
+    return F.col("error").isNotNull() | F.col("body").isNull() if "error" in answers.columns else F.col("body").isNull()
+
+
+def reason(answers: DataFrame) -> Column:
+    return F.coalesce("error", F.lit("no answer")) if "error" in answers.columns else F.lit("no answer")
+
+
 def analysis_record(answers: DataFrame, defaults: dict, raw_field: str | None = None) -> DataFrame:
-    """The fields of a JSON record; the defaults (and the raw text in one field) where it is none."""
+    """The fields of a JSON record; the defaults (and the raw text in one field) where it is none.
+
+    A call that failed leaves nothing but ``error``; ``valid`` is false then too.
+    """
     kinds = {k: ST.ArrayType(ST.StringType()) if isinstance(v, list) else ST.StringType() for k, v in defaults.items()}
     schema = ST.StructType([ST.StructField(k, t) for k, t in kinds.items()])
-    parsed = answers.select("response_id", "body", F.from_json("body", schema).alias("r"), is_json(F.col("body")).alias("valid"))
+    none = failed(answers)
+    parsed = answers.select(
+        "response_id", "body", F.when(none, reason(answers)).alias("error"), F.from_json("body", schema).alias("r"),
+        (~none & F.coalesce(is_json(F.col("body")), F.lit(False))).alias("valid"),
+    )
 
     def default(name: str) -> Column:
         if name == raw_field:
@@ -154,7 +175,8 @@ def analysis_record(answers: DataFrame, defaults: dict, raw_field: str | None =
         value = defaults[name]
         return F.array(*map(F.lit, value)).cast(kinds[name]) if isinstance(value, list) else F.lit(value)
 
-    return parsed.select("response_id", "valid", *[F.when(F.col("valid"), F.col(f"r.{k}")).otherwise(default(k)).alias(k) for k in defaults])
+    field = lambda k: F.when(F.col("valid"), F.col(f"r.{k}")).when(F.col("error").isNull(), default(k)).alias(k)
+    return parsed.select("response_id", "valid", "error", *[field(k) for k in defaults])
 
 
 def text_analysis(answers: DataFrame) -> DataFrame:
@@ -166,18 +188,20 @@ def image_analysis(answers: DataFrame) -> DataFrame:
 
 
 def model_answers(answers: DataFrame) -> DataFrame:
-    """The final record of an answer: gaps filled, or the raw text where it is no JSON."""
+    """The final record of an answer: gaps filled, the raw text where it is no JSON, the failure where there is none."""
     parsed = answers.withColumn("r", F.from_json("body", ANSWER)).withColumn("valid", is_json(F.col("body")))
-    none = F.array().cast("array<string>")
-    pick = lambda found, raw: F.when(F.col("valid"), found).otherwise(raw)
+    none, lost, why = F.array().cast("array<string>"), failed(answers), reason(answers)
+    pick = lambda found, raw, gone: F.when(lost, gone).when(F.col("valid"), found).otherwise(raw)
+    told = lambda record: F.array(*map(F.lit, record["action_suggestions"]))
+    empty = F.create_map().cast("map<string,string>")
     return parsed.select(
         "response_id", "conv_id", "turn", "ts_s",
-        pick(F.coalesce("r.summary", F.lit("")), F.substring("body", 1, 200)).alias("summary"),
-        pick(F.coalesce("r.detailed_analysis", F.lit("")), F.col("body")).alias("detailed_analysis"),
-        pick(F.coalesce("r.action_suggestions", none), F.array(F.lit("Review the analysis provided"))).alias("action_suggestions"),
-        pick(F.coalesce("r.confidence_score", F.lit(0.5)), F.lit(0.7)).alias("confidence"),
-        pick(F.coalesce("r.context_used", F.create_map().cast("map<string,string>")), F.create_map().cast("map<string,string>")).alias("context_used"),
-        pick(F.coalesce("r.follow_up_questions", none), none).alias("follow_up_questions"),
+        pick(F.coalesce("r.summary", F.lit("")), F.substring("body", 1, 200), F.lit(FAILED["summary"])).alias("summary"),
+        pick(F.coalesce("r.detailed_analysis", F.lit("")), F.col("body"), F.concat(F.lit(FAILED["detailed_analysis"]), why)).alias("detailed_analysis"),
+        pick(F.coalesce("r.action_suggestions", none), told(UNREAD), told(FAILED)).alias("action_suggestions"),
+        pick(F.coalesce("r.confidence_score", F.lit(0.5)), F.lit(UNREAD["confidence"]), F.lit(FAILED["confidence"])).alias("confidence"),
+        pick(F.coalesce("r.context_used", empty), empty, empty).alias("context_used"),
+        pick(F.coalesce("r.follow_up_questions", none), none, none).alias("follow_up_questions"),
     )
 
 

@@ -41,8 +41,13 @@ def asof_context(questions: DataFrame, captures: DataFrame, n: int = 1000, span:
     return met.select("question_id", "user_id", "ts_s", "context", with_text.alias("prompt"))
 
 
-def combine_modalities(inputs: DataFrame) -> DataFrame:
-    """One record an input (a repeated row is an input of its own), with an analysis for each part it has, in order of priority."""
+def combine_modalities(inputs: DataFrame, text_analyses: DataFrame | None = None, image_analyses: DataFrame | None = None, contexts: DataFrame | None = None) -> DataFrame:
+    """One record an input (a repeated row is an input of its own), with an analysis for each part it has, in order of priority.
+
+    The analyses are tables with a row for each input_id and any other columns; they come as structs
+    ``text_analysis``, ``image_analysis`` and ``context_analysis``, null where the input has no such
+    part or the table no such row. ``analyses`` counts those found.
+    """
     given = lambda c: F.coalesce(c, F.lit("")) != ""
     met = inputs.select(
         "input_id", "user_id", "priority", F.when(given("text"), word_count(F.col("text"))).alias("text_words"),
@@ -50,9 +55,18 @@ def combine_modalities(inputs: DataFrame) -> DataFrame:
         F.when(given("context_process"), A.app_category(F.col("context_process"))).alias("app_type"),
     )
     met = numbered(met, "user_id", ["priority", "input_id"], "place")
+    parts = (("text_analysis", text_analyses, "text_words"), ("image_analysis", image_analyses, "scene_chars"), ("context_analysis", contexts, "app_type"))
+    for name, table, part in parts:
+        if table is None:
+            met = met.withColumn(name, F.lit(None).cast("struct<none: string>"))
+            continue
+        own = table.select(F.col("input_id").alias("_id"), F.struct(*[c for c in table.columns if c != "input_id"]).alias("_found"))
+        met = met.join(own, F.col("input_id") == F.col("_id"), "left").withColumn(name, F.when(F.col(part).isNotNull(), F.col("_found"))).drop("_id", "_found")
+    count = sum((F.col(name).isNotNull().cast("int") for name, _, _ in parts), F.lit(0))
     return met.select(
         "input_id", "user_id", "priority", "text_words", "scene_chars", "app_type", F.col("text_words").isNotNull().alias("has_text"),
         F.col("scene_chars").isNotNull().alias("has_image"), F.col("app_type").isNotNull().alias("has_context"), (F.col("place") + 1).alias("place"),
+        *[name for name, _, _ in parts], count.alias("analyses"),
     )
 
 

@@ -63,14 +63,14 @@ def without_noise(text: Column) -> Column:
 
 def prompts(captures: DataFrame) -> DataFrame:
     """The batch of prompts for a model: the template by kind, then the text."""
-    text = without_noise(F.col("text"))
+    text = without_noise(F.coalesce("text", F.lit("")))
     kind = T.prompt_kind(text)
     template = F.when(kind == "question", QUESTION_PROMPT).otherwise(SUMMARY_PROMPT)
     return captures.select("capture_id", kind.alias("kind"), F.concat(template, text).alias("prompt"))
 
 
 def activity_prompts(captures: DataFrame) -> DataFrame:
-    text = F.col("text")
+    text = F.coalesce("text", F.lit(""))
     activity = detect_activity(F.col("process_name"), text)["activity_type"]
     out = F.concat(F.lit(OTHER_INSIGHT[0]), F.substring(text, 1, OTHER_INSIGHT[1]))
     for names, lead, n in reversed(INSIGHT):

@@ -21,11 +21,12 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     A page that is not stored gives a failure: only ``error`` says why, all parts are null.
     """
     seen, stored = pages.select("page_id", "url", H.visible(F.col("html")).alias("seen")), F.col("seen").isNotNull()
+    seen = seen.select("*", H.tags_of(F.col("seen")).alias("tags"))
     return seen.select(
         "page_id", "url", F.when(stored, H.title_of(F.col("seen"))).alias("title"),
         F.when(stored, T.preview(H.text_of(F.col("seen")), MAX_TEXT, always=True)).alias("text_content"),
-        F.slice(H.values_of(F.col("seen"), "a", "href"), 1, MAX_LINKS).alias("links"),
-        F.slice(H.values_of(F.col("seen"), "img", "src"), 1, MAX_IMAGES).alias("images"),
+        F.slice(H.values_of(F.col("tags"), "a", "href"), 1, MAX_LINKS).alias("links"),
+        F.slice(H.values_of(F.col("tags"), "img", "src"), 1, MAX_IMAGES).alias("images"),
         stored.alias("success"), F.when(~stored, NOT_STORED).alias("error"),
     )
 

@@ -347,14 +347,6 @@ add(
   SELECT user_id, ts_s, arg_max(substr(text, 1, 1000), capture_id) AS seen FROM captures GROUP BY user_id, ts_s) c ON q.user_id = c.user_id AND q.ts_s >= c.ts_s""",
     "questions", "captures",
 )
-add(
-    "combine_modalities",
-    f"""SELECT *, text_words IS NOT NULL AS has_text, scene_chars IS NOT NULL AS has_image, app_type IS NOT NULL AS has_context,
-  row_number() OVER (PARTITION BY user_id ORDER BY priority, input_id) AS place FROM (
-  SELECT input_id, user_id, priority, CASE WHEN text <> '' THEN {words('text')} END AS text_words, CAST(length(scene_description) AS BIGINT) AS scene_chars,
-    CASE WHEN coalesce(context_process, '') <> '' THEN {pick('context_process', A.CATEGORIES, 'unknown')} END AS app_type FROM modal_inputs)""",
-    "modal_inputs",
-)
 add(
     "content_alignment",
     r"""WITH topics AS (SELECT user_id, unnest(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')[1:3]) AS topic FROM modal_inputs),
@@ -364,13 +356,10 @@ SELECT u.user_id, coalesce(topics, 0) AS topics, round(CASE WHEN coalesce(topics
 FROM (SELECT DISTINCT user_id FROM modal_inputs) u LEFT JOIN found USING (user_id)""",
     "modal_inputs",
 )
-add(
-    "context_insights",
-    f"""SELECT capture_id, {_CATEGORY} AS app_type, {_INTENSITY} AS usage_intensity, array_to_string({_CAPABLE}, '|') AS capabilities,
+_CONTEXTS = f"""SELECT capture_id, {_CATEGORY} AS app_type, {_INTENSITY} AS usage_intensity, array_to_string({_CAPABLE}, '|') AS capabilities,
   CASE WHEN t IS NOT NULL THEN {_USER} END AS behaviour FROM captures LEFT JOIN (
-  SELECT application, string_agg(description, ' ' ORDER BY rn) AS t FROM {_RANKED % 'application'} WHERE rn <= 10 GROUP BY application) ON process_name = application""",
-    "captures", "actions",
-)
+  SELECT application, string_agg(description, ' ' ORDER BY rn) AS t FROM {_RANKED % 'application'} WHERE rn <= 10 GROUP BY application) ON process_name = application"""
+add("context_insights", _CONTEXTS, "captures", "actions")
 
 # --- histories
 add("last_n", f"SELECT user_id, id FROM {_RANKED % 'user_id'} WHERE rn <= 50", "actions")
@@ -450,38 +439,39 @@ add(
     "responses",
 )
 _FIELD = "json_extract_string(body, '$.%s')"
-_VALID = "json_valid(body)"
-add(
-    "text_analysis_json",
-    f"""SELECT response_id, {_VALID} AS valid, CASE WHEN {_VALID} THEN NULL ELSE 'general' END AS main_topics, CASE WHEN {_VALID} THEN NULL ELSE 'neutral' END AS sentiment,
-  CASE WHEN {_VALID} THEN NULL ELSE 'information seeking' END AS intent, CASE WHEN {_VALID} THEN NULL ELSE 'unknown' END AS technical_content,
-  CASE WHEN {_VALID} THEN NULL ELSE 'medium' END AS urgency_level, CASE WHEN {_VALID} THEN NULL ELSE '' END AS entities FROM model_json""",
-    "model_json",
-)
-add(
-    "image_analysis_json",
-    f"""SELECT response_id, {_VALID} AS valid, CASE WHEN NOT {_VALID} THEN body END AS scene_description, CASE WHEN NOT {_VALID} THEN '' END AS text_detected,
-  CASE WHEN NOT {_VALID} THEN 'unknown' END AS application_type, CASE WHEN NOT {_VALID} THEN 'general computer use' END AS visual_context, CASE WHEN NOT {_VALID} THEN '' END AS ui_elements FROM model_json""",
-    "model_json",
-)
+_VALID = "coalesce(json_valid(body), false)"
+_LOST = "(error IS NOT NULL OR body IS NULL)"
+_WHY = f"CASE WHEN {_LOST} THEN coalesce(error, 'no answer') END"
+
+
+def _default(value: str) -> str:
+    return f"CASE WHEN NOT {_VALID} AND NOT {_LOST} THEN {value} END"
+
+
+_TEXT_ANALYSIS = f"""SELECT response_id, {_VALID} AS valid, {_WHY} AS error, {_default("'general'")} AS main_topics, {_default("'neutral'")} AS sentiment,
+  {_default("'information seeking'")} AS intent, {_default("'unknown'")} AS technical_content, {_default("'medium'")} AS urgency_level, {_default("''")} AS entities FROM """
+_IMAGE_ANALYSIS = f"""SELECT response_id, {_VALID} AS valid, {_WHY} AS error, {_default('body')} AS scene_description, {_default("''")} AS text_detected,
+  {_default("'unknown'")} AS application_type, {_default("'general computer use'")} AS visual_context, {_default("''")} AS ui_elements FROM """
+add("text_analysis_json", _TEXT_ANALYSIS + "model_json", "model_json")
+add("image_analysis_json", _IMAGE_ANALYSIS + "model_json", "model_json")
 
 
 def _field(name: str) -> str:
     return f"CASE WHEN {_VALID} THEN {_FIELD % name} END"
 
 
-_CONFIDENCE = f"CASE WHEN {_VALID} THEN coalesce(CAST({_field('confidence_score')} AS DOUBLE), 0.5) ELSE 0.7 END"
-_SUMMARY = f"CASE WHEN {_VALID} THEN coalesce({_field('summary')}, '') ELSE substr(body, 1, 200) END"
+_CONFIDENCE = f"CASE WHEN {_LOST} THEN 0.0::DOUBLE WHEN {_VALID} THEN coalesce(CAST({_field('confidence_score')} AS DOUBLE), 0.5) ELSE 0.7 END"
+_SUMMARY = f"CASE WHEN {_LOST} THEN {q(N.FAILED['summary'])} WHEN {_VALID} THEN coalesce({_field('summary')}, '') ELSE substr(body, 1, 200) END"
 
 
-def _list(name: str, otherwise: str) -> str:
-    return f"CASE WHEN {_VALID} THEN coalesce(array_to_string(CASE WHEN {_VALID} THEN json_extract_string(body, '$.{name}[*]') END, '|'), '') ELSE {otherwise} END"
+def _list(name: str, otherwise: str, lost: str = "''") -> str:
+    return f"CASE WHEN {_LOST} THEN {lost} WHEN {_VALID} THEN coalesce(array_to_string(CASE WHEN {_VALID} THEN json_extract_string(body, '$.{name}[*]') END, '|'), '') ELSE {otherwise} END"
 
 
 add(
     "model_answer",
-    f"""SELECT response_id, {_SUMMARY} AS summary, CASE WHEN {_VALID} THEN coalesce({_field('detailed_analysis')}, '') ELSE body END AS detailed_analysis,
-  {_list('action_suggestions', "'Review the analysis provided'")} AS action_suggestions, round({_CONFIDENCE}, 6) AS confidence, {_field('context_used.k')} AS context_k,
+    f"""SELECT response_id, {_SUMMARY} AS summary, CASE WHEN {_LOST} THEN concat({q(N.FAILED['detailed_analysis'])}, coalesce(error, 'no answer')) WHEN {_VALID} THEN coalesce({_field('detailed_analysis')}, '') ELSE body END AS detailed_analysis,
+  {_list('action_suggestions', q(N.UNREAD['action_suggestions'][0]), q(N.FAILED['action_suggestions'][0]))} AS action_suggestions, round({_CONFIDENCE}, 6) AS confidence, {_field('context_used.k')} AS context_k,
   {_list('follow_up_questions', "''")} AS follow_up_questions FROM model_json""",
     "model_json",
 )
@@ -493,6 +483,23 @@ add(
     "model_json",
 )
 
+# --- modalities, with the analyses above
+add(
+    "combine_modalities",
+    f"""SELECT m.input_id, user_id, priority, text_words, scene_chars, m.app_type, text_words IS NOT NULL AS has_text, scene_chars IS NOT NULL AS has_image, m.app_type IS NOT NULL AS has_context,
+  row_number() OVER (PARTITION BY user_id ORDER BY priority, m.input_id) AS place,
+  CAST(CASE WHEN text_words IS NOT NULL AND t.response_id IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN scene_chars IS NOT NULL AND i.response_id IS NOT NULL THEN 1 ELSE 0 END
+    + CASE WHEN m.app_type IS NOT NULL AND c.capture_id IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS analyses,
+  CASE WHEN text_words IS NOT NULL THEN main_topics END AS main_topics, CASE WHEN text_words IS NOT NULL THEN sentiment END AS sentiment, CASE WHEN text_words IS NOT NULL THEN t.error END AS text_error,
+  CASE WHEN scene_chars IS NOT NULL THEN i.scene_description END AS scene_seen, CASE WHEN scene_chars IS NOT NULL THEN visual_context END AS visual_context,
+  CASE WHEN m.app_type IS NOT NULL THEN usage_intensity END AS usage_intensity, CASE WHEN m.app_type IS NOT NULL THEN behaviour END AS behaviour
+FROM (SELECT input_id, user_id, priority, CASE WHEN text <> '' THEN {words('text')} END AS text_words, CAST(length(scene_description) AS BIGINT) AS scene_chars,
+    CASE WHEN coalesce(context_process, '') <> '' THEN {pick('context_process', A.CATEGORIES, 'unknown')} END AS app_type FROM modal_inputs) m
+LEFT JOIN ({_TEXT_ANALYSIS} modal_answers) t ON t.response_id = m.input_id LEFT JOIN ({_IMAGE_ANALYSIS} modal_answers) i ON i.response_id = m.input_id
+LEFT JOIN ({_CONTEXTS}) c ON c.capture_id = m.input_id""",
+    "modal_inputs", "modal_answers", "captures", "actions",
+)
+
 # --- streaming
 add("interval_counts", "SELECT ts_s - ts_s % 15 AS start_s, count(*) AS n FROM actions GROUP BY 1", "actions")
 add("live_activity", "SELECT ts_s - ts_s % 86400 AS start_s, action_type, count(*) AS n FROM actions GROUP BY 1, 2", "actions")

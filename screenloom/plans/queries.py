@@ -341,9 +341,16 @@ def question_context(questions, rows):
     return joins.asof_context(questions, rows).select("question_id", "user_id", "ts_s", "context")
 
 
-@over("modal_inputs")
-def combine_modalities(inputs):
-    return joins.combine_modalities(inputs)
+@over("modal_inputs", "modal_answers", "captures", "actions")
+def combine_modalities(inputs, found, rows, actions):
+    by_input = lambda analyses: analyses.withColumnRenamed("response_id", "input_id")
+    contexts = joins.context_insights(rows, actions).withColumnRenamed("capture_id", "input_id")
+    out = joins.combine_modalities(inputs, by_input(answers.text_analysis(found)), by_input(answers.image_analysis(found)), contexts)
+    return out.select(
+        *[c for c in out.columns if not c.endswith("_analysis")], F.array_join("text_analysis.main_topics", "|").alias("main_topics"), F.col("text_analysis.sentiment"),
+        F.col("text_analysis.error").alias("text_error"), F.col("image_analysis.scene_description").alias("scene_seen"), "image_analysis.visual_context",
+        "context_analysis.application.usage_intensity", "context_analysis.behaviour",
+    )
 
 
 @over("modal_inputs")
@@ -426,12 +433,12 @@ def bold_spans(rows):
 @over("model_json")
 def text_analysis_json(rows):
     out = answers.text_analysis(rows)
-    return out.select("response_id", "valid", joined("main_topics"), "sentiment", "intent", "technical_content", "urgency_level", joined("entities"))
+    return out.select("response_id", "valid", "error", joined("main_topics"), "sentiment", "intent", "technical_content", "urgency_level", joined("entities"))
 
 
 @over("model_json")
 def image_analysis_json(rows):
-    return answers.image_analysis(rows).select("response_id", "valid", "scene_description", "text_detected", "application_type", "visual_context", joined("ui_elements"))
+    return answers.image_analysis(rows).select("response_id", "valid", "error", "scene_description", "text_detected", "application_type", "visual_context", joined("ui_elements"))
 
 
 @over("model_json")

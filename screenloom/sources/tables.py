@@ -53,10 +53,13 @@ SELECT conv_id * 100 + turn AS response_id, conv_id, turn,
 FROM $conversations WHERE role = 'assistant'""",
     "model_json": """
 SELECT conv_id * 100 + turn AS response_id, conv_id, turn, 1704067200 + conv_id * 60 + turn AS ts_s,
-  CASE WHEN (conv_id + turn) % 5 = 0 THEN concat('not json: ', text)
+  CASE WHEN (conv_id + turn) % 11 = 0 THEN concat('timeout after ', CAST(turn AS STRING), ' s') END AS error,
+  CASE WHEN (conv_id + turn) % 11 = 0 THEN NULL WHEN (conv_id + turn) % 5 = 0 THEN concat('not json: ', text)
     WHEN (conv_id + turn) % 7 = 0 THEN '{"summary":"s only"}'
     ELSE concat('{"summary":"sum ', CAST(conv_id AS STRING), '","detailed_analysis":"d","action_suggestions":["a","b"],"confidence_score":0.', CAST(turn + 1 AS STRING), ',"context_used":{"k":"v"},"follow_up_questions":["q"]}') END AS body
 FROM $conversations WHERE role = 'assistant'""",
+    "modal_answers": """
+SELECT conv_id AS input_id, conv_id AS response_id, body, error FROM $model_json WHERE response_id % 100 = 1""",
     "modal_inputs": """
 SELECT c.capture_id AS input_id, c.user_id, CAST(1 + c.capture_id % 3 AS INT) AS priority,
   CASE WHEN c.capture_id % 4 = 0 THEN '' ELSE c.text END AS text,
