@@ -210,8 +210,11 @@ def confidence_percent(confidence: Column) -> Column:
 
 
 def history_entries(answers: DataFrame, keep: int = 50) -> DataFrame:
-    """conv_id, ts_s, inputs, response_summary, confidence of the last entries of each conversation."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("conv_id"))
-    rows = model_answers(answers).withColumn("inputs", n)
-    kept = last_n(rows, "conv_id", keep, ("ts_s", "response_id"))
+    """conv_id, ts_s, inputs, response_summary, confidence of the last entries of each conversation.
+
+    Only a conversation's newest rows are sorted together; its size is combined before it is shuffled.
+    """
+    sizes = answers.groupBy(F.col("conv_id").alias("_conv")).agg(F.count(F.lit(1)).alias("inputs"))
+    kept = last_n(model_answers(answers), "conv_id", keep, ("ts_s", "response_id"))
+    kept = kept.join(sizes, F.col("conv_id").eqNullSafe(F.col("_conv")))
     return kept.select("conv_id", "response_id", "ts_s", "inputs", F.col("summary").alias("response_summary"), "confidence")

@@ -395,6 +395,7 @@ add(
 FROM responses WINDOW w AS (PARTITION BY conv_id ORDER BY turn, response_id)""",
     "responses",
 )
+add("answer_at", "SELECT conv_id, response_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, response_id) AS k FROM responses) WHERE k = 2", "responses")
 
 # --- answers
 _ROWS = f"""lines AS (SELECT response_id, k AS line_no, {strip('l')} AS line FROM (
@@ -503,4 +504,5 @@ LEFT JOIN ({_CONTEXTS}) c ON c.capture_id = m.input_id""",
 # --- streaming
 add("interval_counts", "SELECT ts_s - ts_s % 15 AS start_s, count(*) AS n FROM actions GROUP BY 1", "actions")
 add("live_activity", "SELECT ts_s - ts_s % 86400 AS start_s, action_type, count(*) AS n FROM actions GROUP BY 1, 2", "actions")
+ORACLES["stream_live_activity"] = ORACLES["live_activity"]
 add("stream_source", "SELECT capture_id, ts_s FROM captures", "captures")

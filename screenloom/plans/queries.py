@@ -13,7 +13,8 @@ from screenloom.functions import web as W
 from screenloom.operators import answers, captures, history, joins, log, text, web
 from screenloom.plans.streams import run_to_table
 from screenloom.sources import sinks
-from screenloom.sources.tables import view
+from screenloom.sources.shared import fresh_dir
+from screenloom.sources.tables import read_log, view
 from screenloom.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -397,6 +398,11 @@ def response_nav(rows):
     return history.nav(rows, "conv_id", "response_text", ("turn", "response_id"))
 
 
+@over("responses")
+def answer_at(rows):
+    return history.answer_at(rows, "conv_id", ("turn", "response_id"), 2).select("conv_id", "response_id", "turn")
+
+
 # --- answers
 
 
@@ -468,12 +474,12 @@ def live_activity(actions):
     return jobs.live_activity(actions.withColumn("at", F.timestamp_seconds("ts_s")), "action_type")
 
 
-def stream(view_name: str, *tables: str, mode: str = "append"):
+def stream(view_name: str, *tables: str, mode: str = "append", keys: list[str] | None = None):
     """Registers a streaming job under its own name: its tables stream in, its rows go to a table."""
 
     def register(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return run_to_table(f(view(spark, sf_dir, view_name, streamed=tables)), f.__name__, mode)
+            return run_to_table(f(view(spark, sf_dir, view_name, streamed=tables)), f.__name__, mode, keys)
 
         QUERIES[f.__name__] = run
         return f
@@ -481,6 +487,10 @@ def stream(view_name: str, *tables: str, mode: str = "append"):
     return register
 
 
+#: The tables' files hold their rows in any order, over a month.
+LATE = "60 days"
+
+
 @stream("captures", "documents")
 def stream_source(rows):
     return rows.select("capture_id", "ts_s")
@@ -488,32 +498,39 @@ def stream_source(rows):
 
 @stream("captures", "documents")
 def stream_merge_lines(rows):
-    return jobs.merge_lines(rows, late="60 days")
+    return jobs.merge_lines(rows, late=LATE)
 
 
-@stream("actions", "events")
-def stream_log_sink(actions):
-    return sinks.action_rows(actions)
+@stream("actions", "events", mode="update", keys=["start_s", "action_type"])
+def stream_live_activity(actions):
+    return jobs.live_activity(jobs.in_time(actions, LATE, None), "action_type")
 
 
-@stream("actions", "events", mode="update")
+@stream("actions", "events", mode="update", keys=["user_id"])
 def stream_bounded_history(actions):
-    return jobs.bounded_history(actions)
+    return jobs.bounded_history(actions, LATE)
 
 
-@stream("questions", "events", mode="update")
-def stream_cooldown(questions):
-    return jobs.cooldown(questions, COOLDOWN)
+def stream_log_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    actions = view(spark, sf_dir, "actions", streamed=("events",))
+    path = fresh_dir(spark, "log")
+    jobs.log_sink(sinks.action_rows(actions), path, fresh_dir(spark, "log-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return read_log(spark, path)
 
 
-def stream_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from screenloom.sources.shared import fresh_dir
+def stream_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ending = jobs.Ending(spark)
+    questions = view(spark, sf_dir, "questions", streamed=("events",))
+    return run_to_table(jobs.cooldown(questions, COOLDOWN, LATE, ending), "stream_cooldown", ending=ending)
 
-    # the frames view joins a table with itself, so its rows arrive as files of their own
-    path = fresh_dir(spark, "frames")
-    frames = view(spark, sf_dir, "frames").select(F.col("seq_id").cast("long"), "position", F.col("vec").cast("array<double>").alias("vec"))
+
+def stream_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the frames view joins a table with itself, so its rows arrive as files of their own; a frame is taken every second
+    path, ending = fresh_dir(spark, "frames"), jobs.Ending(spark)
+    frames = view(spark, sf_dir, "frames").select(F.col("seq_id").cast("long"), "position", F.col("vec").cast("array<double>").alias("vec"), (F.lit(1704067200) + F.col("seq_id") + F.col("position")).cast("long").alias("ts_s"))
     frames.write.parquet(path)
-    return run_to_table(jobs.change(jobs.capture_stream(spark, path, frames.schema)), "stream_change", "update")
+    found = jobs.change(jobs.capture_stream(spark, path, frames.schema), LATE, ending)
+    return run_to_table(found, "stream_change", ending=ending)
 
 
-QUERIES["stream_change"] = stream_change
+QUERIES |= {f.__name__: f for f in (stream_log_sink, stream_cooldown, stream_change)}

@@ -9,6 +9,7 @@ import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 VIEWS = {
     "captures": """
@@ -84,11 +85,23 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def stream_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """A stored table as a stream of its files."""
+#: What a micro-batch reads at most, or one file.
+BATCH_BYTES = 256 << 20
+
+
+def stream_table(spark: SparkSession, directory: str, name: str, most: int = BATCH_BYTES) -> DataFrame:
+    """A stored table as a stream of its files, ``most`` bytes a micro-batch."""
     schema = spark.read.parquet(f"{directory}/{name}.parquet").schema
     # as a pattern, a single file is taken as well as a folder
-    return spark.readStream.schema(schema).parquet(f"{directory}/{name}.parque[t]")
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", most).parquet(f"{directory}/{name}.parque[t]")
+
+
+def read_log(spark: SparkSession, path: str, since: float | None = None, until: float | None = None) -> DataFrame:
+    """Rows of a log with a folder a day, of the time from ``since`` to before ``until``; other days are not read."""
+    rows = spark.read.parquet(path)
+    for bound, day, time in ((since, F.col("day") >= F.to_date(F.timestamp_seconds(F.lit(since))), F.col("timestamp") >= since), (until, F.col("day") <= F.to_date(F.timestamp_seconds(F.lit(until))), F.col("timestamp") < until)):
+        rows = rows if bound is None else rows.filter(day & time)
+    return rows.drop("day")
 
 
 def view(spark: SparkSession, directory: str, name: str, streamed: tuple[str, ...] = ()) -> DataFrame:

@@ -1,11 +1,15 @@
 """Structured Streaming forms of the capture and history jobs.
 
-Every function takes a streaming DataFrame and returns one; the caller starts it. State is
-bounded by watermarks, by fixed list sizes or by timers.
+Every function takes a streaming DataFrame and returns one; the caller starts it, inside
+``state_store`` if it keeps state of its own. State is bounded by watermarks: rows that wait for
+their turn leave when the watermark passes them, and a key that can no longer matter is forgotten
+by a timer. Rows later than the watermark take no part, nor do rows without a time or of before 1970,
+where watermarks begin.
 """
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,9 +19,44 @@ from pyspark.sql import types as ST
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from screenloom.functions.text import strip
+from screenloom.sources.shared import fresh_dir
 
 INTERVAL = "15 seconds"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: No row is as late as this; an end mark is.
+END = "9000-01-01 00:00:00"
+
+
+@contextlib.contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Within, streams that start keep their state in the store that custom state needs."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, STATE_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+class Ending:
+    """A folder for the mark that a stream ends: with it the watermark passes all rows.
+
+    Rows wait for a watermark that only later rows move, so the last ones of a stream that ends
+    would wait for good.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.schema = spark, fresh_dir(spark, "ending"), None
+
+    def joined_to(self, rows: DataFrame) -> DataFrame:
+        self.schema = ST.StructType([ST.StructField(f.name, f.dataType) for f in rows.schema])
+        self.spark.createDataFrame([], self.schema).write.parquet(self.path)
+        return rows.union(self.spark.readStream.schema(self.schema).parquet(self.path))
+
+    def mark(self) -> None:
+        row = self.spark.range(1).select(*[(F.lit(END) if f.name == "at" else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema])
+        row.write.mode("append").parquet(self.path)
 
 
 def capture_stream(spark: SparkSession, path: str, schema: ST.StructType, files: int | None = None) -> DataFrame:
@@ -26,6 +65,13 @@ def capture_stream(spark: SparkSession, path: str, schema: ST.StructType, files:
     return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
+def in_time(rows: DataFrame, late: str, ending: Ending | None) -> DataFrame:
+    """Rows with their time as watermark, and with the ending's mark, which moves it and goes no further."""
+    timed = rows.withColumn("at", F.timestamp_seconds("ts_s")).filter("at IS NOT NULL")
+    timed = ending.joined_to(timed) if ending else timed
+    return timed.withWatermark("at", late).filter(F.col("at") < F.lit(END).cast("timestamp"))
+
+
 def event_time(rows: DataFrame, column: str = "ts", late: str = "1 hour") -> DataFrame:
     return rows.withColumn("at", F.col(column).cast("timestamp")).withWatermark("at", late)
 
@@ -51,120 +97,214 @@ def merge_lines(captures: DataFrame, key: str = "source", late: str = "1 day") -
 
 
 def log_sink(rows: DataFrame, path: str, checkpoint: str):
-    """Append every micro-batch to the log, each file once."""
-    return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    """Append every micro-batch to the log, a folder a day, each row once whatever restarts."""
+    dated = rows.withColumn("day", F.to_date(F.timestamp_seconds("timestamp")))
+    writer = dated.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    return writer.partitionBy("day").outputMode("append")
 
 
-class _Change(StatefulProcessor):
-    """Similarity of each frame to the one before, across batches."""
+def _state(*fields: tuple[str, ST.DataType]) -> ST.StructType:
+    return ST.StructType([ST.StructField(name, kind) for name, kind in fields])
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", ST.StructType([ST.StructField("vec", ST.ArrayType(ST.DoubleType()))]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        import numpy as np
+class _Timed(StatefulProcessor):
+    """A key with one timer, moved to the earliest time that is asked for."""
 
-        frames = pd.concat(list(rows)).sort_values("position")
-        before = self.last.get()
-        before = None if before is None else np.array(before[0])
-        out = []
-        for position, vec in zip(frames["position"], frames["vec"], strict=True):
-            vec, r = np.array(vec, float), 0.0
-            if before is not None and len(before) == len(vec):
-                a, b = vec - vec.mean(), before - before.mean()
-                d = np.sqrt((a @ a) * (b @ b))
-                r = float(a @ b / d) if d > 0 else 0.0
-            out.append((key[0], int(position), round(r, 6), bool(r > 0.95 and before is not None)))
-            before = vec
-        self.last.update((before.tolist(),))
-        yield pd.DataFrame(out, columns=["seq_id", "position", "similarity", "stop"])
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.timer = handle.getValueState("timer", _state(("ms", ST.LongType())))
+
+    def wake(self, ms: int, anew: bool = False) -> None:
+        """Wake at ``ms`` at the latest; ``anew`` after a timer has gone off, or to put it off."""
+        set_for = self.timer.get()
+        if set_for is not None and (anew or ms < set_for[0]):
+            self.handle.deleteTimer(set_for[0])
+            set_for = None
+        if set_for is None:
+            self.handle.registerTimer(ms)
+            self.timer.update((ms,))
 
     def close(self) -> None:
         pass
 
 
-class _Bounded(StatefulProcessor):
-    """A list that is cut to its last 15 whenever it outgrows 20; emits it after each batch."""
+class _Change(_Timed):
+    """Similarity of each frame to the one before, across batches.
 
-    most, keep = 20, 15
+    Frames count from 0. One that comes before its turn waits by its position; when the watermark
+    has passed what waits, the frames that are missing are given up.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rows = handle.getListState("rows", ST.StructType([ST.StructField("id", ST.LongType()), ST.StructField("ts_s", ST.LongType())]))
+        super().init(handle)
+        vec = ("vec", ST.ArrayType(ST.DoubleType()))
+        self.last = handle.getValueState("last", _state(("position", ST.LongType()), vec))
+        self.early = handle.getMapState("early", _state(("position", ST.LongType())), _state(vec))
+
+    def judged(self, key, position: int, vec, before) -> tuple:
+        import numpy as np
+
+        r = 0.0
+        if before is not None and len(before) == len(vec):
+            a, b = vec - vec.mean(), before - before.mean()
+            d = np.sqrt((a @ a) * (b @ b))
+            r = float(a @ b / d) if d > 0 else 0.0
+        return key[0], int(position), round(r, 6), bool(r > 0.95 and before is not None)
+
+    def frame(self, out: list) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["seq_id", "position", "similarity", "stop"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [(int(r[0]), int(r[1])) for r in self.rows.get()] if self.rows.exists() else []
-        # only the number of the new rows and the newest ``most`` of them decide what is left
-        size, new = len(held), None
+        import numpy as np
+
+        held, latest = self.last.get(), 0
+        done, before = (-1, None) if held is None else (held[0], np.array(held[1], float))
         for part in rows:
-            size += len(part)
-            newest = part[["ts_s", "id"]] if new is None else pd.concat([new, part[["ts_s", "id"]]])
-            new = newest.sort_values(["ts_s", "id"]).tail(self.most)
-        if size > self.most:
-            size = self.keep + (size - self.most - 1) % (self.most + 1 - self.keep)
-        held = [*held, *((int(i), int(ts)) for i, ts in zip(new["id"], new["ts_s"], strict=True))][-size:]
-        self.rows.put(held)
-        yield pd.DataFrame({"user_id": [key[0]], "size": [len(held)], "first_id": [held[0][0]], "last_id": [held[-1][0]]})
+            out, part = [], part.sort_values("position")
+            latest = max(latest, int(part["ts_s"].max()) * 1000)
+            for position, vec in zip(part["position"], part["vec"], strict=True):
+                if position > done + 1:
+                    self.early.updateValue((int(position),), ([float(x) for x in vec],))
+                elif position == done + 1:
+                    vec = np.array(vec, float)
+                    out.append(self.judged(key, position, vec, before))
+                    done, before = int(position), vec
+                    while self.early.containsKey((done + 1,)):
+                        vec = np.array(self.early.getValue((done + 1,))[0], float)
+                        self.early.removeKey((done + 1,))
+                        done += 1
+                        out.append(self.judged(key, done, vec, before))
+                        before = vec
+            yield self.frame(out)
+        if before is not None:
+            self.last.update((done, before.tolist()))
+        # put off while frames come
+        set_for = self.timer.get()
+        self.wake(max(latest, set_for[0] if set_for else 0), anew=True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        import numpy as np
 
-    def close(self) -> None:
-        pass
+        held, out = self.last.get(), []
+        before = None if held is None else np.array(held[1], float)
+        for (position,), (vec,) in sorted(self.early.iterator(), key=lambda x: x[0][0]) if self.early.exists() else ():
+            vec = np.array(vec, float)
+            out.append(self.judged(key, position, vec, before))
+            before = vec
+        for state in (self.last, self.early, self.timer):
+            state.clear()
+        yield self.frame(out)
+
+
+class _Bounded(_Timed):
+    """A list that is cut to its last 15 whenever it outgrows 20; emits it after each batch.
+
+    How long the list is follows from the number of rows, and what is in it from their order, so
+    a count and the newest 20 are all that is held, and rows may come in any order.
+    """
+
+    most, keep = 20, 15
 
+    def __init__(self, idle: int):
+        self.idle = idle
 
-class _Cooldown(StatefulProcessor):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.rows = handle.getListState("rows", _state(("ts_s", ST.LongType()), ("id", ST.LongType())))
+        self.count = handle.getValueState("count", _state(("n", ST.LongType())))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest = [tuple(map(int, r)) for r in self.rows.get()] if self.rows.exists() else []
+        count = self.count.get()
+        n = count[0] if count is not None else 0
+        for part in rows:
+            n += len(part)
+            part = part[["ts_s", "id"]].sort_values(["ts_s", "id"]).tail(self.most)
+            newest = sorted([*newest, *((int(ts), int(i)) for ts, i in zip(part["ts_s"], part["id"], strict=True))])[-self.most :]
+        size = n if n <= self.most else self.keep + (n - self.most - 1) % (self.most + 1 - self.keep)
+        self.rows.put(newest)
+        self.count.update((n,))
+        self.wake((newest[-1][0] + self.idle) * 1000, anew=True)
+        held = newest[-size:]
+        yield pd.DataFrame({"user_id": [key[0]], "size": [len(held)], "first_id": [held[0][1]], "last_id": [held[-1][1]]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for state in (self.rows, self.count, self.timer):
+            state.clear()
+        yield pd.DataFrame(columns=["user_id", "size", "first_id", "last_id"])
+
+
+class _Cooldown(_Timed):
     """Accepts a question only some seconds after the last accepted one.
 
-    A batch's rows must come in order of time; they stream by, and one time is held.
+    Questions wait until the watermark has passed them and are then judged in order of time, so it
+    does not matter in which order, or in which batch, they came. Of a question three numbers wait.
     """
 
     def __init__(self, seconds: float):
         self.seconds = seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", ST.StructType([ST.StructField("ts_s", ST.LongType())]))
+        super().init(handle)
+        self.last = handle.getValueState("last", _state(("ts_s", ST.LongType())))
+        self.waiting = handle.getListState("waiting", _state(("ts_s", ST.LongType()), ("question_id", ST.LongType()), ("empty", ST.BooleanType())))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, before = self.last.get(), None
-        last = None if last is None else int(last[0])
         for part in rows:
-            out = []
-            for q, ts, text in zip(part["question_id"], part["ts_s"], part["question"], strict=True):
-                if before is not None and (ts, q) < before:
-                    raise ValueError(f"questions of user {key[0]} are not in order: {(ts, q)} after {before}")
-                before = (ts, q)
-                wait, empty = last is not None and ts - last < self.seconds, not (text or "").strip()
-                out.append((int(q), key[0], int(ts), "wait" if wait else "ignored" if empty else "accepted", int(self.seconds - (ts - last)) if wait else 0))
-                if not wait and not empty:
-                    last = int(ts)
-            yield pd.DataFrame(out, columns=["question_id", "user_id", "ts_s", "status", "remaining"])
-        if last is not None:
+            self.waiting.appendList([(int(t), int(q), bool(e)) for t, q, e in zip(part["ts_s"], part["question_id"], part["empty"], strict=True)])
+            self.wake(int(part["ts_s"].min()) * 1000)
+        yield self.frame([])
+
+    def frame(self, out: list) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["question_id", "user_id", "ts_s", "status", "remaining"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+        due = [r for r in waiting if r[0] * 1000 <= passed]
+        last, out = self.last.get(), []
+        last = None if last is None else int(last[0])
+        for ts, question, empty in due:
+            wait = last is not None and ts - last < self.seconds
+            out.append((question, key[0], ts, "wait" if wait else "ignored" if empty else "accepted", int(self.seconds - (ts - last)) if wait else 0))
+            last = ts if not wait and not empty else last
+        left = waiting[len(due) :]
+        over = None if last is None else int((last + self.seconds) * 1000)
+        # the last accepted time matters until the pause is over
+        if last is None or (not left and over <= passed):
+            self.last.clear()
+        else:
             self.last.update((last,))
-
-    def close(self) -> None:
-        pass
+        if left:
+            self.waiting.put(left)
+        else:
+            self.waiting.clear()
+        self.timer.clear()
+        if left:
+            self.wake(left[0][0] * 1000)
+        elif over is not None and over > passed:
+            self.wake(over)
+        yield self.frame(out)
 
 
-def _stateful(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
-    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    return rows.groupBy(key).transformWithStateInPandas(processor, schema, "Update", "None")
+def _stateful(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str) -> DataFrame:
+    return rows.groupBy(key).transformWithStateInPandas(processor, schema, mode, "EventTime")
 
 
-def change(frames: DataFrame) -> DataFrame:
-    return _stateful(frames, "seq_id", _Change(), "seq_id long, position int, similarity double, stop boolean")
+def change(frames: DataFrame, late: str = "1 hour", ending: Ending | None = None) -> DataFrame:
+    """Of frames (seq_id, position, vec, ts_s): each one's similarity to the frame before."""
+    rows = in_time(frames.select("seq_id", "position", "vec", "ts_s"), late, ending)
+    return _stateful(rows, "seq_id", _Change(), "seq_id long, position int, similarity double, stop boolean", "Append")
 
 
-def bounded_history(actions: DataFrame) -> DataFrame:
-    return _stateful(actions.select("user_id", "id", "ts_s"), "user_id", _Bounded(), "user_id long, size long, first_id long, last_id long")
+def bounded_history(actions: DataFrame, late: str = "1 hour", idle: int = 90 * 86400, ending: Ending | None = None) -> DataFrame:
+    """A user's list after each batch; a user without actions for ``idle`` seconds is forgotten."""
+    rows = in_time(actions.select("user_id", "id", "ts_s"), late, ending)
+    return _stateful(rows, "user_id", _Bounded(idle), "user_id long, size long, first_id long, last_id long", "Update")
 
 
-def cooldown(questions: DataFrame, seconds: float) -> DataFrame:
-    """Each micro-batch is sorted by Spark, which spills, before the state's worker walks it.
-
-    Spark's check refuses every sort of a stream, as a stream has no whole order. This one is
-    inside partitions of one batch, for which a sort is a sort of any rows; so the check is off,
-    and the processor makes sure of the order that it needs.
-    """
-    rows = questions.select("user_id", "question_id", "ts_s", "question")
-    rows.sparkSession.conf.set("spark.sql.streaming.unsupportedOperationCheck", "false")
-    return _stateful(
-        rows.repartition("user_id").sortWithinPartitions("user_id", "ts_s", "question_id"), "user_id", _Cooldown(seconds),
-        "question_id long, user_id long, ts_s long, status string, remaining long",
-    )
+def cooldown(questions: DataFrame, seconds: float, late: str = "1 hour", ending: Ending | None = None) -> DataFrame:
+    """Every question with its status, once the watermark has passed it."""
+    empty = F.trim(F.coalesce("question", F.lit(""))) == ""
+    rows = in_time(questions.select("user_id", "question_id", "ts_s", empty.alias("empty")), late, ending)
+    return _stateful(rows, "user_id", _Cooldown(seconds), "question_id long, user_id long, ts_s long, status string, remaining long", "Append")

@@ -1,16 +1,18 @@
 """Streams against their batch forms, with one and with many files a batch."""
 
+import os
 import weakref
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from screenloom.llm.common import arrow_rows
-from screenloom.operators import history
+from screenloom.operators import captures, history
 from screenloom.plans.streams import run_to_table
+from screenloom.sources import sinks
 from screenloom.sources.shared import fresh_dir
-from screenloom.sources.tables import view
+from screenloom.sources.tables import read_log, view
 from screenloom.streaming import jobs
 
 
@@ -24,23 +26,105 @@ def arrive(df, name, parts, *order):
     return path
 
 
-@pytest.mark.parametrize("parts", [1, 3])
-def test_cooldown_across_batches(spark, sf, parts):
+def shuffled(df, name, parts, *order, backwards=False):
+    """The rows as files in an order of their own; backwards, the last in time come first."""
+    path = fresh_dir(df.sparkSession, name)
+    rows = df.orderBy(*order).collect()
+    step = -(-len(rows) // parts)
+    files = [rows[k * step : (k + 1) * step] for k in range(parts)]
+    for part in reversed(files) if backwards else files:
+        df.sparkSession.createDataFrame(part[::-1] if backwards else part, df.schema).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def same_rows(got, want):
+    assert sorted(map(tuple, got.select(want.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+@pytest.mark.parametrize(("parts", "backwards"), [(1, False), (3, False), (3, True)])
+def test_cooldown_across_batches(spark, sf, parts, backwards):
+    """In any order of files and rows, the stream answers as the batch does; then it holds nothing."""
     questions = view(spark, sf, "questions").filter("user_id < 40")
-    path = arrive(questions, "q", parts, "ts_s", "question_id")
-    got = run_to_table(jobs.cooldown(jobs.capture_stream(spark, path, questions.schema, 1), 86400), "cooldown", "update")
-    want = history.cooldown(questions, 86400)
-    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    path, ending, seen = shuffled(questions, "q", parts, "ts_s", "question_id", backwards=backwards), jobs.Ending(spark), []
+    stream = jobs.cooldown(jobs.capture_stream(spark, path, questions.schema, 1), 86400, "60 days", ending)
+    same_rows(run_to_table(stream, "cooldown", ending=ending, progress=seen), history.cooldown(questions, 86400))
+    assert seen[-1].stateOperators[0].numRowsTotal == 0
 
 
-@pytest.mark.parametrize("parts", [1, 3])
-def test_bounded_history_across_batches(spark, sf, parts):
+def test_cooldown_judges_as_the_watermark_passes(spark, sf):
+    """With files in order a short wait does, and rows leave the state while the stream goes on."""
+    questions = view(spark, sf, "questions").filter("user_id < 40")
+    path, ending, seen = shuffled(questions, "q", 4, "ts_s", "question_id"), jobs.Ending(spark), []
+    stream = jobs.cooldown(jobs.capture_stream(spark, path, questions.schema, 1), 86400, "1 second", ending)
+    same_rows(run_to_table(stream, "cooldown", ending=ending, progress=seen), history.cooldown(questions, 86400))
+    assert max(p.stateOperators[0].numRowsTotal for p in seen) < questions.count()
+
+
+@pytest.mark.parametrize(("parts", "backwards"), [(1, False), (3, False), (3, True)])
+def test_bounded_history_across_batches(spark, sf, parts, backwards):
     actions = view(spark, sf, "actions").filter("user_id < 6").select("user_id", "id", "ts_s")
-    path = arrive(actions, "a", parts, "ts_s", "id")
-    got = run_to_table(jobs.bounded_history(jobs.capture_stream(spark, path, actions.schema, 1)), "bounded", "update")
-    last = {r.user_id: r.size for r in got.groupBy("user_id").agg(F.max_by("size", "last_id").alias("size")).collect()}
-    kept = {r.user_id: r.n for r in history.bounded(actions, "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).collect()}
-    assert last == kept
+    path, ending, seen = shuffled(actions, "a", parts, "ts_s", "id", backwards=backwards), jobs.Ending(spark), []
+    stream = jobs.bounded_history(jobs.capture_stream(spark, path, actions.schema, 1), "60 days", ending=ending)
+    got = run_to_table(stream, "bounded", "update", ["user_id"], ending, progress=seen)
+    kept = history.bounded(actions, "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("size"), F.min_by("id", F.struct("ts_s", "id")).alias("first_id"), F.max_by("id", F.struct("ts_s", "id")).alias("last_id"))
+    same_rows(got, kept)
+    assert seen[-1].stateOperators[0].numRowsTotal == 0
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_change_takes_frames_in_any_order(spark, sf, parts):
+    frames = view(spark, sf, "frames").select(F.col("seq_id").cast("long"), "position", F.col("vec").cast("array<double>").alias("vec"), (F.col("seq_id") + F.col("position") + 1000).cast("long").alias("ts_s"))
+    # one sequence lacks a frame
+    frames = frames.filter("NOT (seq_id = 16 AND position = 5)")
+    want = captures.similarity_to_previous(frames).select(F.col("seq_id").cast("long").alias("seq_id"), "position", F.round("similarity", 6).alias("similarity"))
+    path, ending, seen = shuffled(frames.withColumn("h", F.xxhash64("seq_id", "position")), "f", parts, "h"), jobs.Ending(spark), []
+    stream = jobs.change(jobs.capture_stream(spark, path, StructType([*frames.schema, StructField("h", LongType())]), 1), "1 day", ending)
+    got = run_to_table(stream, "change", ending=ending, progress=seen)
+    same_rows(got.select("seq_id", "position", "similarity"), want)
+    assert seen[-1].stateOperators[0].numRowsTotal == 0
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_live_activity_replaces_what_a_batch_updates(spark, sf, parts):
+    events = view(spark, sf, "actions")
+    path, out, checkpoint = shuffled(events, "v", parts, "ts_s"), fresh_dir(spark, "live"), fresh_dir(spark, "live-checkpoint")
+    stream = jobs.live_activity(jobs.in_time(jobs.capture_stream(spark, path, events.schema, 1), "60 days", None), "action_type")
+    got = run_to_table(stream, "live", "update", ["start_s", "action_type"], out=out, checkpoint=checkpoint)
+    want = jobs.live_activity(events.withColumn("at", F.timestamp_seconds("ts_s")), "action_type")
+    same_rows(got, want)
+    # the last batch again, as after a failure between its writing and its commit
+    last = max(int(p.removesuffix(".crc").lstrip(".")) for p in os.listdir(f"{checkpoint.removeprefix('file://')}/commits"))
+    for name in (str(last), f".{last}.crc"):
+        os.remove(f"{checkpoint.removeprefix('file://')}/commits/{name}")
+    same_rows(run_to_table(stream, "live", "update", ["start_s", "action_type"], out=out, checkpoint=checkpoint), want)
+
+
+def test_the_log_goes_on_where_it_stopped_and_reads_by_day(spark, sf):
+    actions = view(spark, sf, "actions").withColumn("id", F.col("id").cast("long"))
+    rows = actions.orderBy("ts_s").collect()
+    source, log, checkpoint = fresh_dir(spark, "s"), fresh_dir(spark, "log"), fresh_dir(spark, "log-checkpoint")
+    for k in range(3):
+        # each time the stream starts anew, from its checkpoint
+        spark.createDataFrame(rows[k::3], actions.schema).coalesce(1).write.mode("append").parquet(source)
+        stream = sinks.action_rows(jobs.capture_stream(spark, source, actions.schema, 1))
+        jobs.log_sink(stream, log, checkpoint).trigger(availableNow=True).start().awaitTermination()
+    same_rows(read_log(spark, log), sinks.action_rows(actions))
+    since, until = 1704067200 + 3 * 86400 + 100, 1704067200 + 5 * 86400
+    some = read_log(spark, log, since, until)
+    same_rows(some, sinks.action_rows(actions).filter((F.col("timestamp") >= since) & (F.col("timestamp") < until)))
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "day#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    batch = fresh_dir(spark, "batch-log")
+    sinks.log_actions(actions, batch)
+    same_rows(read_log(spark, batch, since, until), some)
+
+
+def test_streams_leave_the_session_as_it_was(spark, sf):
+    before = {r.key: r.value for r in spark.sql("SET").collect()}
+    questions = view(spark, sf, "questions").filter("user_id < 3")
+    path, ending = shuffled(questions, "q", 1, "ts_s"), jobs.Ending(spark)
+    run_to_table(jobs.cooldown(jobs.capture_stream(spark, path, questions.schema), 86400, "1 day", ending), "cooldown", ending=ending)
+    assert {r.key: r.value for r in spark.sql("SET").collect()} == before
 
 
 def test_interval_counts_close_with_the_watermark(spark, sf):
@@ -66,9 +150,20 @@ class Value:
     def update(self, value):
         self.value = value
 
+    def clear(self):
+        self.value = None
+
     put = update
 
 
+class Timers:
+    def registerTimer(self, ms):
+        self.ms = ms
+
+    def deleteTimer(self, ms):
+        assert ms == self.ms
+
+
 def chunks(n, step, order):
     """Frames of one user's rows, and the frames that are still held when the next is made."""
     alive, most = [], []
@@ -76,7 +171,7 @@ def chunks(n, step, order):
     def make():
         for k in range(0, n, step):
             part = order[k : k + step]
-            frame = pd.DataFrame({"id": part, "question_id": part, "ts_s": [10 * x for x in part], "question": ["q"] * len(part)})
+            frame = pd.DataFrame({"id": part, "ts_s": [10 * x for x in part]})
             alive.append(weakref.ref(frame))
             most.append(sum(r() is not None for r in alive))
             yield frame
@@ -88,35 +183,13 @@ def chunks(n, step, order):
 @pytest.mark.parametrize("n", [1, 20, 21, 26, 27, 200])
 def test_bounded_history_holds_one_chunk(n):
     order = [(k * 7919) % n for k in range(n)]
-    p = jobs._Bounded()
-    p.rows = Value()
+    p = jobs._Bounded(100)
+    p.rows, p.count, p.timer, p.handle = Value(), Value(), Value(), Timers()
     held = []
-    for again in range(2):
-        made, most = chunks(n, 5, order)
-        size = list(p.handleInputRows((1,), made, None))[0]["size"][0]
-        for k in sorted(order):
-            held.append(k)
-            held = held[-15:] if len(held) > 20 else held
-        assert [r[0] for r in p.rows.value] == held and size == len(held) and max(most) <= 2
-
-
-def test_cooldown_answers_chunk_by_chunk():
-    p = jobs._Cooldown(25)
-    p.last = Value()
-    made, most = chunks(100, 10, list(range(100)))
-    out = p.handleInputRows((1,), made, None)
-    assert len(next(out)) == 10 and len(most) == 1
-    rest = pd.concat(list(out))
-    assert len(rest) == 90 and max(most) <= 2 and p.last.value == (990,)
-    with pytest.raises(ValueError, match="not in order"):
-        list(p.handleInputRows((1,), iter([pd.DataFrame({"question_id": [2, 1], "ts_s": [2000, 1999], "question": ["q", "q"]})]), None))
-
-
-def test_cooldown_sorts_an_unordered_batch_of_many_chunks(spark, sf):
-    questions = view(spark, sf, "questions").withColumn("user_id", F.col("user_id") % 3)
-    path = fresh_dir(spark, "unordered")
-    questions.orderBy(F.xxhash64("question_id")).coalesce(1).write.parquet(path)
-    with arrow_rows(spark, 7):
-        got = run_to_table(jobs.cooldown(jobs.capture_stream(spark, path, questions.schema), 86400), "cooldown", "update")
-    want = history.cooldown(questions, 86400)
-    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    made, most = chunks(n, 5, order)
+    size = list(p.handleInputRows((1,), made, None))[0]["size"][0]
+    for k in sorted(order):
+        held.append(k)
+        held = held[-15:] if len(held) > 20 else held
+    assert [r[1] for r in p.rows.value][-size:] == held and size == len(held) and max(most) <= 2 and len(p.rows.value) <= 20
+    assert p.handle.ms == (10 * (n - 1) + 100) * 1000
