@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import contextlib
-import contextvars
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from screenloom.sources.shared import fresh_dir
+from screenloom.sources.shared import scratch, staged
+
+__all__ = ["scratch", "staged"]
 
 #: A word is a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,51 +43,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Paths staged within the innermost open ``scratch``.
-_scratch: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
-
-
-@contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """Tables staged within are deleted at the end, but for what the yielded function stages.
-
-    What leaves the block must come from that function: it depends on no other staged table.
-    """
-    paths: list[str] = []
-    outer = _scratch.get()
-    token = _scratch.set(paths)
-
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        inner = _scratch.set(outer)
-        try:
-            return staged(df, name)
-        finally:
-            _scratch.reset(inner)
-
-    try:
-        yield keep
-    finally:
-        _scratch.reset(token)
-        for p in paths:
-            path = spark._jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def staged(df: DataFrame, name: str, observe: dict[str, Column] | None = None):
-    """Write ``df`` to the shared folder and read it back; with what was observed in writing, if asked.
-
-    Cuts the lineage at a table that outlives any executor and that later steps scan with
-    column pruning; each staged table is written once and read by path.
-    """
-    path = fresh_dir(df.sparkSession, name)
-    if (paths := _scratch.get()) is not None:
-        paths.append(path)
-    seen = Observation() if observe else None
-    (df.observe(seen, *[c.alias(k) for k, c in observe.items()]) if observe else df).write.parquet(path)
-    table_ = df.sparkSession.read.schema(df.schema).parquet(path)
-    return (table_, seen.get) if observe else table_
-
-
 #: Bytes of an Arrow batch of whole texts, or one row if that is longer.
 BATCH_BYTES = 4 << 20
 
