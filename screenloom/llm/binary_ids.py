@@ -22,8 +22,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screenloom.llm.common import arrow_rows, fresh_dir, running_sum, staged
+from screenloom.llm.common import arrow_rows, running_sum, scratch, staged
 from screenloom.llm.tokens import TOKENIZER, PieceEncoder, coded, pre_tokens, tokenizer_path
+from screenloom.sources.shared import delete, fresh_dir
 
 MAGIC = b"BITIDS01"
 HEADER = struct.Struct("<8sIIQQ")
@@ -117,7 +118,10 @@ def write_ids(docs: DataFrame, directory: str, text: str = "text", id_col: str =
     """
     path = path or tokenizer_path(TOKENIZER)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # rows of one id, or without any, spread by their texts, and copies by where they were read
+    rows = rows.withColumns({"begin": F.substring("text", 1, 128), "mark": F.xxhash64("text"), "nth": F.monotonically_increasing_id()})
+    order = [F.col("doc_id").asc_nulls_first(), F.col("begin"), F.col("mark"), F.col("nth")]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seq = PieceEncoder.of(path), TaskContext.get().partitionId(), 0
@@ -202,11 +206,16 @@ def encode_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     """Write all documents' ids to files in the shared folder and read them back.
 
     Defined cases: null and empty texts hold the end id alone; null ids come first; rows with
-    equal ids follow each other by text; an empty table writes no file and gives no rows.
+    equal ids follow each other by how their texts begin, then by a hash; an empty table writes no file and gives
+    no rows; texts of any length are taken whole; other columns are not carried. The files are
+    deleted once they are read; ``write_ids`` alone leaves them.
     """
     spark = docs.sparkSession
     directory = fresh_dir(spark, "ids")
-    manifest = write_ids(docs, directory, text, id_col, path)
-    if manifest.isEmpty():
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return read_documents(spark, manifest, directory)
+    with scratch(spark) as keep:
+        manifest = write_ids(docs, directory, text, id_col, path)
+        if manifest.isEmpty():
+            return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
+        read = keep(read_documents(spark, manifest, directory), "ids-read")
+    delete(spark, directory)
+    return read

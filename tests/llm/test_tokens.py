@@ -80,3 +80,23 @@ def test_whole_table_against_the_library(spark, sf, library):
     docs = {r.doc_id: r.text for r in spark.read.parquet(os.path.join(sf, "documents.parquet")).collect()}
     for r in op6_token_counts(spark, sf).collect():
         assert r.n_tokens == len(library.encode(docs[r.doc_id], add_special_tokens=False).ids)
+
+
+def test_rows_without_id_are_many_ranges(spark, tmp_path):
+    """A third of all rows without id, a third under one: still many files, in order of id."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i + 10, f"text {i} of many words", "x", i) for i in range(600)]
+    rows += [(None, "the same text", "x", 0)] * 300
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = binary_ids.write_ids(docs, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r.part for r in manifest}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = [binary_ids.IdFile((tmp_path / r.file).read_bytes()) for r in sorted(manifest, key=lambda r: (r.part, r.seq))]
+    assert max(len(f.doc_ids) for f in files) < len(rows) / 2
+    ids = [d for f in files for d in f.doc_ids]
+    assert ids == sorted((r[0] for r in rows), key=lambda d: (d is not None, d or 0))
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens) for r in binary_ids.encode_documents(docs).collect()) == sorted(
+        (d is not None, d or 0, int(n)) for f in files for d, n in zip(f.doc_ids, f.starts[1:] - f.starts[:-1], strict=True)
+    )
