@@ -6,7 +6,9 @@ the source's size repeats the source for whole epochs before the cut.
 
 Defined cases: a null text has size 0; the null source comes last among sources; sources of
 size 0 get target 0; an empty table gives an empty result; repeated rows are documents of
-their own; other columns of the input are not carried.
+their own, counted together until each gets its part; rows that share an id, or have none, are
+told apart by their texts; texts of any length are taken whole; other columns of the input are
+not carried.
 """
 
 from __future__ import annotations
@@ -56,8 +58,8 @@ def source_targets(sizes: DataFrame, total_share: float = 1.0) -> DataFrame:
 
 
 def random_key(id_col: Column, text: Column, seed: str) -> Column:
-    """Of the id; of the text where there is none, so that such rows spread over the ranges too."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.md5(F.coalesce(text, F.lit(""))))))
+    """Of id and text, so that rows of one id, or without any, spread over the ranges too."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -68,13 +70,14 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str
 
 def placed_rows(docs: DataFrame, text: str, source: str, id_col: str, seed: str, carry: tuple[str, ...]) -> DataFrame:
     """The same, not staged."""
-    sizes = staged(
-        docs.select(
-            F.col(id_col).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"),
-            random_key(F.col(id_col), F.col(text), seed).alias("key"), *carry,
-        ).withColumn("range", F.substring("key", 1, RANGE_DIGITS)),
-        "mix-sizes",
+    each = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("own_size"),
+        random_key(F.col(id_col), F.col(text), seed).alias("key"), *carry,
     )
+    # rows alike in all are one row with a count, so that no key is larger than a row
+    alike = each.groupBy("doc_id", "source", "own_size", "key", *carry).agg(F.count(F.lit(1)).alias("copies"))
+    alike = alike.withColumn("size", F.col("own_size") * F.col("copies")).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
+    sizes = staged(alike, "mix-sizes")
     before = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranges = sizes.groupBy("source", "range").agg(F.sum("size").alias("size"))
     ranges = ranges.select(
@@ -85,7 +88,7 @@ def placed_rows(docs: DataFrame, text: str, source: str, id_col: str, seed: str,
     targets = source_targets(sizes)
     ranges = ranges.join(targets, F.col("r_source").eqNullSafe(F.col("source"))).drop("source")
     inside = sizes.withColumn(
-        "inside_before", before(Window.partitionBy("source", "range").orderBy("key", "doc_id", "size"))
+        "inside_before", before(Window.partitionBy("source", "range").orderBy("key", "doc_id", "own_size", *carry))
     )
     placed = inside.join(
         ranges, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("range") == F.col("r_range"))
@@ -93,6 +96,7 @@ def placed_rows(docs: DataFrame, text: str, source: str, id_col: str, seed: str,
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
     rest = budget - epochs * F.col("source_size")
-    start = F.col("range_before") + F.col("inside_before")
-    taken = epochs * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), rest - start))
-    return placed.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"), *carry)
+    placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    start, size = F.col("range_before") + F.col("inside_before") + F.col("copy") * F.col("own_size"), F.col("own_size")
+    taken = epochs * size + F.least(size, F.greatest(F.lit(0), rest - start))
+    return placed.select("doc_id", size.alias("size"), "source", "source_size", "target", taken.cast("long").alias("taken"), *carry)

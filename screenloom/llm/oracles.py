@@ -46,7 +46,7 @@ FROM judged LEFT JOIN bad ON judged.source IS NOT DISTINCT FROM bad.source
 
 MIX_SOURCES = r"""
 WITH sizes AS (
-  SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS key,
+  SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key,
     CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size
   FROM documents),
 sources AS (

@@ -1,6 +1,7 @@
 """Quality rules and source mixing on hard rows; every SQL text of the subpackage against its query."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from screenloom.llm import mixing, quality_rules
 from screenloom.llm.queries import ORACLES, QUERIES
@@ -70,3 +71,16 @@ def test_rows_without_an_id_spread_over_key_ranges(spark):
 
     rows = table(spark, [(None, f"text {i}", "s") for i in range(200)])
     assert rows.select(F.substring(mixing.random_key(F.col("doc_id"), F.col("text"), "mix"), 1, 3)).distinct().count() > 150
+
+
+def test_one_id_or_none_is_many_ranges(spark):
+    """A third of all rows under one id, a third without: they spread over the key ranges by their texts; copies are one row with a count."""
+    rows = [(1 if i % 3 == 0 else None if i % 3 == 1 else i, f"text number {i} " * (1 + i % 4), "a") for i in range(900)]
+    docs = table(spark, rows)
+    key = mixing.random_key(F.col("doc_id"), F.col("text"), "mix")
+    assert docs.select(F.substring(key, 1, mixing.RANGE_DIGITS)).distinct().count() > 700
+    copies = table(spark, [(1, "a b c", "x")] * 500 + [(i, "d e f g", "x") for i in range(2, 102)] + [(200, "one two", "y")])
+    mixed = mixing.mix(copies).collect()
+    assert len(mixed) == 601 and all(0 <= r.taken <= 3 * r.size for r in mixed)
+    assert abs(sum(r.taken for r in mixed if r.source == "x") - mixed[0].target) < 8 or mixed[0].source != "x"
+    assert sum(0 < r.taken % r.size for r in mixed if r.source == "x") <= 1
