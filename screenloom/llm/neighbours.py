@@ -12,9 +12,13 @@ root of the table up to ``MOST``; larger partitions are ranked in more blocks.
 Of equal vectors, only the first K + 1 by id can be among K nearest; the others are never
 candidates, which is exact, and keeps a vector that fills much of the table harmless.
 
-Defined cases: null or zero vectors, those with null or non-finite components and those of
-another length than most of the sample (no inner product joins two lengths) take no part; ties go to the smaller id; rows that repeat an id and
-vector count once; an empty table gives an empty result; other columns are not carried.
+Vectors of one length meet those of the same length only, as no inner product joins two lengths:
+every length with more than ``RARE`` rows has a router and an index of its own; the rows of a rarer
+length are one partition, ranked whole against the queries of that length, which is exact.
+
+Defined cases: null or zero vectors and those with null or non-finite components take no part;
+of rows that repeat an id one counts, that of the smallest vector, as query and as candidate; ties
+go to the smaller id; an empty table gives an empty result; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from screenloom.llm.common import staged
+from screenloom.llm.common import scratch, staged
 
 K = 20
 #: Sample vectors of a partition; partitions are the table's square root over SHRINK, MOST at most.
@@ -38,6 +42,8 @@ HIDDEN = 128
 TARGET, PROBES = 0.92, 512
 #: Rows of a block of the ranking, on either side.
 BLOCK = 8192
+#: A length of vectors with more rows gets an index, and so does the commonest.
+RARE = 16_384
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -203,43 +209,66 @@ def rank_block(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndar
     return out
 
 
-def search(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: each query's nearest rows but itself, nearest first."""
-    every = vectors(df, id_col, vector)
-    equal = Window.partitionBy("v").orderBy("id")
-    rows = staged(every.distinct().withColumn("copy", F.row_number().over(equal)).filter(F.col("copy") <= k + 1), "vectors")
-    parts = int(max(1, min(MOST, rows.count() ** 0.5 / SHRINK)))
+def one_a_row(rows: DataFrame) -> DataFrame:
+    """Of rows that repeat an id, the smallest vector."""
+    return rows.groupBy("id").agg(F.min("v").alias("v"))
+
+
+def routed(rows: DataFrame, router: Router, dim: int, several: int) -> DataFrame:
+    """(id, v) of one length to id, v, dim, part: a row for each of the most probable partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, dim)
+            p = router.probabilities(x) if b.num_rows else np.zeros((0, 1))
+            to = np.argsort(-p, axis=1, kind="stable")[:, :several]
+            at = pa.array(np.repeat(np.arange(b.num_rows), to.shape[1]))
+            yield pa.record_batch(
+                [b.column("id").take(at), b.column("v").take(at), pa.array(np.full(len(at), dim, np.int32)), pa.array(to.ravel().astype(np.int32))],
+                names=["id", "v", "dim", "part"],
+            )
+
+    return rows.mapInArrow(run, "id long, v array<double>, dim int, part int")
+
+
+def placed(rows: DataFrame, asked: DataFrame, dim: int, n: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Rows and queries of a length in their partitions, by a router that is fitted to the length."""
+    rows, asked = rows.filter(F.size("v") == dim), asked.filter(F.size("v") == dim)
+    parts = int(max(1, min(MOST, n**0.5 / SHRINK)))
     sample = rows.filter("copy = 1").orderBy(F.xxhash64("id"), "id").limit(parts * SAMPLE_PART).select("v").collect()
-    if not sample:
-        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dims = pd.Series([len(r.v) for r in sample])
-    dim = int(dims.mode().iloc[0])
-    sample = np.array([r.v for r in sample if len(r.v) == dim])
+    sample = np.array([r.v for r in sample])
     router = fit(sample, max(1, min(parts, len(sample) // 64)))
-
-    def routed(several: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, dim)
-                p = router.probabilities(x) if b.num_rows else np.zeros((0, 1))
-                to = np.argsort(-p, axis=1, kind="stable")[:, :several]
-                at = pa.array(np.repeat(np.arange(b.num_rows), to.shape[1]))
-                yield pa.record_batch([b.column("id").take(at), b.column("v").take(at), pa.array(to.ravel().astype(np.int32))], names=["id", "v", "part"])
-
-        return run
-
-    shape = "id long, v array<double>, part int"
-    index = staged(rows.filter(F.size("v") == dim).select("id", "v").mapInArrow(routed(1), shape), "index")
-    asked = vectors(queries, id_col, vector).filter(F.size("v") == dim).distinct()
-    tries = least_tries(router, index, asked, k)
-    asked = staged(asked.mapInArrow(routed(tries), shape), "routed")
-    # blocks of a partition's rows against blocks of its queries: (partition, row block, query block)
-    count = lambda d, c: d.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(c))
-    blocks = count(index, "nr").join(count(asked, "nq"), "part")  # one row a partition
+    index = staged(routed(rows.select("id", "v"), router, dim, 1), "index")
+    return index, routed(asked, router, dim, least_tries(router, index, asked, k))
+
+
+def search(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vector: str = "embedding", rare: int = RARE) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's nearest rows but itself, nearest first; staged."""
+    with scratch(df.sparkSession) as keep:
+        equal = Window.partitionBy("v").orderBy("id")
+        rows = one_a_row(vectors(df, id_col, vector)).withColumn("copy", F.row_number().over(equal)).filter(F.col("copy") <= k + 1)
+        rows, asked = staged(rows, "vectors"), staged(one_a_row(vectors(queries, id_col, vector)), "asked")
+        lengths = sorted(((r.n, r.dim) for r in rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+        whole = lambda d: d.withColumn("dim", F.size("v")).withColumn("part", F.lit(0)).select("id", "v", "dim", "part")
+        common = [dim for i, (n, dim) in enumerate(lengths) if n > rare or not i]
+        other = ~F.size("v").isin(common) if common else F.lit(True)
+        index, tried = whole(rows.filter(other)), whole(asked.filter(other))
+        for n, dim in lengths:
+            if dim in common:
+                a, b = placed(rows, asked, dim, n, k)
+                index, tried = index.union(a), tried.union(b)
+        return keep(ranked(index, staged(tried, "routed"), k), "nearest")
+
+
+def ranked(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Blocks of a partition's rows against blocks of its queries: (dim, part, row block, query block)."""
+    own = ["dim", "part"]
+    count = lambda d, c: d.groupBy(*own).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(c))
+    blocks = count(index, "nr").join(count(asked, "nq"), own)  # one row a partition
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every_block = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = index.join(F.broadcast(blocks), "part").select("part", block("nr").alias("r"), every_block("nq").alias("q"), "id", "v")
-    right = asked.join(F.broadcast(blocks), "part").select("part", every_block("nr").alias("r"), block("nq").alias("q"), "id", "v")
+    left = index.join(F.broadcast(blocks), own).select(*own, block("nr").alias("r"), every_block("nq").alias("q"), "id", "v")
+    right = asked.join(F.broadcast(blocks), own).select(*own, every_block("nr").alias("r"), block("nq").alias("q"), "id", "v")
 
     def best(rows_: pd.DataFrame, asked_: pd.DataFrame) -> pd.DataFrame:
         if rows_.empty or asked_.empty:
@@ -247,8 +276,8 @@ def search(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id"
         found = rank_block(asked_["id"].to_numpy(), np.stack(asked_["v"].to_list()), rows_["id"].to_numpy(), np.stack(rows_["v"].to_list()), k)
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
-    key = ["part", "r", "q"]
+    key = [*own, "r", "q"]
     near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(best, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    nth = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return nth.select("query_id", "rank", "vec_id", "score")

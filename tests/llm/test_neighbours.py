@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from screenloom.llm import neighbours
@@ -100,3 +101,32 @@ def test_neighbour_parts_are_those_of_the_true_neighbours(spark):
     for n, i in enumerate(ids):
         order = [j for j in np.argsort(-(x @ x[i])) if j != i][:5]
         assert sorted(r.part for r in got if r.probe == n) == sorted(j % 7 for j in order)
+
+
+@pytest.mark.parametrize("rare", [0, 50, neighbours.RARE])
+def test_every_length_is_searched(spark, rare):
+    """Vectors of other lengths than most are neighbours of each other, by an index of their own or ranked whole."""
+    rng = np.random.default_rng(8)
+    rows = {i: rng.normal(size=8 if i % 5 else 3 if i % 3 else 6).astype(np.float32) for i in range(1200)}
+    table = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in rows.items()], "vec_id long, embedding array<float>")
+    got = by_query(neighbours.search(table, table.filter(F.col("vec_id") % 20 == 0), rare=rare).collect())
+    want = {}
+    for size in {len(v) for v in rows.values()}:
+        own = {i: v for i, v in rows.items() if len(v) == size}
+        want |= brute(own, [i for i in own if i % 20 == 0])
+    assert got.keys() == want.keys() and recall(got, want) >= 0.9
+    if rare >= len(rows):
+        assert all([v for v, _ in got[q]] == [v for v, _ in want[q]] for q in want if len(rows[q]) != 8)
+
+
+def test_an_id_counts_once(spark):
+    """Of an id with several vectors the smallest is query and candidate."""
+    rng = np.random.default_rng(9)
+    rows = {i: rng.normal(size=4).astype(np.float32) for i in range(200)}
+    more = [(20, [9.0, 9.0, 9.0, 9.0]), (33, [8.0] * 4), (33, [float(c) for c in rows[33]])]
+    table = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in rows.items()] + more, "vec_id long, embedding array<float>")
+    found = neighbours.search(table, table.filter(F.col("vec_id") % 20 == 0)).collect()
+    smallest = rows | {i: min([float(c) for c in rows[i]], v) for i, v in more}
+    got, want = by_query(found), brute({i: np.array(v) for i, v in smallest.items()}, [i for i in rows if i % 20 == 0])
+    assert all(len({v for v, _ in near}) == len(near) == 20 for near in got.values())
+    assert recall(got, want) >= 0.9 and len(found) == 20 * len(want)
