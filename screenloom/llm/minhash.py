@@ -37,6 +37,8 @@ SMALL = 12
 WIDE = 1536
 #: Rows of a block of a large bucket, on either side.
 BLOCK = 1024
+#: Links of at most this number are joined into groups in one task, without a shuffle.
+FEW_LINKS = 100_000
 
 
 def band_rows(threshold: float) -> int:
@@ -241,7 +243,8 @@ def components(links: DataFrame) -> DataFrame:
     """id, label: the smallest id of each connected component, for ids that have a link.
 
     Alternates large-star and small-star steps, so that long chains shorten fast; every step
-    is a grouped minimum and a join, staged so that a lost executor repeats one step only.
+    is a grouped minimum and a join, staged so that a lost executor repeats one step only. A round
+    costs some shuffles whatever it moves; so few links, by their count, stay in one task.
     """
 
     def step(edges: DataFrame, large: bool) -> DataFrame:
@@ -253,10 +256,11 @@ def components(links: DataFrame) -> DataFrame:
         out = met.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         return out.filter(F.col("a") != F.col("b")).distinct()
 
-    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     mark = {"n": F.count(F.lit(1)), "h": F.sum(F.hash("a", "b").cast("long"))}
-    before = None
+    edges, before = staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges", mark)
     while True:
+        # no step makes more edges than there were
+        edges = edges.coalesce(1) if before["n"] <= FEW_LINKS else edges
         edges, now = staged(step(step(edges, True), False), "edges", mark)
         if now == before:
             break

@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from screenloom.llm import minhash
 from screenloom.llm.hashing import window_hashes
@@ -157,3 +158,23 @@ def test_arrivals_drawn_together_or_apart_give_one_sketch():
     whole = minhash.sketch(doc, value, weight, 3, 256)
     for d in range(3):
         assert (minhash.sketch(np.zeros(sizes[d], np.int64), value[doc == d], weight[doc == d], 1, 256)[0] == whole[d]).all()
+
+
+@pytest.mark.parametrize("few", [0, minhash.FEW_LINKS])
+def test_components_of_chains_stars_and_cycles(spark, monkeypatch, few):
+    monkeypatch.setattr(minhash, "FEW_LINKS", few)
+    rng = np.random.default_rng(3)
+    links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(200 + i, 200 + (i + 1) % 7) for i in range(7)]
+    links += [(int(a), int(b)) for a, b in rng.integers(300, 400, (60, 2)) if a != b]
+    label = {}
+
+    def root(x):
+        while label.setdefault(x, x) != x:
+            x = label[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        label[max(a, b)] = min(a, b)
+    df = spark.createDataFrame([(min(p), max(p)) for p in links], "a long, b long").distinct()
+    assert {r.id: r.label for r in minhash.components(df).collect()} == {x: root(x) for x in label}
