@@ -8,6 +8,7 @@ from pyspark.sql import types as ST
 
 from screenloom.functions.text import after_colon, latin1, strip
 from screenloom.operators.history import last_n
+from screenloom.operators.ranges import numbered
 
 RULE = "=" * 60
 STAT_SIGN = "📊"
@@ -112,13 +113,31 @@ def bold_spans(answers: DataFrame) -> DataFrame:
     return out.select("response_id", "line_no", "part", "text", (F.col("part") % 2 == 1).alias("bold"))
 
 
-def report_lines(answers: DataFrame, key: str = "conv_id", order: str = "turn", last: int | None = 5) -> DataFrame:
-    """key, idx, line_no, line: the session's (last) answers, numbered, titled, in Latin-1."""
-    kept = last_n(answers, key, last, (order,)) if last else answers
-    kept = kept.withColumn("idx", F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("long"))
-    title = F.array(F.concat(F.lit("Response "), F.col("idx").cast("string"), F.lit(":")))
+# The titles of a report's sections.
+RESPONSE_TITLE, NOTES_TITLE = "Response ", "User Notes"
+
+
+def report_lines(answers: DataFrame, key: str = "conv_id", order: str = "turn", last: int | None = 5, notes: DataFrame | None = None) -> DataFrame:
+    """key, idx, line_no, line: the session's (last) answers, numbered, titled, in Latin-1.
+
+    With ``notes`` (key, notes) the session's notes follow as a section of their own, unless they are blank;
+    a session may have notes alone. All answers of a session are numbered in ranges.
+    """
+    if last:
+        kept = last_n(answers, key, last, (order,))
+        kept = kept.withColumn("idx", F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("long"))
+    else:
+        kept = numbered(answers, key, [order], "_place").withColumn("idx", F.col("_place") + 1)
+    title = F.array(F.concat(F.lit(RESPONSE_TITLE), F.col("idx").cast("string"), F.lit(":")))
     lines = F.concat(title, F.split(F.coalesce("response_text", F.lit("")), "\n"))
     rows = kept.select(key, "idx", F.posexplode(lines).alias("line_no", "raw"))
+    if notes is not None:
+        text = strip(F.coalesce("notes", F.lit("")))
+        sizes = answers.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+        told = notes.select(key, text.alias("notes")).filter("notes <> ''").join(sizes, F.col(key).eqNullSafe(F.col("_key")), "left")
+        size = F.coalesce("_n", F.lit(0)).cast("long")
+        idx = (F.least(F.lit(last), size) if last else size) + 1
+        rows = rows.union(told.select(key, idx.alias("idx"), F.posexplode(F.concat(F.array(F.lit(NOTES_TITLE)), F.split("notes", "\n"))).alias("line_no", "raw")))
     return rows.select(key, "idx", "line_no", latin1(F.col("raw")).alias("line"))
 
 

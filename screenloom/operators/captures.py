@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from screenloom.functions.text import strip
@@ -109,6 +109,19 @@ def merged_text(captures: DataFrame, key: str = "source", order: str = "capture_
 SCROLLED = "\n--- scrolled content ---\n"
 #: No Spark string or array holds more bytes.
 MOST_BYTES = 2**31 - 2**20
+#: A text is held so many times over, as rows, array and string, while it is made.
+COPIES = 8
+
+
+def largest_text(spark: SparkSession) -> int:
+    """Bytes of a text that a task can make in its share of an executor's memory."""
+    conf = spark.sparkContext.getConf()
+    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+        memory, cores = spark._jvm.java.lang.Runtime.getRuntime().maxMemory(), spark.sparkContext.defaultParallelism
+    else:
+        memory = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get("spark.executor.memory", "1g"))
+        cores = int(conf.get("spark.executor.cores", "1"))
+    return min(MOST_BYTES, memory // (COPIES * max(1, cores)))
 
 
 def combined_lines(captures: DataFrame, key: str = "source", order: str = "capture_id") -> DataFrame:
@@ -128,12 +141,14 @@ def combined_lines(captures: DataFrame, key: str = "source", order: str = "captu
     return numbered(rows, key, ["_part", "_at", "_no"], "position").select(key, "position", "line")
 
 
-def combined_text(captures: DataFrame, key: str = "source", order: str = "capture_id", most: int = MOST_BYTES) -> DataFrame:
+def combined_text(captures: DataFrame, key: str = "source", order: str = "capture_id", most: int | None = None) -> DataFrame:
     """The combined lines of each session as one text.
 
-    One task makes one text, and no text can have over ``most`` bytes: sizes are summed first,
-    and longer sessions are refused by name. ``combined_lines`` takes sessions of any size.
+    One task makes one text, so none may have over ``most`` bytes, by default what a task's share of
+    memory can make: sizes are summed first, and longer sessions are refused by name.
+    ``combined_lines`` takes sessions of any size, and ``sinks.write_texts`` writes them as text.
     """
+    most = largest_text(captures.sparkSession) if most is None else most
     lines = combined_lines(captures, key, order)
     size = F.sum(F.octet_length("line") + F.lit(1).cast("long"))
     long = lines.groupBy(key).agg(size.alias("size")).filter(F.col("size") > most).orderBy(F.desc("size")).limit(5).collect()

@@ -74,6 +74,18 @@ add(
   CAST(memory_usage AS BIGINT) AS memory_usage, cpu_percent FROM captures""",
     "captures",
 )
+add(
+    "report_with_notes",
+    """WITH kept AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS idx, response_text FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM responses) WHERE back <= 5),
+sections AS (
+  SELECT conv_id, idx, list_concat([concat('Response ', CAST(idx AS VARCHAR), ':')], string_split(response_text, chr(10))) AS lines FROM kept
+  UNION ALL SELECT n.conv_id, coalesce(k.n, 0) + 1, list_concat(['User Notes'], string_split(n.t, chr(10)))
+  FROM (SELECT conv_id, """ + strip("notes") + """ AS t FROM notes) n LEFT JOIN (SELECT conv_id, count(*) AS n FROM kept GROUP BY conv_id) k ON k.conv_id = n.conv_id WHERE n.t <> '')
+SELECT conv_id, idx, line_no, regexp_replace(l, '[^\\x{00}-\\x{FF}]', '?', 'g') AS line FROM (
+  SELECT conv_id, idx, unnest(lines) AS l, CAST(unnest(range(len(lines))) AS INTEGER) AS line_no FROM sections)""",
+    "responses", "notes",
+)
 for _name, _keep in (("report_lines", "WHERE back <= 5"), ("report_lines_all", "")):
     add(
         _name,

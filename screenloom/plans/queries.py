@@ -69,6 +69,11 @@ def report_lines_all(rows):
     return answers.report_lines(rows, last=None)
 
 
+@over("responses", "notes")
+def report_with_notes(rows, notes):
+    return answers.report_lines(rows, notes=notes)
+
+
 # --- text
 
 

@@ -52,7 +52,17 @@ def store_contexts(captures: DataFrame, path: str) -> None:
     context_rows(captures).write.mode("append").parquet(path)
 
 
+def write_texts(lines: DataFrame, path: str, key: str, *order: str, line: str = "line") -> None:
+    """Lines as text, a folder for each key; its files, in the order of their names, hold its lines in order.
+
+    Lines are range-partitioned by key and place, so a text of any size is written by many tasks.
+    Line ends inside a line would make two lines of it: they become spaces.
+    """
+    ordered = lines.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    value = F.regexp_replace(F.coalesce(line, F.lit("")), "[\r\n]", " ").alias("value")
+    ordered.select(F.col(key).alias("key"), value).write.mode("overwrite").partitionBy("key").text(path)
+
+
 def write_report(lines: DataFrame, path: str, key: str = "conv_id") -> None:
-    """Report lines as text files; a session's lines stay together and in order."""
-    ordered = lines.repartition(key).sortWithinPartitions(key, "idx", "line_no")
-    ordered.select(F.col("line").alias("value")).write.mode("overwrite").text(path)
+    """Report lines as text files, a folder for each session."""
+    write_texts(lines, path, key, "idx", "line_no")

@@ -52,6 +52,10 @@ SELECT conv_id * 100 + turn AS response_id, conv_id, turn,
     'Empty Section:', chr(10), 'Common Questions:', chr(10), 'Q1: what is it? see: ', CAST(turn AS STRING), chr(10), 'A1: answer one', chr(10),
     'Q2: and then?', chr(10), 'A2: answer two', chr(10), 'Quite plain', chr(10), '**Bold line**') AS response_text
 FROM $conversations WHERE role = 'assistant'""",
+    "notes": """
+SELECT conv_id, CASE WHEN conv_id % 4 = 0 THEN concat(' ', chr(10)) ELSE concat(chr(10), 'to do: ', text, chr(10), chr(10), 'end ') END AS notes
+FROM $conversations WHERE role = 'user' AND turn = 0
+UNION ALL SELECT -5 AS conv_id, 'notes alone' AS notes""",
     "model_json": """
 SELECT conv_id * 100 + turn AS response_id, conv_id, turn, 1704067200 + conv_id * 60 + turn AS ts_s,
   CASE WHEN (conv_id + turn) % 11 = 0 THEN concat('timeout after ', CAST(turn AS STRING), ' s') END AS error,
