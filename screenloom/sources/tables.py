@@ -84,9 +84,20 @@ FROM $pages""",
 _NAME = re.compile(r"\$(\w+)")
 
 
+#: Tables between these sizes may be held in too few files for all cores.
+SPREAD_BYTES = 1 << 20, 1 << 30
+
+
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """A stored table, all columns; filters and column choices reach the Parquet scan."""
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+    """A stored table, all columns; filters and column choices reach the Parquet scan.
+
+    A table of some megabytes that its files give to fewer tasks than there are cores is dealt out
+    to all; larger ones are read as they lie.
+    """
+    rows = spark.read.parquet(f"{directory}/{name}.parquet")
+    cores, (least, most) = spark.sparkContext.defaultParallelism, SPREAD_BYTES
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(cores) if least < size < most and rows.rdd.getNumPartitions() < cores else rows
 
 
 #: What a micro-batch reads at most, or one file.
