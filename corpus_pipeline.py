@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from screenloom.llm import minhash, mixing, pieces, quality_rules, substrings
-from screenloom.llm.common import staged, table, words
+from screenloom.llm.common import scratch, staged, table, words
+from screenloom.sources.shared import delete, fresh_dir
 
 
 def boxed(docs: DataFrame) -> DataFrame:
@@ -86,8 +87,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each stage's rows written and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over documents, each stage's rows written and read again.
+
+    What a stage staged is deleted when its rows stand, and these when the next stage's do.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        path = fresh_dir(spark, name)
+        with scratch(spark):
+            found = stage(spark, docs, sf_dir)
+            found.write.parquet(path)
+        docs = spark.read.schema(found.schema).parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
+    return docs

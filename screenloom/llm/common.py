@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from screenloom.sources.shared import scratch, staged
+from screenloom.sources.tables import read_table
 
 __all__ = ["scratch", "staged"]
 
@@ -40,7 +41,7 @@ def word_hashes(text: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
 
 
 #: Bytes of an Arrow batch of whole texts, or one row if that is longer.

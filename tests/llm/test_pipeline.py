@@ -1,3 +1,4 @@
+import os
 import hashlib
 import zlib
 from collections import Counter, defaultdict
@@ -21,9 +22,9 @@ def fails(text):
 
 
 def mix_brute(docs):
-    """(doc_id, source, n words) -> taken."""
+    """(doc_id, source, n words, text) -> taken."""
     size = defaultdict(int)
-    for _, s, n in docs:
+    for _, s, n, _ in docs:
         size[s] += n
     order = sorted((s for s in size if s is not None)) + [None] * (None in size)
     weight = {s: 1 + k % 3 for k, s in enumerate(order)}
@@ -39,7 +40,8 @@ def mix_brute(docs):
             left -= target[s]
     target |= {s: weight[s] * level for s in free}
     taken, used = {}, defaultdict(int)
-    for i, s, n in sorted(docs, key=lambda d: hashlib.md5(f"mix:{d[0]}".encode()).hexdigest()):
+    hexed = lambda x: hashlib.md5(x.encode()).hexdigest()
+    for i, s, n, _ in sorted(docs, key=lambda d: hexed(f"mix:{d[0]}:{hexed(d[3])}")):
         budget = int(target[s] + 1e-6)
         epochs = budget // size[s]
         taken[i] = epochs * n + min(n, max(0, budget - epochs * size[s] - used[s]))
@@ -74,7 +76,7 @@ def test_stages_match_brute_force(spark, sf, documents):
         assert hashlib.sha256(" ".join(split(text)).encode()).hexdigest() == cut[i][1]
         assert (lang, source) == before[i][2:4] and (cut[i][0] or text == before[i][1])
         assert n_chars == (len(text) if cut[i][0] else before[i][4])
-    sizes = [(i, s, len(split(t))) for i, t, _, s, _ in results["substring_dedup"]]
+    sizes = [(i, s, len(split(t)), t) for i, t, _, s, _ in results["substring_dedup"]]
     taken, _, _ = mix_brute(sizes)
     got = Counter()
     for i, text, *_ in results["mix_sources"]:
@@ -105,3 +107,11 @@ def test_operators_leave_no_scratch_tables(spark, sf):
     rows = corpus_pipeline.near_dedup(spark, frame, sf)
     left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(glob.glob(f"{folder}/*")) - before}
     assert left == {"near-groups"} and rows.count() > 0
+
+
+def test_a_stage_is_deleted_when_the_next_stands(spark, sf):
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder))
+    rows = corpus_pipeline.run(spark, sf)
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and rows.count() > 0, left
