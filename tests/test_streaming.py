@@ -193,3 +193,13 @@ def test_bounded_history_holds_one_chunk(n):
         held = held[-15:] if len(held) > 20 else held
     assert [r[1] for r in p.rows.value][-size:] == held and size == len(held) and max(most) <= 2 and len(p.rows.value) <= 20
     assert p.handle.ms == (10 * (n - 1) + 100) * 1000
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_lines_are_given_once_over_all_batches(spark, sf, parts):
+    rows = view(spark, sf, "captures").filter("capture_id < 60").select("capture_id", "source", "ts_s", "text")
+    # the same lines again, under later captures
+    rows = rows.union(rows.select(F.col("capture_id") + 1000, "source", F.col("ts_s") + 60, "text"))
+    path = shuffled(rows, "m", parts, "capture_id")
+    got = run_to_table(jobs.merge_lines(jobs.capture_stream(spark, path, rows.schema, 1), late="60 days"), "merge")
+    same_rows(got, captures.merged_lines(rows).select("source", "line"))
