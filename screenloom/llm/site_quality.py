@@ -1,6 +1,7 @@
 """Quality by hierarchical empirical Bayes: classifier evidence with site posteriors.
 
-A logistic regression on text measures gives each document a probability. Probabilities are
+A logistic regression on text measures and on hashed letter and word grams gives each document a
+probability. Probabilities are
 summed by host and by path (a section of a host); a host's mean is shrunk towards the corpus,
 a path's towards its host, with strengths fitted to the spread of group means beyond what
 sampling shows. A document's odds are then its own, moved by what its path is worth against the
@@ -16,14 +17,24 @@ row by row; an empty table gives an empty result; other columns are not carried.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from screenloom.llm.common import BLANKS, let, staged, words
+from screenloom.llm.common import BLANKS, arrow_rows, let, scratch, staged, words
+from screenloom.llm.hashing import mix
 
 TRAIN_ROWS = 20_000
 STRENGTH = (1.0, 1e4)
 KEEP_AT = 0.5
+#: Buckets of each kind of gram.
+WIDTH = 512
+#: Weight of grams beside measures of unit spread, and the penalty of the coefficients.
+GRAM_SCALE, PENALTY = 3.0, 1e-3
+POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(64)], np.uint64)
 MEASURES = ("log_words", "symbols", "capitals", "distinct", "length", "repeats", "lines", "digits")
 
 
@@ -51,28 +62,68 @@ def measures(text: Column) -> Column:
     return let(words(text), of)
 
 
-def classify(measured: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """Adds ``p``: the classifier's probability for each measured row.
+def grams(text: str) -> np.ndarray:
+    """Counts of three and four bytes in a row, and of words, by hash; logarithms of length ``GRAM_SCALE`` each."""
+    b = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        three = b[:-2] * np.uint64(65536) + b[1:-1] * np.uint64(256) + b[2:] if len(b) > 2 else b[:0]
+        four = three[:-1] + (b[3:] + np.uint64(1)) * np.uint64(1 << 24)
+        inside = b > 32
+        starts = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]])) if len(b) else np.zeros(0, np.int64)
+        place = np.arange(len(b)) - np.repeat(starts, np.diff(np.append(starts, len(b)))) if len(starts) and starts[0] == 0 else None
+        if len(starts) and place is None:
+            place = np.concatenate([np.zeros(starts[0], np.int64), np.arange(starts[0], len(b)) - np.repeat(starts, np.diff(np.append(starts, len(b))))])
+        words_ = np.add.reduceat(np.where(inside, (b + np.uint64(1)) * POWERS[place % len(POWERS)], np.uint64(0)), starts) if len(starts) else b[:0]
+    count = lambda x: np.log1p(np.bincount((mix(x) % np.uint64(WIDTH)).astype(np.int64), minlength=WIDTH))
+    unit = lambda x: x * (GRAM_SCALE / max(1.0, np.sqrt(x @ x)))
+    return np.concatenate([unit(count(np.concatenate([three, four]))), unit(count(words_))])
+
+
+def with_grams(rows: DataFrame, names: list[str], weights: np.ndarray | None) -> DataFrame:
+    """The named columns of rows with a column text, and ``grams``: all of them, or their sum by weight."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [grams(t) for t in batch.column("text").to_pylist()]
+            made = pa.array([x.astype(np.float32) for x in found], pa.list_(pa.float32())) if weights is None else pa.array([float(x @ weights) for x in found], pa.float64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], made], [*names, "grams"])
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
+    return rows.select(*names, "text").mapInArrow(run, f"{kinds}, grams {'array<float>' if weights is None else 'double'}")
+
+
+def classify(rows: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
+    """(doc_id, host, path, text) to doc_id, host, path, p: the classifier's probability; staged.
 
-    The model is fitted on the bounded sample alone; rows are scored from its coefficients by
-    plain expressions, so neither the model nor its session travels to the executors.
+    The model is fitted on the bounded sample alone; rows are scored from its coefficients, so
+    neither the model nor its session travels to the executors. Texts are read for the sample and
+    once for the scores; the grams of a row that is scored become one number where they are made.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import array_to_vector
 
+    spark, keys = rows.sparkSession, ["doc_id", "host", "path"]
     marked = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     marked = marked.groupBy("doc_id").agg(F.max(F.col(label).cast("double")).alias("label"))
-    sample = measured.join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS).select(*MEASURES, "label")
-    sample = staged(sample, "train")
-    if sample.select("label").distinct().count() < 2:
-        return measured.withColumn("p", F.lit(0.5))
-    train = VectorAssembler(inputCols=list(MEASURES), outputCol="features").transform(sample)
-    model = LogisticRegression(maxIter=50, regParam=1e-3, standardization=True).fit(train)
-    odds = F.lit(float(model.intercept))
-    for name, weight in zip(MEASURES, model.coefficients.toArray().tolist(), strict=True):
-        odds = odds + F.col(name) * F.lit(weight)
-    p = 1 / (1 + F.exp(-odds))
-    return measured.withColumn("p", F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6)))
+    taken = staged(rows.select("doc_id").join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS).distinct(), "train-ids")
+    measured = rows.select(*keys, "text", measures(F.col("text")).alias("m")).select(*keys, "text", "m.*")
+    with arrow_rows(spark, 1000):
+        sample = staged(with_grams(measured.join(taken, "doc_id"), [*MEASURES, "label"], None), "train")
+        if sample.select("label").distinct().count() < 2:
+            return staged(rows.select(*keys, F.lit(0.5).alias("p")), "scored")
+        seen = sample.agg(*[F.avg(c).alias(f"mean_{c}") for c in MEASURES], *[F.stddev_pop(c).alias(f"sd_{c}") for c in MEASURES]).first()
+        # measures of unit spread, so that one penalty suits them and the grams
+        spread = {c: (F.col(c) - F.lit(seen[f"mean_{c}"])) / F.lit(seen[f"sd_{c}"] + 1e-9) for c in MEASURES}
+        sample = sample.withColumns(spread).withColumn("vector", array_to_vector("grams"))
+        train = VectorAssembler(inputCols=[*MEASURES, "vector"], outputCol="features").transform(sample)
+        model = LogisticRegression(maxIter=100, regParam=PENALTY, standardization=False).fit(train)
+        weights = model.coefficients.toArray()
+        odds = F.lit(float(model.intercept)) + F.col("grams")
+        for name, weight in zip(MEASURES, weights.tolist(), strict=False):
+            odds = odds + spread[name] * F.lit(weight)
+        p = F.least(F.greatest(1 / (1 + F.exp(-odds)), F.lit(1e-6)), F.lit(1 - 1e-6))
+        return staged(with_grams(measured, [*keys, *MEASURES], weights[len(MEASURES) :]).select(*keys, p.alias("p")), "scored")
 
 
 def strength(spread: float, groups: int, parents: int, room: float, within: float) -> float:
@@ -132,12 +183,9 @@ def posteriors(scored: DataFrame) -> DataFrame:
 
 
 def quality(
-    docs: DataFrame, labels: DataFrame, text: str = "text", host: str = "source", path: str = "lang", id_col: str = "doc_id"
+    docs: DataFrame, labels: DataFrame, text: str = "text", host: str = "source", path: str = "lang", id_col: str = "doc_id", label: str = "quality"
 ) -> DataFrame:
-    """doc_id, evidence, host_posterior, path_posterior, quality, kept."""
-    measured = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(host).alias("host"), F.col(path).alias("path"), measures(F.col(text)).alias("m")
-    ).select("doc_id", "host", "path", "m.*")
-    measured = staged(measured, "measures")
-    scored = staged(classify(measured, labels).select("doc_id", "host", "path", "p"), "scored")
-    return posteriors(scored)
+    """doc_id, evidence, host_posterior, path_posterior, quality, kept; staged."""
+    with scratch(docs.sparkSession) as keep:
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host).alias("host"), F.col(path).alias("path"), F.col(text).alias("text"))
+        return keep(posteriors(classify(rows, labels, label)), "site-quality")
