@@ -118,9 +118,9 @@ def write_ids(docs: DataFrame, directory: str, text: str = "text", id_col: str =
     """
     path = path or tokenizer_path(TOKENIZER)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # rows of one id, or without any, spread by their texts, and copies by where they were read
-    rows = rows.withColumns({"begin": F.substring("text", 1, 128), "mark": F.xxhash64("text"), "nth": F.monotonically_increasing_id()})
-    order = [F.col("doc_id").asc_nulls_first(), F.col("begin"), F.col("mark"), F.col("nth")]
+    # rows of one id, or without any, spread by where they were read; ranges are sampled without reading texts
+    rows = rows.withColumn("nth", F.monotonically_increasing_id())
+    order = [F.col("doc_id").asc_nulls_first(), F.col("nth")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +206,7 @@ def encode_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     """Write all documents' ids to files in the shared folder and read them back.
 
     Defined cases: null and empty texts hold the end id alone; null ids come first; rows with
-    equal ids follow each other by how their texts begin, then by a hash; an empty table writes no file and gives
+    equal ids follow each other in the order in which they are read; an empty table writes no file and gives
     no rows; texts of any length are taken whole; other columns are not carried. The files are
     deleted once they are read; ``write_ids`` alone leaves them.
     """
