@@ -8,7 +8,7 @@ registers agree with the probability Jaccard similarity of the sets. Documents t
 band of registers are candidates; candidates are verified by the exact similarity, and links
 of at least the threshold join documents into groups.
 
-Defined cases: documents without words (null texts too) are alone; a null id gets a null group
+Defined cases: texts of any length are taken whole; documents without words (null texts too) are alone; a null id gets a null group
 and takes no part; rows with one id are one document; an empty table gives an empty result;
 other columns of the input are not carried.
 """

@@ -12,7 +12,7 @@ White space starts pieces and never stands inside one, so paths meet at every wo
 white space and the word after it is encoded once and remembered, for a bounded number of
 words. Equality with the library is tested.
 
-Defined cases: null and empty texts have no ids; repeated rows are encoded row by row; a null
+Defined cases: texts of any length are taken whole; null and empty texts have no ids; repeated rows are encoded row by row; a null
 id stays null; an empty table gives an empty result; other columns are not carried.
 """
 

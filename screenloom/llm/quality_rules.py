@@ -4,7 +4,7 @@ Every text gets counts and a base verdict of its own; rule failures are then sum
 each host's failure rate is shrunk towards a beta prior fitted to all hosts, and the host's
 verdict goes back to its documents.
 
-Defined cases: a null text has no words and fails for want of words; a null host is a host of
+Defined cases: texts of any length are taken whole; a null text has no words and fails for want of words; a null host is a host of
 its own; an empty table gives an empty result; repeated rows are judged row by row; other
 columns of the input are not carried.
 """

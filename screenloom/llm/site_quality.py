@@ -10,7 +10,7 @@ corpus; its own share is taken out of its host's and its path's sums first.
 The classifier is fitted on at most ``TRAIN_ROWS`` labelled documents, those with the smallest
 hashed ids. All sums run over all documents.
 
-Defined cases: null texts measure as empty; null hosts and paths are groups of their own;
+Defined cases: texts of any length are taken whole; null texts measure as empty; null hosts and paths are groups of their own;
 without labels of both kinds every document scores 0.5 and is kept; repeated rows are scored
 row by row; an empty table gives an empty result; other columns are not carried.
 """

@@ -14,7 +14,7 @@ A passage is 50 words that also start in a document with a smaller id. Steps:
 
 Exact copies of a smaller document need none of that: all their windows go.
 
-Defined cases: null texts have no words; documents under 50 words lose nothing; a null id
+Defined cases: texts of any length are taken whole; null texts have no words; documents under 50 words lose nothing; a null id
 neither removes nor loses words; repeated rows (same id) remove nothing from each other; an
 empty table gives an empty result; other columns of the input are not carried.
 """

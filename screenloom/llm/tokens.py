@@ -226,7 +226,7 @@ def count_tokens(docs: DataFrame, text: str = "text", id_col: str = "doc_id", pa
     pre-tokens go by a shuffle on the pre-token. Of those only very long ones can be frequent;
     the engine splits such keys of the join.
 
-    Defined cases: null and empty texts have 0 tokens; repeated rows each get their count; a
+    Defined cases: texts of any length are taken whole; null and empty texts have 0 tokens; repeated rows each get their count; a
     null id stays null; an empty table gives an empty result.
     """
     path = path or tokenizer_path(TOKENIZER)
