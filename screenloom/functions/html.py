@@ -15,6 +15,8 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from screenloom.functions.text import let
+
 NO_TITLE = "No title"
 #: Stands where a token was taken out, so that the text on its two sides does not run together; U+0001 is in no valid page.
 CUT = "\u0001"
@@ -40,11 +42,6 @@ def attribute(name: str) -> str:
     return rf"(?is)^{name}(?:\s*=|$)"
 
 
-def let(value: Column, body) -> Column:
-    """``body(v)`` with ``value`` evaluated once."""
-    return F.transform(F.array(value), body)[0]
-
-
 # --- character references
 
 REFERENCE = "&(?:#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]*;?)|[^&]+|&"
