@@ -5,11 +5,11 @@ rendered; what a prefix adds to the one before is the span of its last turn, and
 does not begin with the output before it shows a template that rewrites history. A probe in
 place of the turn's text shows where in the span the text stands.
 
-By default every prefix is rendered whole. Where a template's output for a turn is known to
-depend on at most ``context`` turns before it, that can be stated: the first ``WHOLE`` turns of
-a conversation are rendered whole all the same, so rewriting further back is seen there too, and
-only turns beyond them over ``context`` turns, so that a conversation of any length streams
-through in bounded memory.
+By default every prefix is rendered whole, whatever its length, so rewriting is seen at any turn;
+that holds a conversation in one task, and its work grows with the square of its turns. Where a
+template's output for a turn is known to depend on at most ``context`` turns before it, that can
+be stated: every turn is then rendered over that many turns before it, ``WHOLE`` at least, so that
+a conversation of any length streams through in bounded memory.
 
 Defined cases: texts of any length are taken whole; rows go by turn, then role, then text, nulls first; null texts and roles are
 empty; a null conversation id is a conversation; repeated rows are turns; an empty table gives
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 Turn = tuple[str, str]
 START, END = "<|im_start|>", "<|im_end|>\n"
 PROBE = "﷐probe﷑"
-#: Turns of a conversation that are always rendered from its beginning.
+#: Turns before a turn that it is rendered over at least, also where a template is said to need fewer.
 WHOLE = 64
 PIECE = re.compile(r"<\|im_start\|>([^\n]*)\n(.*)<\|im_end\|>\n", re.DOTALL)
 
@@ -61,15 +61,14 @@ class Renderer:
     start, which is where the output first differs from the one before.
     """
 
-    def __init__(self, template: Callable[[list[Turn]], str], context: int | None = None, whole: int = WHOLE):
-        self.template, self.context, self.whole = template, context, whole
+    def __init__(self, template: Callable[[list[Turn]], str], context: int | None = None):
+        self.template, self.context = template, None if context is None else max(context, WHOLE)
         self.turns: list[Turn] = []
-        self.shown, self.n = "", 0
+        self.shown = ""
 
     def add(self, role: str, text: str) -> tuple[str, int, int, bool]:
-        self.n += 1
-        if self.context is not None and self.n > self.whole and len(self.turns) > self.context:
-            self.turns = self.turns[len(self.turns) - self.context :]
+        if self.context is not None and len(self.turns) > self.context:
+            self.turns = self.turns[-self.context :]
             self.shown = self.template(self.turns)
         before = self.shown
         now = self.template([*self.turns, (role, text)])

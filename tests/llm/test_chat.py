@@ -3,7 +3,7 @@ import hashlib
 from hypothesis import given
 from hypothesis import strategies as st
 
-from screenloom.llm import chat
+from screenloom.llm import chat, queries
 
 SCHEMA = "conv_id long, turn long, role string, text string, piece string, first int"
 HARD = st.text(alphabet="<|\\>n\nim_startend a", max_size=30)
@@ -103,3 +103,28 @@ def test_long_conversations_read_back_beyond_the_whole_prefixes(spark):
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     whole, window = (chat.read_back(chat.format_turns(frame, context=c)).first() for c in (None, 1))
     assert whole == window and whole.loss_chars == sum(len(r[3]) for r in rows if r[2] == "assistant")
+
+
+def test_the_query_sees_rewriting_at_any_turn(spark, monkeypatch):
+    """A short conversation and a long one go by one rule."""
+    markup, turns = chat.chat_markup, 2 * chat.WHOLE
+
+    def forgets_late(turns_so_far):
+        return markup(turns_so_far[-2:] if len(turns_so_far) == turns else turns_so_far)
+
+    rows = [(c, k, "assistant" if k % 2 else "user", f"text {k}") for c, n in ((1, turns), (2, turns - 1)) for k in range(n)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    monkeypatch.setattr(queries, "table", lambda *_: frame)
+    monkeypatch.setattr(chat, "chat_markup", forgets_late)
+    got = {r.conv_id: r for r in queries.op9_chat_format(spark, "").collect()}
+    assert got.keys() == {-1, 1, 2} and {c: r.rewritten for c, r in got.items()} == {-1: False, 1: True, 2: False}
+    assert got[1].turns_sha256 is None and got[2].n_turns == turns - 1
+
+
+def test_a_stated_context_is_the_same_for_every_turn():
+    def last_three(turns):
+        return "".join(f"[{r}]{t};" for r, t in turns[-3:])
+
+    r = chat.Renderer(last_three, 1)
+    assert [r.add("user", f"t{k}")[3] for k in range(3 * chat.WHOLE)] == [False] * 3 + [True] * (3 * chat.WHOLE - 3)
+    assert len(r.turns) <= chat.WHOLE + 1
