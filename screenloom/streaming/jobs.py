@@ -12,8 +12,9 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -107,6 +108,32 @@ def _state(*fields: tuple[str, ST.DataType]) -> ST.StructType:
     return ST.StructType([ST.StructField(name, kind) for name, kind in fields])
 
 
+#: Users whose state is held together: a call to the state costs the same whatever it moves.
+GROUPS = 1024
+
+
+def group_of(user: str) -> Column:
+    """The number of a user's group; rows without user are a group of their own, -1."""
+    return F.when(F.col(user).isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(user), F.lit(GROUPS))).cast("long")
+
+
+def known(column: str) -> Column:
+    """An id, 0 for null: a null would make the column one of floats."""
+    return F.coalesce(F.col(column).cast("long"), F.lit(0)).alias(column)
+
+
+def ids_of(values: np.ndarray, known: np.ndarray) -> pd.arrays.IntegerArray:
+    """Ids as a column, null where they are not known."""
+    return pd.arrays.IntegerArray(values.astype("int64"), ~known)
+
+
+def as_rows(part: pd.DataFrame, kind: np.dtype) -> np.ndarray:
+    rows = np.empty(len(part), kind)
+    for name in kind.names:
+        rows[name] = part[name]
+    return rows
+
+
 class _Timed(StatefulProcessor):
     """A key with one timer, moved to the earliest time that is asked for."""
 
@@ -208,6 +235,10 @@ class _Bounded(_Timed):
     def __init__(self, idle: int):
         self.idle = idle
 
+    def left(self, n: int) -> int:
+        """The list's length after n rows."""
+        return n if n <= self.most else self.keep + (n - self.most - 1) % (self.most + 1 - self.keep)
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.rows = handle.getListState("rows", _state(("ts_s", ST.LongType()), ("id", ST.LongType())))
@@ -221,7 +252,7 @@ class _Bounded(_Timed):
             n += len(part)
             part = part[["ts_s", "id"]].sort_values(["ts_s", "id"]).tail(self.most)
             newest = sorted([*newest, *((int(ts), int(i)) for ts, i in zip(part["ts_s"], part["id"], strict=True))])[-self.most :]
-        size = n if n <= self.most else self.keep + (n - self.most - 1) % (self.most + 1 - self.keep)
+        size = self.left(n)
         self.rows.put(newest)
         self.count.update((n,))
         self.wake((newest[-1][0] + self.idle) * 1000, anew=True)
@@ -234,11 +265,73 @@ class _Bounded(_Timed):
         yield pd.DataFrame(columns=["user_id", "size", "first_id", "last_id"])
 
 
+ACTION = np.dtype([("user_id", "<i8"), ("ts_s", "<i8"), ("named", "?"), ("id", "<i8")])
+_IN_ORDER = ("id", "named", "ts_s", "user_id")
+
+
+class _BoundedGroup(_Bounded):
+    """The lists of a group of users: those with new rows are read, written and given, in one frame."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        _Timed.init(self, handle)
+        self.lists = handle.getMapState("lists", _state(("user_id", ST.LongType())), _state(("n", ST.LongType()), ("newest", ST.BinaryType())))
+
+    def joined(self, n: int, newest: np.ndarray, more: int, rows: np.ndarray) -> tuple[int, np.ndarray]:
+        met = np.concatenate([newest, rows])
+        return n + more, met[np.lexsort([met[c] for c in _IN_ORDER])][-self.most :]
+
+    def expiry(self, newest: np.ndarray) -> int:
+        return (int(newest["ts_s"][-1]) + self.idle) * 1000
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        none, met = (0, np.empty(0, ACTION)), {}
+        for part in rows:
+            actions = as_rows(part, ACTION)
+            actions = actions[np.lexsort([actions[c] for c in _IN_ORDER])]
+            users, starts, counts = np.unique(actions["user_id"], return_index=True, return_counts=True)
+            for user, start, n in zip(users.tolist(), starts.tolist(), counts.tolist(), strict=True):
+                met[user] = self.joined(*met.get(user, none), n, actions[max(start, start + n - self.most) : start + n])
+        size, first, last = [], [], []
+        for user, new in met.items():
+            held = self.lists.getValue((user,))
+            n, newest = new if held is None else self.joined(int(held[0]), np.frombuffer(bytes(held[1]), ACTION), *new)
+            self.lists.updateValue((user,), (n, newest.tobytes()))
+            self.wake(self.expiry(newest))
+            size.append(self.left(n))
+            first.append(newest[-size[-1]])
+            last.append(newest[-1])
+        first, last = np.array(first, ACTION), np.array(last, ACTION)
+        user = ids_of(last["user_id"], np.full(len(last), key[0] >= 0))
+        return iter([pd.DataFrame({"user_id": user, "size": size, "first_id": ids_of(first["id"], first["named"]), "last_id": ids_of(last["id"], last["named"])})])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed, over, later = timerValues.getCurrentWatermarkInMs(), [], None
+        for (user,), (_, newest) in self.lists.iterator() if self.lists.exists() else ():
+            at = self.expiry(np.frombuffer(bytes(newest), ACTION))
+            if at <= passed:
+                over.append(int(user))
+            else:
+                later = at if later is None else min(at, later)
+        for user in over:
+            self.lists.removeKey((user,))
+        self.timer.clear()
+        if later is not None:
+            self.wake(later)
+        return iter(())
+
+
+#: Questions that wait in one piece.
+CHUNK = 1024
+QUESTION = np.dtype([("user_id", "<i8"), ("ts_s", "<i8"), ("named", "?"), ("question_id", "<i8"), ("empty", "?")])
+PAUSE = np.dtype([("user_id", "<i8"), ("ts_s", "<i8")])
+
+
 class _Cooldown(_Timed):
-    """Accepts a question only some seconds after the last accepted one.
+    """Accepts a question only some seconds after the last accepted one of its user; a key is a group of users.
 
     Questions wait until the watermark has passed them and are then judged in order of time, so it
-    does not matter in which order, or in which batch, they came. Of a question three numbers wait.
+    does not matter in which order, or in which batch, they came. They wait in chunks that follow
+    each other in time, and only chunks with questions that are due are read.
     """
 
     def __init__(self, seconds: float):
@@ -246,45 +339,76 @@ class _Cooldown(_Timed):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.last = handle.getValueState("last", _state(("ts_s", ST.LongType())))
-        self.waiting = handle.getListState("waiting", _state(("ts_s", ST.LongType()), ("question_id", ST.LongType()), ("empty", ST.BooleanType())))
+        self.last = handle.getValueState("last", _state(("pauses", ST.BinaryType())))
+        self.waiting = handle.getMapState("waiting", _state(("since_s", ST.LongType()), ("chunk", ST.LongType())), _state(("questions", ST.BinaryType())))
+        self.chunks = handle.getValueState("chunks", _state(("n", ST.LongType())))
+
+    def wait(self, questions: np.ndarray) -> None:
+        """Put them away in chunks, by time."""
+        seen, questions = self.chunks.get(), questions[np.argsort(questions["ts_s"], kind="stable")]
+        n = 0 if seen is None else int(seen[0])
+        for k in range(0, len(questions), CHUNK):
+            part = questions[k : k + CHUNK]
+            self.waiting.updateValue((int(part["ts_s"][0]), n), (part.tobytes(),))
+            n += 1
+        self.chunks.update((n,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for part in rows:
-            self.waiting.appendList([(int(t), int(q), bool(e)) for t, q, e in zip(part["ts_s"], part["question_id"], part["empty"], strict=True)])
-            self.wake(int(part["ts_s"].min()) * 1000)
-        yield self.frame([])
-
-    def frame(self, out: list) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=["question_id", "user_id", "ts_s", "status", "remaining"])
+            questions = as_rows(part, QUESTION)
+            self.wait(questions)
+            self.wake(int(questions["ts_s"].min()) * 1000)
+        return iter(())
+
+    def judged(self, questions: np.ndarray, last: dict[int, int], users: bool) -> pd.DataFrame:
+        """Questions in order, with their status; ``last`` has each user's last accepted time, and is kept up."""
+        status, remaining = [], []
+        for user, ts, empty in zip(*(questions[c].tolist() for c in ("user_id", "ts_s", "empty")), strict=True):
+            before = last.get(user)
+            wait = before is not None and ts - before < self.seconds
+            status.append("wait" if wait else "ignored" if empty else "accepted")
+            remaining.append(int(self.seconds - (ts - before)) if wait else 0)
+            if not wait and not empty:
+                last[user] = ts
+        return pd.DataFrame({
+            "question_id": ids_of(questions["question_id"], questions["named"]), "user_id": ids_of(questions["user_id"], np.full(len(questions), users)),
+            "ts_s": questions["ts_s"], "status": status, "remaining": remaining,
+        })
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
-        due = [r for r in waiting if r[0] * 1000 <= passed]
-        last, out = self.last.get(), []
-        last = None if last is None else int(last[0])
-        for ts, question, empty in due:
-            wait = last is not None and ts - last < self.seconds
-            out.append((question, key[0], ts, "wait" if wait else "ignored" if empty else "accepted", int(self.seconds - (ts - last)) if wait else 0))
-            last = ts if not wait and not empty else last
-        left = waiting[len(due) :]
-        over = None if last is None else int((last + self.seconds) * 1000)
-        # the last accepted time matters until the pause is over
-        if last is None or (not left and over <= passed):
-            self.last.clear()
-        else:
-            self.last.update((last,))
-        if left:
-            self.waiting.put(left)
+        keys = [tuple(map(int, k)) for k in self.waiting.keys()] if self.waiting.exists() else []
+        read = [k for k in keys if k[0] * 1000 <= passed]
+        # none but its first rows may be due
+        questions = np.concatenate([np.empty(0, QUESTION), *(np.frombuffer(bytes(self.waiting.getValue(k)[0]), QUESTION) for k in read)])
+        for k in read:
+            self.waiting.removeKey(k)
+        due = questions["ts_s"] * 1000 <= passed
+        early, questions = questions[~due], questions[due]
+        questions = questions[np.lexsort([questions[c] for c in ("empty", "question_id", "named", "ts_s", "user_id")])]
+        held = self.last.get()
+        held = np.frombuffer(bytes(held[0]), PAUSE) if held is not None else np.empty(0, PAUSE)
+        last = dict(zip(held["user_id"].tolist(), held["ts_s"].tolist(), strict=True))
+        for k in range(0, len(questions), 10 * CHUNK):
+            yield self.judged(questions[k : k + 10 * CHUNK], last, key[0] >= 0)
+        # a last accepted time matters until the pause is over
+        over = {user: int((ts + self.seconds) * 1000) for user, ts in last.items()}
+        held = np.array([(user, ts) for user, ts in last.items() if over[user] > passed], PAUSE)
+        if len(held):
+            self.last.update((held.tobytes(),))
         else:
-            self.waiting.clear()
+            self.last.clear()
         self.timer.clear()
-        if left:
-            self.wake(left[0][0] * 1000)
-        elif over is not None and over > passed:
-            self.wake(over)
-        yield self.frame(out)
+        if len(early):
+            self.wait(early)
+        later = [k[0] for k in keys if k[0] * 1000 > passed] + early["ts_s"].tolist()
+        if later:
+            self.wake(min(later) * 1000)
+            return
+        self.waiting.clear()
+        self.chunks.clear()
+        if len(held):
+            self.wake(max(over.values()))
 
 
 def _stateful(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str) -> DataFrame:
@@ -299,12 +423,13 @@ def change(frames: DataFrame, late: str = "1 hour", ending: Ending | None = None
 
 def bounded_history(actions: DataFrame, late: str = "1 hour", idle: int = 90 * 86400, ending: Ending | None = None) -> DataFrame:
     """A user's list after each batch; a user without actions for ``idle`` seconds is forgotten."""
-    rows = in_time(actions.select("user_id", "id", "ts_s"), late, ending)
-    return _stateful(rows, "user_id", _Bounded(idle), "user_id long, size long, first_id long, last_id long", "Update")
+    own = actions.select(group_of("user_id").alias("users"), known("user_id"), "ts_s", F.col("id").isNotNull().alias("named"), known("id"))
+    return _stateful(in_time(own, late, ending), "users", _BoundedGroup(idle), "user_id long, size long, first_id long, last_id long", "Update")
 
 
 def cooldown(questions: DataFrame, seconds: float, late: str = "1 hour", ending: Ending | None = None) -> DataFrame:
     """Every question with its status, once the watermark has passed it."""
     empty = F.trim(F.coalesce("question", F.lit(""))) == ""
-    rows = in_time(questions.select("user_id", "question_id", "ts_s", empty.alias("empty")), late, ending)
-    return _stateful(rows, "user_id", _Cooldown(seconds), "question_id long, user_id long, ts_s long, status string, remaining long", "Append")
+    own = questions.select(group_of("user_id").alias("users"), known("user_id"), "ts_s", F.col("question_id").isNotNull().alias("named"), known("question_id"), empty.alias("empty"))
+    schema = "question_id long, user_id long, ts_s long, status string, remaining long"
+    return _stateful(in_time(own, late, ending), "users", _Cooldown(seconds), schema, "Append")

@@ -203,3 +203,84 @@ def test_lines_are_given_once_over_all_batches(spark, sf, parts):
     path = shuffled(rows, "m", parts, "capture_id")
     got = run_to_table(jobs.merge_lines(jobs.capture_stream(spark, path, rows.schema, 1), late="60 days"), "merge")
     same_rows(got, captures.merged_lines(rows).select("source", "line"))
+
+
+def test_cooldown_holds_state_by_groups_of_users(spark):
+    """What is held, and so the calls to the state, does not grow with the users; ids may be null or large."""
+    users, big = 5000, 2**53 + 1
+    rows = [(u, big + 2 * u + k, 1_700_000_000 + 50_000 * k + u, "" if (u + k) % 7 == 0 else "what?") for u in range(users) for k in range(3)]
+    rows += [(None, k if k % 3 else None, 1_700_000_000 + 30_000 * k, "why?") for k in range(9)] + [(big, None, 1_700_000_000, "why?"), (big, 1, 1_700_000_000, None)]
+    questions = spark.createDataFrame(rows, "user_id long, question_id long, ts_s long, question string")
+    path, ending, seen = shuffled(questions, "q", 1, "ts_s"), jobs.Ending(spark), []
+    stream = jobs.cooldown(jobs.capture_stream(spark, path, questions.schema), 86400, "60 days", ending)
+    same_rows(run_to_table(stream, "cooldown", ending=ending, progress=seen), history.cooldown(questions, 86400))
+    assert 0 < max(p.stateOperators[0].numRowsTotal for p in seen) <= 3 * (1024 + 1)
+    assert seen[-1].stateOperators[0].numRowsTotal == 0
+
+
+class Entries(dict):
+    """A state of keys and values that is held in memory."""
+
+    read = 0
+
+    def exists(self):
+        return len(self) > 0
+
+    def getValue(self, key):
+        self.read += 1
+        return self[key]
+
+    updateValue, removeKey = dict.__setitem__, dict.__delitem__
+
+
+class Now:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_cooldown_reads_only_what_is_due():
+    p = jobs._Cooldown(100)
+    p.last, p.chunks, p.timer, p.handle, p.waiting = Value(), Value(), Value(), Timers(), Entries()
+    rows = pd.DataFrame([(k % 3, (k * 7919) % 20000, True, k, k % 5 == 0) for k in range(20000)], columns=list(jobs.QUESTION.names))
+    assert not list(p.handleInputRows((7,), iter([rows[:15000], rows[15000:]]), None))
+    got, chunks = [], len(p.waiting)
+    for passed in (4000, 4500, 30000):
+        assert p.handle.ms <= passed * 1000
+        got += [tuple(r) for f in p.handleExpiredTimer((7,), Now(passed * 1000), None) for r in f.itertuples(index=False)]
+        # each chunk is read when it falls due, and again as the rest of one that was read
+        assert p.waiting.read <= chunks + 4
+    want, last = [], {}
+    for user, ts, _, question, empty in rows.sort_values(["ts_s", "question_id"]).itertuples(index=False):
+        wait = user in last and ts - last[user] < 100
+        want.append((question, user, ts, "wait" if wait else "ignored" if empty else "accepted", 100 - (ts - last[user]) if wait else 0))
+        if not wait and not empty:
+            last[user] = ts
+    assert sorted(got) == sorted(want) and not any(s.exists() for s in (p.waiting, p.last, p.chunks, p.timer))
+
+
+def test_bounded_history_takes_null_ids_and_forgets_by_user(spark):
+    """As the batch form, also without users or ids, over several files."""
+    big = 2**53 + 1
+    rows = [(u, big + 50 * u + k, 1_700_000_000 + 977 * ((k * 7) % 23)) for u in range(40) for k in range(u)]
+    rows += [(None, None if k % 9 == 0 else k, 1_700_000_000 + k) for k in range(40)] + [(big, None, 1_700_000_000), (big + 1, 5, 1_700_000_000)]
+    actions = spark.createDataFrame(rows, "user_id long, id long, ts_s long")
+    path, ending, seen = shuffled(actions, "a", 3, "ts_s", backwards=True), jobs.Ending(spark), []
+    got = run_to_table(jobs.bounded_history(jobs.capture_stream(spark, path, actions.schema, 1), "60 days", ending=ending), "bounded", "update", ["user_id"], ending, progress=seen)
+    at = F.struct("ts_s", "id")
+    same_rows(got, history.bounded(actions, "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("size"), F.min_by("id", at).alias("first_id"), F.max_by("id", at).alias("last_id")))
+    assert seen[-1].stateOperators[0].numRowsTotal == 0
+
+
+def test_a_group_gives_one_frame_and_forgets_the_idle():
+    p = jobs._BoundedGroup(100)
+    p.lists, p.timer, p.handle = Entries(), Value(), Timers()
+    p.lists.getValue, p.lists.iterator = p.lists.get, lambda: list(p.lists.items())
+    rows = pd.DataFrame([(k % 50, k // 50, True, k) for k in range(2000)], columns=["user_id", "ts_s", "named", "id"])
+    [frame] = p.handleInputRows((3,), iter([rows[:700], rows[700:]]), None)
+    assert frame["user_id"].tolist() == list(range(50)) and set(frame["size"]) == {16} and frame["last_id"].tolist() == list(range(1950, 2000))
+    assert frame["first_id"].tolist() == [u + 24 * 50 for u in range(50)] and p.handle.ms == 139_000
+    [frame] = p.handleInputRows((3,), iter([rows[:1].assign(ts_s=90, id=7)]), None)
+    assert frame[["user_id", "size", "last_id"]].values.tolist() == [[0, 17, 7]]
+    # the timer goes off for all but the user with a later row
+    assert not list(p.handleExpiredTimer((3,), Now(139_000), None)) and list(p.lists) == [(0,)] and p.handle.ms == 190_000
+    assert not list(p.handleExpiredTimer((3,), Now(190_000), None)) and not p.lists and not p.timer.exists()
